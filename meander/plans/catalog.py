@@ -6,7 +6,7 @@ import importlib
 
 from meander.plans import registry
 
-MODULES = ["catalog_series"]
+MODULES = ["catalog_series", "catalog_divergence"]
 
 
 def _load() -> None:

@@ -49,3 +49,15 @@ def sides(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("value").alias("x"),
         "seq",
     )
+
+
+# --- embeddings: two tracks by label, odd ids are the current window ---------
+
+
+def tracked_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(
+        F.when(F.col("label") < 5, "retrieval").otherwise("generation").alias("track"),
+        "vec_id",
+        (F.col("vec_id") % 2 == 1).alias("is_current"),
+        to_doubles("embedding").alias("embedding"),
+    )
