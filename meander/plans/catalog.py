@@ -6,7 +6,7 @@ import importlib
 
 from meander.plans import registry
 
-MODULES = ["catalog_series", "catalog_divergence"]
+MODULES = ["catalog_series", "catalog_divergence", "catalog_store"]
 
 
 def _load() -> None:
