@@ -135,7 +135,7 @@ HISTORY_SQL = """hist AS (
          o_orderpriority AS pipeline_name,
          'm' || (o_orderkey % 3) AS model, CASE WHEN o_orderkey % 7 <> 0 THEN 'm' || (o_orderkey % 3) END AS info_model,
          CAST(CAST(floor(o_totalprice / 100000.0::DOUBLE) AS INTEGER) AS VARCHAR) AS tier,
-         o_totalprice / 500000.0::DOUBLE AS js_value, (o_orderkey % 100) / 100.0::DOUBLE AS quality
+         o_totalprice / 499979.0::DOUBLE AS js_value, (o_orderkey % 100) / 100.0::DOUBLE AS quality
   FROM orders)"""
 
 
@@ -145,7 +145,7 @@ def history(spark: SparkSession, sf_dir: str) -> DataFrame:
     run = F.concat(F.lit("r"), key)
     none = F.lit(None).cast("string")
     no_meta = F.create_map().cast("map<string,string>")
-    price = (F.col("o_totalprice") / 500000.0).alias("value")
+    price = (F.col("o_totalprice") / 499979.0).alias("value")
 
     def metric(kind, name, value, run_id=none, base=none, cur=none):
         return F.struct(
