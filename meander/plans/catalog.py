@@ -6,7 +6,7 @@ import importlib
 
 from meander.plans import registry
 
-MODULES = ["catalog_series", "catalog_divergence", "catalog_store", "catalog_remediation"]
+MODULES = ["catalog_series", "catalog_divergence", "catalog_store", "catalog_remediation", "catalog_vectors"]
 
 
 def _load() -> None:
