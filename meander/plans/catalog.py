@@ -6,7 +6,9 @@ import importlib
 
 from meander.plans import registry
 
-MODULES = ["catalog_series", "catalog_divergence", "catalog_store", "catalog_remediation", "catalog_vectors"]
+MODULES = [
+    "catalog_series", "catalog_divergence", "catalog_store", "catalog_remediation", "catalog_vectors", "catalog_topology",
+]
 
 
 def _load() -> None:
