@@ -175,3 +175,59 @@ def history(spark: SparkSession, sf_dir: str) -> DataFrame:
             lambda _, v: v.isNotNull(),
         ).alias("metadata"),
     )
+
+
+# --- runs: one per document, vectors where the embedding table has the id -----
+
+RUNS_SQL = """dl AS (
+  SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, string_split(d.text, chr(10)) AS lines,
+         l.quality, l.toxic, e.label, CAST(e.embedding AS DOUBLE[]) AS embedding
+  FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id LEFT JOIN embeddings e ON e.vec_id = d.doc_id),
+runs AS (
+  SELECT doc_id, 'r' || doc_id AS run_id, lines[1] AS query, lines[2:] AS docs, len(lines) - 1 AS n_docs,
+         CASE WHEN quality = 0 THEN 1 WHEN quality = 1 THEN len(lines) - 1 END AS n_ids,
+         CASE WHEN label < 5 THEN 1 END AS n_embs, label, embedding, quality, toxic, lang, source, n_chars,
+         1700000000.0::DOUBLE + doc_id * 60.5::DOUBLE AS timestamp,
+         CASE lang WHEN 'en' THEN 'NaiveRAG' WHEN 'de' THEN 'agenticrag' WHEN 'fr' THEN 'GraphRAG' ELSE 'Other' END AS name
+  FROM dl)"""
+
+
+def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels")
+    vectors = table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("doc_id"), "label", to_doubles("embedding").alias("_v")
+    )
+    rows = docs.join(labels, "doc_id", "left").join(vectors, "doc_id", "left")
+    lines = F.split("text", "\n")
+    rest = F.slice(lines, F.lit(2), F.size(lines))
+    number = lambda c: F.col(c).cast("string")
+    name = F.when(F.col("lang") == "en", "NaiveRAG").when(F.col("lang") == "de", "agenticrag").when(
+        F.col("lang") == "fr", "GraphRAG"
+    ).otherwise("Other")
+    null_vec = F.lit(None).cast("array<double>")
+    return rows.select(
+        "doc_id", F.lit("1.0").alias("schema_version"), F.concat(F.lit("r"), "doc_id").alias("run_id"),
+        lines[0].alias("query"), rest.alias("retrieved_docs"),
+        F.when(F.col("quality") == 0, F.array(F.lit("x"))).when(
+            F.col("quality") == 1, F.transform(rest, lambda _, i: i.cast("string"))
+        ).alias("retrieved_doc_ids"),
+        F.when(F.col("label") < 5, F.array("_v")).alias("retrieved_embeddings"),
+        F.when(F.col("label") >= 8, F.col("_v")).alias("query_embedding"),
+        F.col("text").alias("answer"),
+        F.when(F.col("label").between(5, 7), F.col("_v")).otherwise(null_vec).alias("answer_embedding"),
+        F.struct(
+            name.alias("name"), F.lit("m1").alias("model"), F.lit(None).cast("string").alias("embedding_model"),
+            F.lit(None).cast("string").alias("retriever"), F.lit(None).cast("string").alias("version"),
+        ).alias("system_info"),
+        F.map_filter(
+            F.create_map(
+                F.lit("reflection_iterations"), number("toxic"), F.lit("final_confidence"), number("quality"),
+                F.lit("latency_ms"), number("n_chars"),
+            ),
+            lambda _, v: v.isNotNull(),
+        ).alias("metadata"),
+        (F.lit(1700000000.0) + F.col("doc_id") * F.lit(60.5)).alias("timestamp"),
+        F.col("source").alias("system_version"),
+        "lang", "label", "n_chars",
+    )
