@@ -8,7 +8,7 @@ from meander.plans import registry
 
 MODULES = [
     "catalog_series", "catalog_divergence", "catalog_store", "catalog_remediation", "catalog_vectors", "catalog_topology",
-    "catalog_records",
+    "catalog_records", "catalog_streaming",
 ]
 
 

@@ -325,11 +325,11 @@ def _evaluate_frames(spark, sf_dir):
     """Monthly windows: vectors, retrieved graphs and conversations dealt to months by id."""
     nodes, edges = retrieved_graph(spark, sf_dir)
     pairs = month_pairs(edges)
-    month = lambda c, size: (F.lit(23941) + F.floor(c / size) % 12).cast("int")  # noqa: E731  (January 1995 = 23941)
+    month = lambda c: (F.lit(23941) + c % 12).cast("int")  # noqa: E731  (January 1995 = 23941)
     v = inputs.tracked_vectors(spark, sf_dir)
-    vectors = v.select(month(F.col("vec_id"), 1).alias("win"), "vec_id", "embedding")
+    vectors = v.select(month(F.col("vec_id")).alias("win"), "vec_id", "embedding")
     traces, hops = swarm_tables(spark, sf_dir)
-    move = lambda df: df.withColumn("win", month(F.col("trace_id"), 1))
+    move = lambda df: df.withColumn("win", month(F.col("trace_id")))
     out = ev.evaluate_frames(vectors, nodes, edges, move(traces), move(hops), pairs)
     return _round_all(
         out, ["js_divergence", "mmd_score", "spectral_distance", "density_delta", "transition_entropy_delta", "avg_reflection_iterations_delta"]

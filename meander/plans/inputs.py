@@ -19,7 +19,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 POINTS_SQL = """points AS (
   SELECT event_type AS metric_name, epoch(ts) AS ts, event_id AS seq,
-         value / 100.0::DOUBLE AS value, CAST(event_id AS VARCHAR) AS run_id, user_id
+         value / 97.0::DOUBLE AS value, CAST(event_id AS VARCHAR) AS run_id, user_id
   FROM events)"""
 
 
@@ -28,7 +28,7 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_type").alias("metric_name"),
         epoch_seconds("ts").alias("ts"),
         F.col("event_id").alias("seq"),
-        (F.col("value") / F.lit(100.0)).alias("value"),
+        (F.col("value") / F.lit(97.0)).alias("value"),
         F.col("event_id").cast("string").alias("run_id"),
         "user_id",
     )

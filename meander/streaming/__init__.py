@@ -1 +1 @@
-
+"""Structured Streaming jobs: ingestion, buffers, rolling state, rollups."""
