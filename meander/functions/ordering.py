@@ -24,15 +24,30 @@ def largest_group(df: DataFrame, by: list[str]) -> int:
     return int(row[0] or 0)
 
 
+def fits(df: DataFrame, by: list[str], group_limit: int | None) -> bool:
+    """Whether every key is small enough for one task.
+
+    ``None`` and 0 are answers already known: yes and no.
+    """
+    if group_limit is None:
+        return True
+    return group_limit > 0 and largest_group(df, by) <= group_limit
+
+
+def known(df: DataFrame, by: list[str], group_limit: int | None) -> int | None:
+    """Check once; pass the answer on as the ``group_limit`` of later steps on the same keys."""
+    return None if fits(df, by, group_limit) else 0
+
+
 def running_sums(
     df: DataFrame,
     by: list[str],
     order: list[str],
     sums: dict[str, Column],
-    group_limit: int = GROUP_LIMIT,
+    group_limit: int | None = GROUP_LIMIT,
 ) -> DataFrame:
     """Add inclusive running totals per ``by`` in ``order`` (which must be total)."""
-    if largest_group(df, by) <= group_limit:
+    if fits(df, by, group_limit):
         w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumns({name: F.sum(c).over(w) for name, c in sums.items()})
     return _spread_running_sums(df, by, order, sums)
@@ -73,7 +88,7 @@ class _Side:
 
 
 def numbered(
-    df: DataFrame, by: list[str], order: list[str], name: str = "rn", group_limit: int = GROUP_LIMIT
+    df: DataFrame, by: list[str], order: list[str], name: str = "rn", group_limit: int | None = GROUP_LIMIT
 ) -> DataFrame:
     """``row_number`` per key as a running count."""
     return running_sums(df, by, order, {name: F.lit(1).cast("long")}, group_limit)
@@ -84,7 +99,7 @@ def framed(
     by: list[str],
     order: list[str],
     preceding: int,
-    group_limit: int = GROUP_LIMIT,
+    group_limit: int | None = GROUP_LIMIT,
     chunk_rows: int = CHUNK_ROWS,
 ) -> tuple[DataFrame, Window]:
     """Prepare row frames that look back at most ``preceding`` rows.
@@ -94,7 +109,7 @@ def framed(
     before it, marked ``_halo``, which the caller drops with :func:`drop_halo`
     after computing its windows.
     """
-    if largest_group(df, by) <= group_limit:
+    if fits(df, by, group_limit):
         rows = df.withColumn("_halo", F.lit(False))
         return rows, Window.partitionBy(*by).orderBy(*order)
 
@@ -117,20 +132,27 @@ def order_statistics(
     by: list[str],
     value: str,
     probs: list[float],
-    weight: Column | None = None,
-    group_limit: int = GROUP_LIMIT,
+    group_limit: int | None = GROUP_LIMIT,
 ) -> DataFrame:
     """Exact linear-interpolation quantiles, with count, min and max, per key.
 
-    Equal values are merged first (map-side), then ranks come from running
-    counts, so neither a hot key nor a heavily repeated value lands in one task.
+    Small keys use the built-in exact percentile.  Otherwise equal values are
+    merged first (map-side) and ranks come from running counts, so neither a hot
+    key nor a heavily repeated value lands in one task.
     """
-    weight = F.lit(1).cast("long") if weight is None else weight
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.sum(weight).alias("_c"))
+    present = df.filter(F.col(value).isNotNull())
+    if fits(present, by, group_limit):
+        q = F.percentile(value, F.array(*[F.lit(float(p)) for p in probs]))
+        agg = present.groupBy(*by).agg(
+            F.count(F.lit(1)).alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi"), q.alias("_q")
+        )
+        return agg.select(*by, "n", "lo", "hi", *[F.col("_q")[i].alias(f"q{i}") for i in range(len(probs))])
+
+    counts = present.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
     stats = counts.groupBy(*by).agg(
         F.sum("_c").alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi")
     )
-    cum = running_sums(counts, by, [value], {"_cum": F.col("_c")}, group_limit)
+    cum = _spread_running_sums(counts, by, [value], {"_cum": F.col("_c")})
     joined = cum.alias("r").join(stats.alias("s"), null_safe_equal(_Side("r"), _Side("s"), by))
     aggs = []
     for i, p in enumerate(probs):

@@ -149,14 +149,14 @@ def kl_kde_1d(
         scott(F.count_if(cur), F.stddev_samp(one(cur))).alias("hc"),
     )
     step = (F.col("hi") - F.col("lo")) / (points - 1)
-    z = (F.col("lo") + F.col("i") * step - F.col("x")) / F.col("h")
+    z = (F.col("lo") + F.col("_i") * step - F.col("x")) / F.col("_h")
     density = (
         data.join(stats.filter((F.col("hb") > 0) & (F.col("hc") > 0)), by)
-        .withColumn("h", F.when(F.col("_side"), F.col("hc")).otherwise(F.col("hb")))
-        .withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
-        .withColumn("k", F.exp(F.lit(-0.5) * z * z))
-        .groupBy(*by, "i")
-        .agg(F.sum(F.when(base, F.col("k"))).alias("kb"), F.sum(F.when(cur, F.col("k"))).alias("kc"))
+        .withColumn("_h", F.when(F.col("_side"), F.col("hc")).otherwise(F.col("hb")))
+        .withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
+        .withColumn("_k", F.exp(F.lit(-0.5) * z * z))
+        .groupBy(*by, "_i")
+        .agg(F.sum(F.when(base, F.col("_k"))).alias("kb"), F.sum(F.when(cur, F.col("_k"))).alias("kc"))
     )
     root = math.sqrt(2.0 * math.pi)
     scaled = lambda k, n, h: F.greatest(F.col(k) / (F.col(n) * F.col(h) * F.lit(root)), F.lit(EPS))
@@ -199,16 +199,16 @@ def w1_1d(
     """
     data = df.select(*by, F.col(side).alias("_side"), F.col(x).alias("x")).filter(F.col("x").isNotNull())
     counts = data.groupBy(*by, "x").agg(
-        F.count_if(~F.col("_side")).alias("b"), F.count_if(F.col("_side")).alias("c")
+        F.count_if(~F.col("_side")).alias("_b"), F.count_if(F.col("_side")).alias("_c")
     )
     totals = counts.groupBy(*by).agg(
-        F.sum("b").alias("nb"), F.sum("c").alias("nc"), F.min("x").alias("x0")
+        F.sum("_b").alias("nb"), F.sum("_c").alias("nc"), F.min("x").alias("_x0")
     )
-    cum = running_sums(counts, by, ["x"], {"cb": F.col("b"), "cc": F.col("c")}, group_limit)
+    cum = running_sums(counts, by, ["x"], {"_cb": F.col("_b"), "_cc": F.col("_c")}, group_limit)
     gap = lambda b, c: F.abs(b / F.col("nb") - c / F.col("nc"))
-    after = gap(F.col("cb"), F.col("cc"))
-    before = gap(F.col("cb") - F.col("b"), F.col("cc") - F.col("c"))
-    area = (F.col("x") - F.col("x0")) * (before - after)
+    after = gap(F.col("_cb"), F.col("_cc"))
+    before = gap(F.col("_cb") - F.col("_b"), F.col("_cc") - F.col("_c"))
+    area = (F.col("x") - F.col("_x0")) * (before - after)
     return cum.join(totals, by).groupBy(*by).agg(
         F.max("nb").alias("nb"), F.max("nc").alias("nc"), F.sum(area).alias("w1")
     )

@@ -56,13 +56,15 @@ def pooled_graph(nodes: DataFrame, edges: DataFrame, by: list[str]) -> DataFrame
 def neighbours(nodes: DataFrame, edges: DataFrame, by: list[str]) -> DataFrame:
     """Undirected adjacency ``by, u, v`` (both directions) among listed nodes."""
     listed = nodes.select(*by, "node").distinct()
-    both = distinct_edges(edges, by)
-    both = both.select(*by, F.col("source").alias("u"), F.col("target").alias("v")).union(
-        both.select(*by, F.col("target"), F.col("source"))
+    real = (F.col("source") != "") & (F.col("target") != "") & (F.col("source") != F.col("target"))
+    pairs = edges.filter(real).select(
+        *by, F.least("source", "target").alias("u"), F.greatest("source", "target").alias("v")
     ).distinct()
-    return both.join(listed.withColumnRenamed("node", "u"), [*by, "u"], "left_semi").join(
+    pairs = pairs.join(listed.withColumnRenamed("node", "u"), [*by, "u"], "left_semi").join(
         listed.withColumnRenamed("node", "v"), [*by, "v"], "left_semi"
-    ).select(*by, "u", "v")
+    )
+    both = F.array(F.struct(F.col("u"), F.col("v")), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))
+    return pairs.select(*by, F.inline(both))
 
 
 def laplacian_invariants(nodes: DataFrame, edges: DataFrame, by: list[str]) -> DataFrame:

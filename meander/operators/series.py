@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meander.functions.columns import clip, stable_id
-from meander.functions.ordering import GROUP_LIMIT, drop_halo, framed, numbered
+from meander.functions.ordering import GROUP_LIMIT, drop_halo, framed, known, numbered
 
 
 def resolve_run_id(metric: str = "metric", record_run_id: str = "run_id"):
@@ -47,48 +47,37 @@ def mean_shift_events(
 ) -> DataFrame:
     """Events where the mean of a block of ``window`` points leaves the previous block's.
 
-    Blocks are plain groups of ``window`` rows.  A block meets its predecessor by
-    being grouped once more under its own number and the next, so no window runs
-    over a whole series.
+    Blocks are plain groups of ``window`` rows.  While every series fits one task
+    the numbering, the blocks and their comparison share a single shuffle; beyond
+    that all three work on slices of a series.
     """
-    rows = numbered(series, by, order, "_n", group_limit)
+    limit = known(series, by, group_limit)
+    rows = numbered(series, by, order, "_n", limit)
     rows = rows.withColumn("block", F.floor((F.col("_n") - 1) / window))
     blocks = (
         rows.groupBy(*by, "block")
         .agg(
-            F.count(F.lit(1)).alias("rows"),
-            F.avg("value").alias("mean"),
+            F.count(F.lit(1)).alias("_rows"),
+            F.avg("value").alias("mean_current"),
             F.min("ts").alias("start_ts"),
             F.max("ts").alias("end_ts"),
-            F.array_sort(F.collect_list(F.struct("_n", "run_id"))).alias("runs"),
+            F.collect_list(F.struct("_n", "run_id")).alias("_runs"),  # ``window`` entries
         )
-        .filter(F.col("rows") == window)
+        .filter(F.col("_rows") == window)
     )
-    own = F.struct("mean", "start_ts", "end_ts", "runs")
-    role = F.explode(F.array(F.struct(F.col("block").alias("at"), F.lit(True).alias("own")),
-                             F.struct((F.col("block") + 1).alias("at"), F.lit(False).alias("own"))))
-    paired = (
-        blocks.select(*by, own.alias("b"), role.alias("r"))
-        .groupBy(*by, F.col("r.at").alias("block"))
-        .agg(
-            F.max(F.when(F.col("r.own"), F.col("b"))).alias("cur"),
-            F.max(F.when(~F.col("r.own"), F.col("b.mean"))).alias("mean_previous"),
-        )
-    )
-    magnitude = F.abs(F.col("cur.mean") - F.col("mean_previous"))
-    return (
-        paired.filter(F.col("cur").isNotNull() & (magnitude > F.lit(float(threshold))))
-        .select(
-            *by,
-            stable_id(*[F.col(b) for b in by], F.col("block")).alias("event_id"),
-            "block",
-            F.col("cur.start_ts").alias("start_ts"),
-            F.col("cur.end_ts").alias("end_ts"),
-            magnitude.alias("magnitude"),
-            "mean_previous",
-            F.col("cur.mean").alias("mean_current"),
-            F.transform("cur.runs", lambda r: r["run_id"]).alias("involved_run_ids"),
-        )
+    blocks, w = framed(blocks, by, ["block"], 1, limit)
+    blocks = drop_halo(blocks.withColumn("mean_previous", F.lag("mean_current").over(w)))
+    magnitude = F.abs(F.col("mean_current") - F.col("mean_previous"))
+    return blocks.filter(magnitude > F.lit(float(threshold))).select(
+        *by,
+        stable_id(*[F.col(b) for b in by], F.col("block")).alias("event_id"),
+        "block",
+        "start_ts",
+        "end_ts",
+        magnitude.alias("magnitude"),
+        "mean_previous",
+        "mean_current",
+        F.transform(F.array_sort("_runs"), lambda r: r["run_id"]).alias("involved_run_ids"),
     )
 
 

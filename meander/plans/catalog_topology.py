@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from meander.functions.columns import epoch_seconds, rounded
+from meander.functions.runtime import cut_lineage
 from meander.operators import alerts as al
 from meander.operators import graph as gr
 from meander.operators import policy
@@ -36,8 +37,9 @@ def retrieved_graph(spark, sf_dir):
         .select(
             month.alias("win"), F.concat(F.lit("n"), "c_nationkey").alias("source"), F.concat(F.lit("s"), "l_suppkey").alias("target")
         )
-        .distinct()  # one row per edge and month from here on
+        .distinct()
     )
+    edges = cut_lineage(edges)  # one row per edge and month, read by every later step
     nodes = edges.select("win", F.col("source").alias("node")).union(edges.select("win", "target"))
     return nodes, edges
 

@@ -30,7 +30,7 @@ class Remediation:
 
 def remediate(
     history: DataFrame, by: list[str], metric_name: str = "js_divergence",
-    window: int = 3, threshold: float = 0.15, top_k: int = 3, cut: bool = False,
+    window: int = 3, threshold: float = 0.15, top_k: int = 3, cut: bool = True,
 ) -> Remediation:
     """Detect mean shifts, attribute them to changes, estimate and rank remedies.
 

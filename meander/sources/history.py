@@ -10,31 +10,30 @@ from meander.schemas import HISTORY
 _BAD = "_bad"
 
 
-def read_lines(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
-    """History records plus a ``_bad`` column holding the text of malformed lines."""
-    schema = f"{HISTORY}, seq long, {_BAD} string"
-    return (
-        spark.read.schema(schema)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", _BAD)
-        .option("multiLine", multiline)
-        .json(path)
-    )
+def _parsed_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Each non-blank line with its record; ``rec._bad`` holds the text of malformed ones."""
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BAD}
+    lines = spark.read.text(path).filter(F.trim("value") != "")
+    return lines.select("value", F.from_json("value", f"{HISTORY}, seq long, {_BAD} string", options).alias("rec"))
 
 
 def history_scan(spark: SparkSession, path: str) -> DataFrame:
     """Well-formed records; blank and malformed lines are left out."""
-    return read_lines(spark, path).filter(F.col(_BAD).isNull()).drop(_BAD)
+    good = _parsed_lines(spark, path).filter(F.col("rec").isNotNull() & F.col(f"rec.{_BAD}").isNull())
+    return good.select("rec.*").drop(_BAD)
 
 
 def rejected_lines(spark: SparkSession, path: str) -> DataFrame:
     """The malformed lines, for counting or repair."""
-    return read_lines(spark, path).filter(F.col(_BAD).isNotNull()).select(F.col(_BAD).alias("line"))
+    bad = F.col("rec").isNull() | F.col(f"rec.{_BAD}").isNotNull()
+    return _parsed_lines(spark, path).filter(bad).select(F.col("value").alias("line"))
 
 
 def records_ingest_json(spark: SparkSession, path: str) -> DataFrame:
     """Files that each hold one record or an array of records."""
-    return read_lines(spark, path, multiline=True).filter(F.col(_BAD).isNull()).drop(_BAD)
+    reader = spark.read.schema(f"{HISTORY}, seq long, {_BAD} string").option("multiLine", True)
+    rows = reader.option("columnNameOfCorruptRecord", _BAD).json(path)
+    return rows.filter(F.col(_BAD).isNull()).drop(_BAD)
 
 
 def history_append(records: DataFrame, path: str, next_seq: int = 0) -> None:
