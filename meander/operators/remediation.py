@@ -68,12 +68,17 @@ def recommendation_rank(impacts: DataFrame, by: list[str]) -> DataFrame:
     return numbered(keyed, [*by, "event_id"], ["_a", "_b", "pos"], "priority").drop("_a", "_b")
 
 
-def optimization_plan(events: DataFrame, recommendations: DataFrame, by: list[str]) -> DataFrame:
-    """One plan per event: number of recommendations, the best one and a summary sentence."""
+def optimization_plan(
+    events: DataFrame, recommendations: DataFrame, attributions: DataFrame, by: list[str]
+) -> DataFrame:
+    """One plan per event: number of recommendations, the best one and a summary sentence.
+
+    ``recommendations`` must hold each event's best one; the number is that of the
+    event's factors.
+    """
     event = [*by, "event_id"]
     order = F.struct(-F.col("expected_improvement"), -F.col("confidence"), F.col("pos"))
     best = recommendations.groupBy(*event).agg(
-        F.count(F.lit(1)).alias("num_recommendations"),
         F.min_by(
             F.struct("action_type", "target_run_id", "change_id", "description", "expected_improvement", "confidence"),
             order,
@@ -91,7 +96,8 @@ def optimization_plan(events: DataFrame, recommendations: DataFrame, by: list[st
         F.lit("No actionable recommendations for drift event "), F.col("event_id"),
         F.lit(". No causal factors identified."),
     )
-    return events.select(*event, "metric_name", "magnitude").join(best, event, "left").select(
+    counts = attributions.select(*event, F.col("num_factors").alias("num_recommendations"))
+    return events.select(*event, "metric_name", "magnitude").join(counts, event, "left").join(best, event, "left").select(
         *event, "metric_name", F.col("magnitude").alias("drift_magnitude"),
         F.coalesce("num_recommendations", F.lit(0)).alias("num_recommendations"), "top",
         F.when(top.isNull(), none).otherwise(sentence).alias("summary"),

@@ -111,7 +111,6 @@ conf AS (
 
 
 def _run(spark, sf_dir):
-    """Remediation tables; the history is stored once since several steps read it."""
     return remediate(inputs.history(spark, sf_dir), BY)
 
 
@@ -146,7 +145,8 @@ def _attribution_scores(spark, sf_dir):
 @query("event_confidence", "WITH " + EVENTS_SQL + " SELECT system, block, num_factors, confidence FROM conf")
 def _event_confidence(spark, sf_dir):
     r = _run(spark, sf_dir)
-    return _with_block(r, ch.event_confidence(r.factors, BY)).select("system", "block", "num_factors", "confidence")
+    conf = r.attributions.filter("num_factors > 0")
+    return _with_block(r, conf).select("system", "block", "num_factors", "confidence")
 
 
 @query(
@@ -218,7 +218,7 @@ def _runs_of(r, df):
 @query("scenarios", "WITH " + RESULTS_SQL + " SELECT system, block, pos, runs, num_interventions, confidence FROM scen")
 def _scenarios(spark, sf_dir):
     r = _run(spark, sf_dir)
-    out = _with_block(r, _runs_of(r, cf.scenarios(r.factors, BY)))
+    out = _with_block(r, _runs_of(r, r.scenarios))
     return out.select("system", "block", "pos", "runs", F.size("change_ids").alias("num_interventions"), "confidence")
 
 
@@ -280,7 +280,7 @@ rec AS (
 @query("remediation_actions", "WITH " + ACTIONS_SQL + " SELECT system, block, pos, action_type, target_run_id, factor_score FROM act")
 def _remediation_actions(spark, sf_dir):
     r = _run(spark, sf_dir)
-    out = _with_block(r, rm.remediation_actions(ch.rank_factors(r.factors, BY), BY))
+    out = _with_block(r, r.actions)
     return out.select("system", "block", "pos", "action_type", "target_run_id", "factor_score")
 
 
@@ -471,7 +471,7 @@ def _optimization_cycle(spark, sf_dir):
     results = _tracked(r)
     third = F.pmod(F.col("block"), F.lit(3))
     kind = F.when(third == 0, "adjust_top_k").when(third == 1, "adjust_temperature").otherwise("rollback_config")
-    top = ch.top_factors(r.factors, BY, 1).filter(F.col("system") % 2 == 0)
+    top = r.best_factors.filter((F.col("rank") == 1) & (F.col("system") % 2 == 0))
     executed = _with_block(r, top).select(
         kind.alias("action_type"), F.lit("").alias("target_run_id"), "change_id", F.lit(940.0).alias("executed_at")
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,39 +14,81 @@ from meander.operators import remediation as rm
 from meander.operators.series import mean_shift_events, metric_series
 
 
-@dataclass
 class Remediation:
-    """The tables of one remediation run, from drift events to plans."""
+    """The tables of one remediation run; each is built when first asked for.
 
-    events: DataFrame
-    changes: DataFrame
-    factors: DataFrame
-    attributions: DataFrame
-    estimates: DataFrame
-    counterfactuals: DataFrame
-    recommendations: DataFrame
-    plans: DataFrame
+    Events, changes, factors and results are stored once, as several later tables
+    build on them.
+    """
+
+    def __init__(self, history: DataFrame, by: list[str], metric_name: str, window: int, threshold: float, top_k: int):
+        self.history, self.by, self.metric_name = history, by, metric_name
+        self.window, self.threshold, self.top_k = window, threshold, top_k
+
+    @cached_property
+    def series(self) -> DataFrame:
+        return metric_series(self.history, self.metric_name, self.by)
+
+    @cached_property
+    def events(self) -> DataFrame:
+        found = mean_shift_events(self.series, self.by, ["ts", "seq", "pos"], self.window, self.threshold)
+        return cut_lineage(found.withColumn("metric_name", F.lit(self.metric_name)))
+
+    @cached_property
+    def changes(self) -> DataFrame:
+        return ch.change_events(self.history, self.by)
+
+    @cached_property
+    def factors(self) -> DataFrame:
+        """Every change scored for every event of its stream (the full report)."""
+        return cut_lineage(ch.attribution_scores(ch.event_change_features(self.events, self.changes, self.by), self.by))
+
+    @cached_property
+    def _summary(self) -> tuple[DataFrame, DataFrame]:
+        best, att = ch.attribution_summary(self.events, cut_lineage(self.changes), self.by, self.top_k + 1)
+        return cut_lineage(best), att
+
+    @cached_property
+    def best_factors(self) -> DataFrame:
+        """The ``top_k`` best factors of each event and the one after them."""
+        return self._summary[0]
+
+    @cached_property
+    def attributions(self) -> DataFrame:
+        return self._summary[1]
+
+    @cached_property
+    def estimates(self) -> DataFrame:
+        return cf.estimates(self.events, self.series, self.by)
+
+    @cached_property
+    def scenarios(self) -> DataFrame:
+        return cf.scenarios(self.best_factors, self.by, self.top_k)
+
+    @cached_property
+    def counterfactuals(self) -> DataFrame:
+        return cut_lineage(cf.counterfactuals(self.events, self.scenarios, self.estimates, self.by))
+
+    @cached_property
+    def actions(self) -> DataFrame:
+        return rm.remediation_actions(ch.rank_factors(self.factors, self.by), self.by)
+
+    @cached_property
+    def recommendations(self) -> DataFrame:
+        return rm.recommendation_rank(rm.action_impact(self.actions, self.counterfactuals, self.by), self.by)
+
+    @cached_property
+    def plans(self) -> DataFrame:
+        """Actions past the best ``top_k`` have no estimated effect and keep factor order, so
+        the best recommendation is among the ``top_k + 1`` best factors."""
+        actions = rm.remediation_actions(self.best_factors, self.by)
+        recs = rm.recommendation_rank(rm.action_impact(actions, self.counterfactuals, self.by), self.by)
+        return rm.optimization_plan(self.events, recs, self.attributions, self.by)
 
 
 def remediate(
     history: DataFrame, by: list[str], metric_name: str = "js_divergence",
-    window: int = 3, threshold: float = 0.15, top_k: int = 3, cut: bool = True,
+    window: int = 3, threshold: float = 0.15, top_k: int = 3,
 ) -> Remediation:
-    """Detect mean shifts, attribute them to changes, estimate and rank remedies.
-
-    ``cut`` stores events and factors once, for callers that use several of the
-    resulting tables.
-    """
-    keep = cut_lineage if cut else (lambda df: df)
-    series = metric_series(history, metric_name, by)
-    events = keep(mean_shift_events(series, by, ["ts", "seq", "pos"], window, threshold)
-                  .withColumn("metric_name", F.lit(metric_name)))
-    changes = ch.change_events(history, by)
-    factors, attributions = ch.attribute_drift(events, changes, by)
-    factors = keep(factors)
-    est = cf.estimates(events, series, by)
-    results = keep(cf.counterfactuals(events, cf.scenarios(factors, by, top_k), est, by))
-    actions = rm.remediation_actions(ch.rank_factors(factors, by), by)
-    recs = rm.recommendation_rank(rm.action_impact(actions, results, by), by)
-    plans = rm.optimization_plan(events, recs, by)
-    return Remediation(events, changes, factors, attributions, est, results, recs, plans)
+    """Detect mean shifts, attribute them to changes, estimate and rank remedies."""
+    return Remediation(history, by, metric_name, window, threshold, top_k)

@@ -214,3 +214,26 @@ def test_interventions(spark):
     assert out["undo"].system_version == "1" and out["undo"].timestamp == 1.0
     assert out["undo"].metadata == {"pipeline_name": "a", "system_info": INFO("x").replace(" ", ""), "k": "1"}
     assert out["set"].metadata["k"] == "9" and out["set"].system_version == "2"
+
+
+def test_long_streams_match_pairs(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    kinds = ["model_update", "version_change", "config_change", "unknown"]
+    rows = [("hot" if i % 3 else "cold", f"c{i}", f"r{i}", kinds[rng.integers(4)], float(rng.integers(0, 60)), i) for i in range(120)]
+    c = spark.createDataFrame(rows, "system string, change_id string, run_id string, change_type string, ts double, seq long")
+    ev = [
+        (s, f"e{i}", "m", float(a), float(a + w), m)
+        for s in ("hot", "cold") for i, (a, w, m) in enumerate([(0, 5, 0.4), (20, 0, 0.2), (30, 10, 0.0), (58, 9, 0.3), (-9, 3, 0.3), (70, 1, 0.9)])
+    ]
+    e = spark.createDataFrame(ev, "system string, event_id string, metric_name string, start_ts double, end_ts double, magnitude double")
+    best_a, conf_a = ch.attribution_summary(e, c, BY, 4)
+    for group_limit in (0, 10**6):
+        best_b, conf_b = ch.attribution_summary(e, c, BY, 4, pair_limit=50, group_limit=group_limit)
+        pick = lambda df: sorted((r.system, r.event_id, r["rank"], r.change_id, r.score) for r in df.collect())
+        assert pick(best_a) == pick(best_b)
+        a = {(r.system, r.event_id): (r.num_factors, r.confidence) for r in conf_a.collect()}
+        b = {(r.system, r.event_id): (r.num_factors, r.confidence) for r in conf_b.collect()}
+        assert a.keys() == b.keys()
+        assert all(a[k][0] == b[k][0] and abs(a[k][1] - b[k][1]) <= 1.01e-4 for k in a)
