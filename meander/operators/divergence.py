@@ -11,7 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from meander.functions.ordering import GROUP_LIMIT, order_statistics, running_sums
+from meander.functions.ordering import GROUP_LIMIT, known, order_statistics, running_sums
 
 EPS = 1e-12
 DEFAULT_BINS = 20
@@ -51,7 +51,7 @@ def shared_histogram(
     x: str = "x",
     side: str = "is_current",
     shape: DataFrame | None = None,
-    group_limit: int = GROUP_LIMIT,
+    group_limit: int | None = GROUP_LIMIT,
 ) -> DataFrame:
     """Masses ``p`` (baseline) and ``q`` (current) over one shared set of bins.
 
@@ -105,7 +105,7 @@ def jsd_hist_drift(
     side: str = "is_current",
     threshold: float = 0.15,
     shape: DataFrame | None = None,
-    group_limit: int = GROUP_LIMIT,
+    group_limit: int | None = GROUP_LIMIT,
 ) -> DataFrame:
     """Jensen-Shannon distance of two histograms on shared bins."""
     js = jsd_distance(shared_histogram(df, by, x, side, shape, group_limit), by)
@@ -189,7 +189,7 @@ def w1_1d(
     by: list[str],
     x: str = "x",
     side: str = "is_current",
-    group_limit: int = GROUP_LIMIT,
+    group_limit: int | None = GROUP_LIMIT,
 ) -> DataFrame:
     """Wasserstein-1 distance: area between the two empirical distribution functions.
 
@@ -198,13 +198,16 @@ def w1_1d(
     which needs running counts only.
     """
     data = df.select(*by, F.col(side).alias("_side"), F.col(x).alias("x")).filter(F.col("x").isNotNull())
+    limit = known(data, by, group_limit)
+    if limit is None:
+        data = data.repartition(*by)  # one shuffle serves the merge and the running counts
     counts = data.groupBy(*by, "x").agg(
         F.count_if(~F.col("_side")).alias("_b"), F.count_if(F.col("_side")).alias("_c")
     )
     totals = counts.groupBy(*by).agg(
         F.sum("_b").alias("nb"), F.sum("_c").alias("nc"), F.min("x").alias("_x0")
     )
-    cum = running_sums(counts, by, ["x"], {"_cb": F.col("_b"), "_cc": F.col("_c")}, group_limit)
+    cum = running_sums(counts, by, ["x"], {"_cb": F.col("_b"), "_cc": F.col("_c")}, limit)
     gap = lambda b, c: F.abs(b / F.col("nb") - c / F.col("nc"))
     after = gap(F.col("_cb"), F.col("_cc"))
     before = gap(F.col("_cb") - F.col("_b"), F.col("_cc") - F.col("_c"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from meander.functions.runtime import cut_lineage
 from meander.operators import mmd
 from meander.operators.divergence import component_kl, jsd_bits, jsd_hist_drift
 from meander.operators.kde import kde_density
@@ -40,10 +41,11 @@ def latent_drift(
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}, got {metric!r}")
     cur = F.col(side)
-    model = pca_fit(vectors.filter(~cur), by, k, vec)
+    model = cut_lineage(pca_fit(vectors.filter(~cur), by, k, vec))  # one row per key
     info = model.select(*by, "n", F.col("ratio").alias("explained_variance_ratio"))
     width = info.select(F.max(F.size("explained_variance_ratio"))).first()[0]
-    proj = pca_project(vectors.select(*by, id_col, side, vec), model, by, vec)
+    proj = pca_project(vectors.select(*by, id_col, side, vec), model, by, vec).drop(vec)
+    proj = cut_lineage(proj)  # k numbers per row, read by every pass of the metric
     score = _score(proj, by, metric, id_col, side, None, width)
     sizes = vectors.groupBy(*by).agg(
         F.count_if(~cur).alias("n_samples_baseline"), F.count_if(cur).alias("n_samples_current")
@@ -68,9 +70,9 @@ def latent_dual_track(
 
     With ``jsd`` every track is compared with the density of the combined baseline.
     """
-    model = pca_fit(vectors.filter(~F.col(side)), [], k, vec)
+    model = cut_lineage(pca_fit(vectors.filter(~F.col(side)), [], k, vec))
     width = len(model.select("ratio").first()["ratio"])
-    proj = pca_project(vectors.select(track, id_col, side, vec), model, [], vec)
+    proj = cut_lineage(pca_project(vectors.select(track, id_col, side, vec), model, [], vec).drop(vec))
     rows = proj.withColumn(track, F.explode(F.array(F.col(track), F.lit("unified"))))
     base = proj.filter(~F.col(side)).select("proj")
     keyed_base = base.withColumn(track, F.explode(F.array(F.lit("retrieval"), F.lit("generation"), F.lit("unified"))))
@@ -101,8 +103,8 @@ def vector_jsd(
     vectors: DataFrame, by: list[str], threshold: float = 0.15, vec: str = "embedding", side: str = "is_current"
 ) -> DataFrame:
     """Histogram distance of both sides on the first component of their union."""
-    model = pca_fit(vectors, by, 1, vec)
-    proj = pca_project(vectors.select(*by, side, vec), model, by, vec)
+    model = cut_lineage(pca_fit(vectors, by, 1, vec))
+    proj = pca_project(vectors.select(*by, side, vec), model, by, vec).drop(vec)
     return jsd_hist_drift(proj.withColumn("x", F.col("proj")[0]), by, "x", side, threshold)
 
 
@@ -110,5 +112,5 @@ def component_kl_pca(
     vectors: DataFrame, by: list[str], k: int = 10, threshold: float = 0.5, vec: str = "embedding", side: str = "is_current"
 ) -> DataFrame:
     """KL per principal component of the baseline (at most ``k``)."""
-    model = pca_fit(vectors.filter(~F.col(side)), by, k, vec)
+    model = cut_lineage(pca_fit(vectors.filter(~F.col(side)), by, k, vec))
     return component_kl(pca_project(vectors.select(*by, side, vec), model, by, vec), by, "proj", side, threshold)

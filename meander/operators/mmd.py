@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meander.functions.ordering import GROUP_LIMIT, numbered
+from meander.functions.runtime import cut_lineage
 from meander.operators.blocks import (
     BLOCK_ROWS, block_count, block_pairs, matrix, packed, per_pair, side_sizes, squared_distances,
 )
@@ -101,7 +102,8 @@ def _pairs(vectors: DataFrame, by: list[str], block_rows: int, attrs: list[str]
     sizes = {tuple(r[b] for b in by): (r["nb"], r["nc"]) for r in side_sizes(vectors, by, F.col("side")).collect()}
     largest = max((sum(v) for v in sizes.values()), default=0)
     blocks = block_count(largest, block_rows)
-    table = packed(vectors, by, "id", "embedding", blocks, attrs)
+    # stored once: every pass below reads each block many times
+    table = cut_lineage(packed(vectors, by, "id", "embedding", blocks, attrs))
     return sizes, table, block_pairs(table, table, by, blocks, upper=True)
 
 

@@ -3,48 +3,94 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from meander.operators.blocks import BLOCK_ROWS, block_count, block_pairs, matrix, packed, per_pair
+from meander.operators.blocks import BLOCK_ROWS, block_count, block_pairs, matrix, packed
+
+SMALL_CELLS = 4_000_000  # numbers in a query set that may ship to every task (32 MB)
 
 
 def vector_topk(
     queries: DataFrame, chunks: DataFrame, k: int = 3, query_id: str = "query_id", chunk_id: str = "chunk_id",
-    vec: str = "embedding", block_rows: int = BLOCK_ROWS,
+    vec: str = "embedding", block_rows: int = BLOCK_ROWS, small_cells: int = SMALL_CELLS,
 ) -> DataFrame:
     """``query_id, chunk_id, distance, rank`` of the ``k`` nearest chunks per query.
 
-    Each pair of blocks keeps its own best ``k`` per query; the final ranking sees
-    only those.  Distances count as equal within 1e-9, then the lower id wins.
+    A query set of up to ``small_cells`` numbers ships to every task and the chunks
+    stream past it unshuffled.  A larger one meets the chunks block by block.  Both
+    keep the best ``k`` per query early, so the final ranking sees only those.
+    Distances count as equal within 1e-9, then the lower id wins.
     """
-    qb, cb = block_count(queries.count(), block_rows), block_count(chunks.count(), block_rows)
-    q = packed(queries.withColumnRenamed(query_id, "id"), [], "id", vec, qb, [])
-    c = packed(chunks.withColumnRenamed(chunk_id, "id"), [], "id", vec, cb, [])
-    pairs = block_pairs(q, c, [], cb, upper=False)
-
-    def unit(m):
-        norms = np.linalg.norm(m, axis=1, keepdims=True)
-        return np.divide(m, norms, out=np.full_like(m, np.nan), where=norms > 0)
-
-    def kernel(row):
-        d = np.round(1.0 - unit(matrix(row.a_flat, row.a_n)) @ unit(matrix(row.b_flat, row.b_n)).T, 9)
-        ids = np.asarray(row.b_ids)
-        order = np.argsort(ids, kind="stable")
-        d, ids = d[:, order], ids[order]
-        best = np.argsort(d, axis=1, kind="stable")[:, :k]
-        for i, qid in enumerate(row.a_ids):
-            for j in best[i]:
-                if not np.isnan(d[i, j]):
-                    yield (qid, ids[j], float(d[i, j]))
-
     q_type = queries.schema[query_id].dataType.simpleString()
     c_type = chunks.schema[chunk_id].dataType.simpleString()
-    best = per_pair(pairs, kernel, f"query_id {q_type}, chunk_id {c_type}, distance double")
+    schema = f"query_id {q_type}, chunk_id {c_type}, distance double"
+    rows, width = queries.agg(F.count(F.lit(1)), F.max(F.size(vec))).first()
+    if rows * (width or 0) <= small_cells:
+        best = _against_shipped(queries, chunks, k, query_id, chunk_id, vec, schema)
+    else:
+        best = _against_blocks(queries, chunks, k, query_id, chunk_id, vec, schema, rows, block_rows)
     w = Window.partitionBy("query_id").orderBy("distance", "chunk_id")
     return best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def _unit(m: np.ndarray) -> np.ndarray:
+    norms = np.linalg.norm(m, axis=1, keepdims=True)
+    return np.divide(m, norms, out=np.full_like(m, np.nan), where=norms > 0)
+
+
+def _nearest(q: np.ndarray, c: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distances and ids of the ``k`` nearest rows of ``c`` for each row of ``q`` (unit vectors)."""
+    order = np.argsort(ids, kind="stable")
+    d = np.round(1.0 - q @ c[order].T, 9)
+    best = np.argsort(d, axis=1, kind="stable")[:, :k]  # undefined distances sort last
+    return np.take_along_axis(d, best, 1), ids[order][best]
+
+
+def _table(query_ids, d: np.ndarray, ids: np.ndarray) -> pd.DataFrame:
+    out = pd.DataFrame(
+        {"query_id": np.repeat(np.asarray(query_ids), d.shape[1]), "chunk_id": ids.ravel(), "distance": d.ravel()}
+    )
+    return out.dropna(subset=["distance"])
+
+
+def _against_shipped(queries, chunks, k, query_id, chunk_id, vec, schema):
+    q = queries.select(query_id, vec).toPandas()  # bounded by the caller's check
+    q_ids = q[query_id].to_numpy()
+    q_unit = _unit(np.vstack(q[vec].to_numpy()).astype(float)) if len(q) else np.zeros((0, 1))
+
+    def run(batches):
+        kept = None
+        for pdf in batches:
+            if not len(pdf) or not len(q_ids):
+                continue
+            d, ids = _nearest(q_unit, _unit(np.vstack(pdf[vec].to_numpy()).astype(float)), pdf[chunk_id].to_numpy(), k)
+            if kept is not None:
+                d, ids = np.hstack([kept[0], d]), np.hstack([kept[1], ids])
+                best = np.lexsort((ids, d), axis=1)[:, :k]
+                d, ids = np.take_along_axis(d, best, 1), np.take_along_axis(ids, best, 1)
+            kept = d, ids
+        if kept is not None:
+            yield _table(q_ids, *kept)
+
+    return chunks.select(chunk_id, vec).mapInPandas(run, schema)
+
+
+def _against_blocks(queries, chunks, k, query_id, chunk_id, vec, schema, rows, block_rows):
+    qb, cb = block_count(rows, block_rows), block_count(chunks.count(), block_rows)
+    q = packed(queries.withColumnRenamed(query_id, "id"), [], "id", vec, qb, [])
+    c = packed(chunks.withColumnRenamed(chunk_id, "id"), [], "id", vec, cb, [])
+
+    def run(batches):
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                a, b = _unit(matrix(row.a_flat, row.a_n)), _unit(matrix(row.b_flat, row.b_n))
+                yield _table(row.a_ids, *_nearest(a, b, np.asarray(row.b_ids), k))
+
+    return block_pairs(q, c, [], cb, upper=False).mapInPandas(run, schema)
+
+
 def multi_query_topk(sub_queries: DataFrame, chunks: DataFrame, k: int = 3, **kw) -> DataFrame:
     """Contexts of a request made of several sub-queries, in sub-query order.
 

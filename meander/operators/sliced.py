@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meander.functions.ordering import GROUP_LIMIT
+from meander.functions.ordering import GROUP_LIMIT, known
 from meander.operators.divergence import w1_1d
 
 
@@ -62,5 +62,6 @@ def sliced_wasserstein(
             yield rep
 
     flat = vectors.select(*by, side, vec).mapInPandas(run, schema)
-    per = w1_1d(flat, [*by, "direction"], "x", side, group_limit)
+    # every direction of a key has the key's rows, so the size check runs on the vectors
+    per = w1_1d(flat, [*by, "direction"], "x", side, known(vectors, by, group_limit))
     return per.groupBy(*by).agg(F.avg("w1").alias("swd"))

@@ -17,7 +17,7 @@ from meander.operators.series import mean_shift_events, metric_series
 class Remediation:
     """The tables of one remediation run; each is built when first asked for.
 
-    Events, changes, factors and results are stored once, as several later tables
+    Series, events, changes, factors and results are stored once, as several later tables
     build on them.
     """
 
@@ -27,7 +27,8 @@ class Remediation:
 
     @cached_property
     def series(self) -> DataFrame:
-        return metric_series(self.history, self.metric_name, self.by)
+        # five passes follow; the series is a narrow slice of the records
+        return cut_lineage(metric_series(self.history, self.metric_name, self.by))
 
     @cached_property
     def events(self) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from meander.functions.runtime import cut_lineage
 from meander.operators import alerts, buffer, series
 from meander.schemas import FRAME, RAG_TYPES
 from meander.streaming.fold import fold_stream
@@ -83,6 +84,7 @@ def stream_drift(
 
     def update(state, batch):
         new = buffer.vector_reservoir(state.unionByName(batch.select("seq", "track", "embedding")), capacity=capacity)
+        new = cut_lineage(new)  # at most the buffer's capacity
         ready = buffer.buffer_ready(new, min_samples=min_samples).filter("is_ready AND track <> 'total'").select("track")
         both = tag_union(
             baseline.select("track", F.concat(F.lit("b"), "seq").alias("vec_id"), "embedding"),

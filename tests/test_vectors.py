@@ -131,13 +131,13 @@ def test_kde_density_and_bits(vectors):
     assert 0 <= jsd_bits(kde.kde_density(rows, ["k"]), ["k"]).first().jsd <= 1
 
 
-@pytest.mark.parametrize("block", [5, 4096])
-def test_topk(spark, vectors, block):
+@pytest.mark.parametrize("block, cells", [(5, 0), (4096, 0), (1, 10**6)])
+def test_topk(spark, vectors, block, cells):
     rows = vectors.filter("k = 'a'")
     q = rows.filter("is_current").select(F.col("vec_id").alias("query_id"), "embedding")
     c = rows.filter("NOT is_current").select(F.col("vec_id").alias("chunk_id"), "embedding")
     got = {}
-    for r in retrieval.vector_topk(q, c, 3, block_rows=block).collect():
+    for r in retrieval.vector_topk(q, c, 3, block_rows=block, small_cells=cells).collect():
         got.setdefault(r.query_id, {})[r["rank"]] = r.chunk_id
     for i, v in enumerate(CUR):
         dist = np.round(1 - (BASE @ v) / np.linalg.norm(BASE, axis=1) / np.linalg.norm(v), 9)
