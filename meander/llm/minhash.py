@@ -6,8 +6,9 @@ hash functions; ``ROWS`` of them make a band key, and classes that share a key o
 similarity of 0.85 a pair misses all bands with probability (1 - 0.85^8)^48 = 2e-7.
 
 Candidates are linked to one pivot per bucket first, which is linear in the bucket.  Pairs are then checked on
-their signatures, confirmed on their full sets, and joined to components.  A second pass takes up the pairs of
-those buckets that still hold several components, so a link between members other than the pivot is not lost.
+their signatures, confirmed on their full sets, and joined to components.  A second pass takes up those buckets that
+still hold several components, so a link between members other than the pivot is not lost: members of different
+components meet block by block in numpy, and only pairs whose signatures agree become rows.
 
 Null texts and texts without words have an empty set and are linked with nothing.  Rows with one id count as one
 document; repeated rows are equal sets.  A null id is never the smallest of a group that has ids.
@@ -27,9 +28,10 @@ from meander.llm.components import components
 
 SHINGLE = 5
 ROWS, BANDS = 8, 48
-SKETCH = 192  # minima whose low 16 bits make the signature check
-LOW = 0.70  # signature estimate below which a pair cannot be near 0.85 (six standard deviations)
+SKETCH = ROWS * BANDS  # minima whose low 16 bits make the signature check
+LOW = 0.755  # signature estimate that a pair at 0.85 stays above (five standard deviations)
 BUCKETS = 1 << 20
+BLOCK = 1024  # members of a bucket that meet in one task at a time
 
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -154,6 +156,59 @@ def by_signature(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return joined.select("u", "v", "su", "sv").mapInArrow(run, "u long, v long")
 
 
+def within_buckets(members: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """``u, v`` pairs of different components in one bucket whose signatures agree, each from its first common band.
+
+    ``members``: ``key, v, n`` (size), ``c`` (component), ``blocks`` (of the bucket).  Blocks of a bucket meet in pairs.
+    """
+    wide = classes.select(F.col("rep").alias("v"), "keys", "sketch")
+    block = F.pmod(F.xxhash64("v"), F.col("blocks"))
+    rows = members.withColumn("own", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select(
+        "key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "v", "n", "c"
+    ).join(wide, "v").select("key", "lo", "hi", "own", "v", "n", "c", "keys", "sketch")
+    rows = rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+
+    def pairs(group):
+        """Rows: (own, v, n, c, keys, sketch) of one pair of blocks."""
+        key, lo, hi = group[0][:3]
+        own, v, n, c = (np.array([r[i] for r in group], np.int64) for i in (3, 4, 5, 6))
+        sketch = np.frombuffer(b"".join([r[8] for r in group]), "<u2").reshape(len(group), SKETCH)
+        out = []
+        for i in range(len(group)):
+            fit = (v > v[i]) & (c != c[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
+            if lo != hi:
+                fit &= own != own[i]
+            at = np.flatnonzero(fit)
+            if len(at):
+                near = at[(sketch[at] == sketch[i]).mean(axis=1) >= LOW]
+                # a pair that shares an earlier band comes from there
+                out += [(int(v[i]), int(v[j])) for j in near
+                        if next(x for x, y in zip(group[i][7], group[j][7], strict=True) if x == y) == key]
+        return out
+
+    def run(batches):
+        group = []
+        for batch in sliced(batches, 1024):
+            out = []
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if group and row[:3] != group[0][:3]:
+                    out += pairs(group)
+                    group = []
+                group.append(row)
+            yield _pairs(out)
+        if group:
+            yield _pairs(pairs(group))
+
+    return rows.mapInArrow(run, "u long, v long")
+
+
+def _pairs(rows: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array([r[i] for r in rows], pa.int64()) for i in (0, 1)], names=["u", "v"]
+    )
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, percent: int, doc_id: str, text: str) -> DataFrame:
     """The ``u, v`` pairs whose full sets have ``100 * shared >= percent * union``.
 
@@ -222,13 +277,11 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85, doc_id: str = "doc_id
     labelled = members.join(c, "v", "left").select(
         "key", "v", F.col("n_v").alias("n"), F.coalesce("component", "v").alias("c")
     )
-    open_keys = labelled.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high")
-    rest = labelled.join(open_keys.select("key"), "key")
-    a = rest.select("key", F.col("v").alias("u"), F.col("n").alias("n_u"), F.col("c").alias("c_u"))
-    b = rest.select("key", F.col("v").alias("v"), F.col("n").alias("n_v"), F.col("c").alias("c_v"))
-    others = a.join(b, "key").where("u < v and c_u <> c_v").where(_alike(percent)).select("u", "v").distinct()
-    others = others.join(stars, ["u", "v"], "left_anti")
-    more = materialised(by_signature(others, classes), "candidates")
+    open_keys = labelled.groupBy("key").agg(
+        F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("m")
+    ).where("low < high").select("key", F.ceil(F.col("m") / BLOCK).alias("blocks"))
+    others = within_buckets(labelled.join(open_keys, "key"), classes, percent)
+    more = materialised(others.distinct().join(stars, ["u", "v"], "left_anti"), "candidates")
     if not more.isEmpty():
         links = links.union(materialised(confirmed(more, docs, percent, doc_id, text), "links"))
         found = components(links)
