@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from meander.llm import fingerprints, langid, licenses, minhash, mixing, packing, quality, secrets
+from meander.llm import fingerprints, langid, licenses, minhash, mixing, neighbours, packing, quality, secrets
 from meander.llm.common import id_hash, table
 
 QUERIES: dict = {}
@@ -74,6 +74,11 @@ def op7_byte_cnn_quality(spark, sf_dir):
     return quality.classify(docs, net, ["doc_id", held.alias("held_out")])
 
 
+@query("op8_kmeans_tree_search")
+def op8_kmeans_tree_search(spark, sf_dir):
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
 @query("op9_minhash_dedup")
 def op9_minhash_dedup(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
