@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from meander.llm import fingerprints, langid, licenses, minhash, mixing, neighbours, packing, quality, secrets
+from meander.llm import fingerprints, htmlmodel, langid, licenses, minhash, mixing, neighbours, packing, quality, secrets
 from meander.llm.common import id_hash, table
 
 QUERIES: dict = {}
@@ -40,6 +40,12 @@ def op2_entropy_mix(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents")).drop("mark")
 
 
+@query("op3_html_tree_model")
+def op3_html_tree_model(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    return htmlmodel.extract(pages, htmlmodel.fit(pages), ["page_id", "url"])
+
+
 @query("op4_secret_ownership")
 def op4_secret_ownership(spark, sf_dir):
     found = secrets.document_spans(table(spark, sf_dir, "documents"))
