@@ -98,7 +98,10 @@ def edited(text: str, following: str) -> str:
 
 def _bounds(docs: DataFrame, doc_id: str) -> np.ndarray:
     """Ids at which the slices of the order begin: the least id of each range partition, one number per partition."""
-    ranged = docs.select(F.col(doc_id).cast("long").alias("id")).where("id is not null").repartitionByRange("id")
+    ids = docs.select(F.col(doc_id).cast("long").alias("id")).where("id is not null")
+    # a number of its own: the planner would merge partitions of bare ids, and with them the slices of texts
+    slices = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = ids.repartitionByRange(slices, "id")
     rows = ranged.groupBy(F.spark_partition_id()).agg(F.min("id").alias("id")).select("id").distinct().collect()
     return np.sort(np.array([r[0] for r in rows], dtype=np.int64))
 

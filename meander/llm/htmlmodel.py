@@ -8,7 +8,7 @@ text, joined in page order.
 
 Labelled pages are of two kinds: the small pages of ``LABELLED``, in which elements are marked, and a bounded sample
 (``max_train``) of the table's own pages that hold exactly one ``article`` or ``main`` element, which says what is
-content.  Sectioning names are hidden in copies of them, so that the model also learns from the rest.
+content.  Sectioning names are hidden in copies of the latter, so that the model also learns from the rest.
 
 Null and empty pages give an empty text; repeated rows give equal results; extra columns are ignored.
 """
@@ -87,6 +87,10 @@ LABELLED = [
     "<div c><p c>A page without any frame around it, only this paragraph.</p><p c>And one more.</p></div>",
     "<p c>A single paragraph is all there is on this page, which is fine.</p>",
     "<body c>Bare text in the body of a page, without any element in it at all.</body>",
+    "<body><header>The Daily</header><div class=text c><h1 c>Name</h1><p c>A paragraph under a heading, long enough to "
+    "be read.</p></div><footer>Terms</footer>",
+    "<body><header>Shop</header><nav><a>Start</a></nav><section c><p c>Words of the section, all of them good, and a "
+    "stop.</p></section><footer>Help</footer>",
     "<body><aside><p>Side box, first of all things on the page.</p></aside><main c><p c>The text proper, which is not "
     "long.</p><div class=comment-list><p>Reader words, as long as the text itself is.</p></div></main>",
 ]
@@ -222,7 +226,7 @@ def train(labelled: list[tuple[Page, np.ndarray]], *, ridge: float = 0.3, rounds
     own = [_marked(h) for h in LABELLED]
     for pages, share in ((labelled, 1.0), (own, max(1.0, 0.25 * len(labelled) / len(own)))):
         for page, label in pages:
-            for version in (page, _hidden(page, rng)):
+            for version in (page, page if pages is own else _hidden(page, rng)):
                 f = features(version)
                 x.append(f)
                 y.append(label)

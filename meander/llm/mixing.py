@@ -127,14 +127,18 @@ def whole_copies(sizes: DataFrame, dual: DataFrame, cap: float = 2.0, passes: in
     for _ in range(passes):
         left = groups.groupBy("src").agg((F.max("target") - F.sum(F.col("copies") * F.col("size"))).alias("left"))
         room = F.when(F.col("left") > 0, most - F.col("copies")).otherwise(F.col("copies"))
+        gap = F.abs(F.col("left"))
         fitting = groups.join(left, "src").withColumn("room", room).where(
-            (F.col("size") > 0) & (F.col("room") > 0) & (F.col("size") <= F.abs(F.col("left")))
+            (F.col("size") > 0) & (F.col("room") > 0) & (F.col("size") < 2 * gap)
         )
-        # the largest size that fits takes as many copies as fit
-        best = fitting.groupBy("src").agg(F.max(F.struct("size", "room", "left")).alias("b")).select(
+        # the size whose copies, as many as fit or one too large, come nearest
+        times = F.greatest(F.lit(1), F.least(F.col("room"), F.floor(gap / F.col("size"))))
+        fitting = fitting.withColumn("times", times).withColumn("rest", F.abs(gap - F.col("times") * F.col("size")))
+        best = fitting.groupBy("src").agg(
+            F.min(F.struct("rest", -F.col("size"), "size", "times", "left")).alias("b")
+        ).select(
             F.col("src").alias("s"), F.col("b.size").alias("z"),
-            (F.least(F.col("b.room"), F.floor(F.abs(F.col("b.left")) / F.col("b.size")))
-             * F.signum(F.col("b.left"))).cast("long").alias("more"),
+            (F.col("b.times") * F.signum(F.col("b.left"))).cast("long").alias("more"),
         )
         joined = groups.join(best, (F.col("src") == F.col("s")) & (F.col("size") == F.col("z")), "left")
         groups = materialised(
