@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from meander.llm.common import materialised, sliced
 
-SHARD = 8192
+SHARD = 2048
 PORTION = 4096
 
 
