@@ -217,6 +217,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int, doc_id: str, text
     """
     degree = pairs.groupBy("u").agg(F.ceil(F.count(F.lit(1)) / 1000).alias("portions"))
     placed = pairs.join(degree, "u").withColumn("portion", F.pmod(F.xxhash64("v"), F.col("portions")))
+    placed = materialised(placed.select("u", "v", "portion"), "placed-pairs")  # read three times below
     need = placed.select("u", "portion", F.lit(1).alias("role"), F.col("v").alias("id")).union(
         placed.select("u", "portion").distinct().select("u", "portion", F.lit(0).alias("role"), F.col("u").alias("id"))
     )
