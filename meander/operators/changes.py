@@ -6,9 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meander.functions.columns import stable_id
-from meander.functions.ordering import (
-    GROUP_LIMIT, drop_halo, framed, largest_group, numbered, running_sums,
-)
+from meander.functions.ordering import GROUP_LIMIT, drop_halo, framed, numbered
 
 # fixed values: weight of each change type, and of the three score parts
 TYPE_WEIGHTS = {"model_update": 1.0, "version_change": 0.8, "config_change": 0.6, "unknown": 0.3}
@@ -173,95 +171,15 @@ def attribute_drift(events: DataFrame, changes: DataFrame, by: list[str]) -> tup
     return factors, attributions(events, event_confidence(factors, by), by)
 
 
-PAIR_LIMIT = 1000
-
-
 def attribution_summary(
-    events: DataFrame, changes: DataFrame, by: list[str], top: int, pair_limit: int = PAIR_LIMIT,
-    group_limit: int = GROUP_LIMIT,
+    events: DataFrame, changes: DataFrame, by: list[str], top: int
 ) -> tuple[DataFrame, DataFrame]:
     """``(best, attributions)``: the ``top`` factors of every event, and its confidence.
 
-    Nothing here needs the full factor list.  Streams of up to ``pair_limit``
-    changes are scored change by change.  In a longer stream the sum of scores
-    comes from running totals of change times and the best factors from the
-    changes nearest to the window, so the work per event does not grow with the
-    stream; there the sum is taken before the 4-digit rounding of single scores,
-    which moves the confidence by less than 1e-5.
+    One path at any size: every change of an event's stream is scored, as in
+    :func:`attribution_scores`, but the scores are never stored.  Counts, sums
+    and the largest score are added up in the tasks that make the scores, and
+    each task passes on its ``top`` best ones only.
     """
-    if largest_group(changes, by) <= pair_limit:
-        scores = attribution_scores(event_change_features(events, changes, by), by)
-        return top_factors(scores, by, top), attributions(events, event_confidence(scores, by), by)
-    long = changes.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > pair_limit).select(*by)
-    side = lambda df, how: df.join(long, by, how)
-    best_a, conf_a = attribution_summary(side(events, "left_anti"), side(changes, "left_anti"), by, top, pair_limit)
-    best_b, conf_b = _attribute_long(side(events, "left_semi"), side(changes, "left_semi"), by, top, group_limit)
-    return best_a.unionByName(best_b), conf_a.unionByName(conf_b)
-
-
-def _counted(events: DataFrame, changes: DataFrame, by: list[str], sums: dict[str, Column], group_limit: int) -> DataFrame:
-    """Totals of ``sums`` over the changes before each window and up to its end (``_s`` / ``_e`` suffix).
-
-    Window bounds are merged into the ordered changes as rows of weight zero.
-    """
-    key = [*by, "event_id"]
-    point = changes.select(*by, F.col("ts").alias("_t"), F.lit(1).alias("_at"), F.lit("").alias("event_id"), "seq", *[c.alias(n) for n, c in sums.items()])
-    zero = [F.lit(0.0).alias(n) for n in sums]
-    none = F.lit(None).cast("long").alias("seq")
-    bound = lambda ts, at: events.select(*by, F.col(ts).alias("_t"), F.lit(at).alias("_at"), "event_id", none, *zero)
-    merged = point.unionByName(bound("start_ts", 0)).unionByName(bound("end_ts", 2))
-    cum = running_sums(merged, by, ["_t", "_at", "seq", "event_id"], {f"_c_{n}": F.col(n) for n in sums}, group_limit)
-    pick = lambda n, at: F.max(F.when(F.col("_at") == at, F.col(f"_c_{n}")))
-    return cum.filter(F.col("_at") != 1).groupBy(*key).agg(
-        *[pick(n, 0).alias(f"{n}_s") for n in sums], *[pick(n, 2).alias(f"{n}_e") for n in sums]
-    )
-
-
-def _attribute_long(events, changes, by, top, group_limit):
-    key = [*by, "event_id"]
-    window = events.select(*key, "metric_name", "start_ts", "end_ts", "magnitude")
-    # times count from the stream's first change, which keeps the sums small
-    whole = changes.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), F.min("ts").alias("t0"), F.max("ts").alias("t1"),
-        F.sum(type_weight(F.col("change_type"))).alias("weights"),
-    )
-    timed = changes.join(whole.select(*by, "t0"), by)
-    totals = _counted(window, timed, by, {"k": F.lit(1.0), "t": F.col("ts") - F.col("t0")}, group_limit)
-    e = window.join(totals, key).join(whole, by)
-    e = e.join(timed.groupBy(*by).agg(F.sum(F.col("ts") - F.col("t0")).alias("t_all")), by)
-    start, end = F.col("start_ts") - F.col("t0"), F.col("end_ts") - F.col("t0")
-    before = start * F.col("k_s") - F.col("t_s")
-    after = (F.col("t_all") - F.col("t_e")) - end * (F.col("n") - F.col("k_e"))
-    farthest = F.greatest(F.lit(0.0), F.col("start_ts") - F.col("t0"), F.col("t1") - F.col("end_ts"))
-    e = e.withColumn("_max", farthest)
-    near = F.when(F.col("_max") > 0, F.col("n") - (before + after) / F.col("_max")).otherwise(F.col("n"))
-    size = F.when(F.col("magnitude") > 0, F.col("n")).otherwise(F.lit(0))
-    e = e.withColumn(
-        "_sum", F.lit(WEIGHT_TIME) * near + F.lit(WEIGHT_TYPE) * F.col("weights") + F.lit(WEIGHT_MAGNITUDE) * size
-    )
-
-    # candidates: of each type, the nearest changes before, from the start on, and past the end
-    kind = [*by, "change_type"]
-    kinds = changes.select(*kind).distinct()
-    typed = _counted(window.join(kinds, by), changes, kind, {"k": F.lit(1.0)}, group_limit)
-    forward = numbered(changes, kind, ["ts", "seq"], "_rank", group_limit)
-    backward = numbered(changes.withColumn("_back", -F.col("seq")), kind, ["ts", "_back"], "_rank", group_limit).drop("_back")
-    ranks = lambda a: F.explode(F.transform(F.sequence(F.lit(1), F.lit(top)), lambda i: (a + i).cast("long")))
-    want = lambda a: typed.select(*kind, "event_id", ranks(a).alias("_rank"))
-    ahead = want(F.col("k_s")).unionByName(want(F.col("k_e"))).distinct()
-    behind = want(F.col("k_s") - top)
-    near_rows = ahead.join(forward, [*kind, "_rank"]).unionByName(behind.join(backward, [*kind, "_rank"])).drop("_rank")
-    candidates = near_rows.select(*key, "change_id", "run_id", "change_type", "ts", "seq").dropDuplicates([*key, "change_id"])
-    joined = candidates.join(e.select(*key, "start_ts", "end_ts", "magnitude", "_max"), key)
-    inside = (F.col("ts") >= F.col("start_ts")) & (F.col("ts") <= F.col("end_ts"))
-    away = F.least(F.abs(F.col("ts") - F.col("start_ts")), F.abs(F.col("ts") - F.col("end_ts")))
-    scored = joined.select(
-        *key, "change_id", "run_id", "change_type", "ts", "seq",
-        type_weight(F.col("change_type")).alias("type_weight"),
-        F.when(inside, F.lit(0.0)).otherwise(away).alias("time_delta"),
-        inside.alias("in_window"), F.col("magnitude").alias("drift_magnitude"), "_max",
-    ).withColumn("score", _score(F.col("_max"))).drop("_max")
-    best = top_factors(scored, by, top)
-    first = best.filter("rank = 1").select(*key, F.col("score").alias("_top"))
-    conf = F.when(F.col("_sum") > 0, F.round(F.col("_top") / F.col("_sum"), 4)).otherwise(F.lit(0.0))
-    return best, e.join(first, key).select(*key, "metric_name", F.col("n").alias("num_factors"), conf.alias("confidence"))
+    scores = attribution_scores(event_change_features(events, changes, by), by)
+    return top_factors(scores, by, top), attributions(events, event_confidence(scores, by), by)

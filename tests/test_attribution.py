@@ -216,24 +216,40 @@ def test_interventions(spark):
     assert out["set"].metadata["k"] == "9" and out["set"].system_version == "2"
 
 
-def test_long_streams_match_pairs(spark):
+def test_long_stream_takes_the_earliest_of_equal_scores(spark):
+    """200,000 changes a second apart and random ones with many ties, against all scores in numpy."""
     import numpy as np
+    from pyspark.sql import functions as F
 
-    rng = np.random.default_rng(8)
-    kinds = ["model_update", "version_change", "config_change", "unknown"]
-    rows = [("hot" if i % 3 else "cold", f"c{i}", f"r{i}", kinds[rng.integers(4)], float(rng.integers(0, 60)), i) for i in range(120)]
-    c = spark.createDataFrame(rows, "system string, change_id string, run_id string, change_type string, ts double, seq long")
-    ev = [
-        (s, f"e{i}", "m", float(a), float(a + w), m)
-        for s in ("hot", "cold") for i, (a, w, m) in enumerate([(0, 5, 0.4), (20, 0, 0.2), (30, 10, 0.0), (58, 9, 0.3), (-9, 3, 0.3), (70, 1, 0.9)])
-    ]
-    e = spark.createDataFrame(ev, "system string, event_id string, metric_name string, start_ts double, end_ts double, magnitude double")
-    best_a, conf_a = ch.attribution_summary(e, c, BY, 4)
-    for group_limit in (0, 10**6):
-        best_b, conf_b = ch.attribution_summary(e, c, BY, 4, pair_limit=50, group_limit=group_limit)
-        pick = lambda df: sorted((r.system, r.event_id, r["rank"], r.change_id, r.score) for r in df.collect())
-        assert pick(best_a) == pick(best_b)
-        a = {(r.system, r.event_id): (r.num_factors, r.confidence) for r in conf_a.collect()}
-        b = {(r.system, r.event_id): (r.num_factors, r.confidence) for r in conf_b.collect()}
-        assert a.keys() == b.keys()
-        assert all(a[k][0] == b[k][0] and abs(a[k][1] - b[k][1]) <= 1.01e-4 for k in a)
+    n = 200_000
+    even = spark.range(n).select(
+        F.lit("even").alias("system"), F.concat(F.lit("c"), "id").alias("change_id"), F.lit("r").alias("run_id"),
+        F.lit("config_change").alias("change_type"), F.col("id").cast("double").alias("ts"), F.col("id").alias("seq"),
+    )
+    tied = even.where("seq < 5000").withColumns({
+        "system": F.lit("tied"), "ts": F.floor(F.col("seq") / 40).cast("double"),
+        "change_type": F.element_at(F.array(F.lit("model_update"), F.lit("config_change"), F.lit("unknown")),
+                                    (F.pmod(F.xxhash64("seq"), F.lit(3)) + 1).cast("int")),
+    })
+    c = even.unionByName(tied)
+    ev = [("even", "a", "m", 150000.5, 150000.7, 0.3), ("tied", "b", "m", 60.0, 61.0, 0.0), ("tied", "d", "m", 500.0, 510.0, 0.2)]
+    e = spark.createDataFrame(
+        ev, "system string, event_id string, metric_name string, start_ts double, end_ts double, magnitude double")
+    best, conf = ch.attribution_summary(e, c, BY, 4)
+    got = {k: [] for k in "abd"}
+    for r in best.orderBy("event_id", "rank").collect():
+        got[r.event_id].append(r.change_id)
+    assert got["a"] == ["c149982", "c149983", "c149984", "c149985"]
+    rows = c.toPandas()
+    sure = {r.event_id: (r.num_factors, r.confidence) for r in conf.collect()}
+    for system, event, _, start, end, size in ev:
+        own = rows[rows.system == system]
+        ts, kinds = own.ts.to_numpy(), own.change_type.map(ch.TYPE_WEIGHTS).to_numpy()
+        inside = (ts >= start) & (ts <= end)
+        away = np.where(inside, 0.0, np.minimum(np.abs(ts - start), np.abs(ts - end)))
+        near = 1.0 - away / away.max()
+        score = np.round(0.4 * np.where(inside, near * 0.5 + 0.5, near) + 0.3 * kinds + 0.3 * (size > 0) + 1e-12, 4)
+        order = np.lexsort((own.seq, ts, -score))[:4]
+        assert got[event] == list(own.change_id.to_numpy()[order])
+        assert sure[event][0] == len(own)
+        assert abs(sure[event][1] - score.max() / score.sum()) <= 1e-4
