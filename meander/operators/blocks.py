@@ -21,25 +21,30 @@ def block_count(rows: int, block_rows: int = BLOCK_ROWS) -> int:
     return max(1, -(-rows // block_rows))
 
 
-def packed(df: DataFrame, by: list[str], id_col: str, vec: str, blocks: int, attrs: list[str]) -> DataFrame:
+def packed(df: DataFrame, by: list[str], id_col: str, vec: str, blocks: int | Column, attrs: list[str]) -> DataFrame:
     """One row per ``by, block``: ids, flat values and attribute arrays in one order.
 
+    ``blocks`` is the number of blocks; a column gives each key its own (``blocks`` in the result).
     ``id_col`` must be unique within ``by`` so that the hash spreads rows evenly.
     """
     item = F.struct(F.col(id_col).alias("id"), F.col(vec).cast("array<double>").alias("v"), *attrs)
-    block = F.pmod(F.xxhash64(id_col), F.lit(blocks)).cast("int")
-    grouped = df.groupBy(*by, block.alias("block")).agg(F.collect_list(item).alias("items"))
+    number = F.lit(blocks) if isinstance(blocks, int) else blocks
+    block = F.pmod(F.xxhash64(id_col), number).cast("int")
+    grouped = df.groupBy(*by, block.alias("block")).agg(
+        F.collect_list(item).alias("items"), F.max(number.cast("int")).alias("blocks")
+    )
     pick = lambda name: F.transform("items", lambda x: x[name])
     return grouped.select(
-        *by, "block", F.size("items").alias("n"), pick("id").alias("ids"),
+        *by, "block", "blocks", F.size("items").alias("n"), pick("id").alias("ids"),
         F.flatten(pick("v")).alias("flat"), *[pick(a).alias(a) for a in attrs],
     )
 
 
-def block_pairs(left: DataFrame, right: DataFrame, by: list[str], right_blocks: int, upper: bool) -> DataFrame:
+def block_pairs(left: DataFrame, right: DataFrame, by: list[str], right_blocks: int | Column, upper: bool) -> DataFrame:
     """Every left block with every right block (or only ``right >= left`` when symmetric)."""
     start = F.col("block") if upper else F.lit(0)
-    a = left.withColumn("_to", F.explode(F.sequence(start, F.lit(right_blocks - 1))))
+    end = (F.lit(right_blocks) if isinstance(right_blocks, int) else right_blocks) - 1
+    a = left.withColumn("_to", F.explode(F.sequence(start, end)))
     a = a.select(*by, "_to", *[F.col(c).alias(f"a_{c}") for c in left.columns if c not in by])
     b = right.select(*by, F.col("block").alias("_to"), *[F.col(c).alias(f"b_{c}") for c in right.columns if c not in by])
     return a.join(b, [*by, "_to"])

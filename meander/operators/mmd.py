@@ -100,11 +100,17 @@ def median_squared_distance(vectors: DataFrame, by: list[str], within: bool, blo
 
 def _pairs(vectors: DataFrame, by: list[str], block_rows: int, attrs: list[str] = ["side"]):
     sizes = {tuple(r[b] for b in by): (r["nb"], r["nc"]) for r in side_sizes(vectors, by, F.col("side")).collect()}
-    largest = max((sum(v) for v in sizes.values()), default=0)
-    blocks = block_count(largest, block_rows)
+    # each key has blocks for its own size: a small key beside a large one is one block
+    counts = {k: block_count(sum(v), block_rows) for k, v in sizes.items()}
+    if by:
+        schema = f"{_fields(vectors, by)}, _blocks int"
+        known = vectors.sparkSession.createDataFrame([(*k, n) for k, n in counts.items()], schema)
+        vectors = vectors.join(known, by)
+    else:
+        vectors = vectors.withColumn("_blocks", F.lit(counts.get((), 1)))
     # stored once: every pass below reads each block many times
-    table = cut_lineage(packed(vectors, by, "id", "embedding", blocks, attrs))
-    return sizes, table, block_pairs(table, table, by, blocks, upper=True)
+    table = cut_lineage(packed(vectors, by, "id", "embedding", F.col("_blocks"), attrs))
+    return sizes, table, block_pairs(table, table, by, F.col("blocks"), upper=True)
 
 
 def _tagged(vectors: DataFrame, by: list[str], id_col: str, vec: str, side: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from meander.operators.blocks import BLOCK_ROWS, block_count, block_pairs, matrix, packed
 
 SMALL_CELLS = 4_000_000  # numbers in a query set that may ship to every task (32 MB)
+QUERY_TILE, CHUNK_TILE = 1024, 4096  # sides of a distance matrix (32 MB)
 
 
 def vector_topk(
@@ -48,6 +49,23 @@ def _nearest(q: np.ndarray, c: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.
     return np.take_along_axis(d, best, 1), ids[order][best]
 
 
+def _running(q: np.ndarray, c: np.ndarray, ids: np.ndarray, k: int, kept=None) -> tuple[np.ndarray, np.ndarray]:
+    """``kept`` (distances, ids) brought up to date with the rows of ``c``, one tile of distances at a time."""
+    tops = []
+    for i in range(0, len(q), QUERY_TILE):
+        part = slice(i, i + QUERY_TILE)
+        top = None if kept is None else (kept[0][part], kept[1][part])
+        for j in range(0, len(c), CHUNK_TILE):
+            d, near = _nearest(q[part], c[j : j + CHUNK_TILE], ids[j : j + CHUNK_TILE], k)
+            if top is not None:
+                d, near = np.hstack([top[0], d]), np.hstack([top[1], near])
+                best = np.lexsort((near, d), axis=1)[:, :k]
+                d, near = np.take_along_axis(d, best, 1), np.take_along_axis(near, best, 1)
+            top = d, near
+        tops.append(top)
+    return np.vstack([d for d, _ in tops]), np.vstack([near for _, near in tops])
+
+
 def _table(query_ids, d: np.ndarray, ids: np.ndarray) -> pd.DataFrame:
     out = pd.DataFrame(
         {"query_id": np.repeat(np.asarray(query_ids), d.shape[1]), "chunk_id": ids.ravel(), "distance": d.ravel()}
@@ -65,12 +83,8 @@ def _against_shipped(queries, chunks, k, query_id, chunk_id, vec, schema):
         for pdf in batches:
             if not len(pdf) or not len(q_ids):
                 continue
-            d, ids = _nearest(q_unit, _unit(np.vstack(pdf[vec].to_numpy()).astype(float)), pdf[chunk_id].to_numpy(), k)
-            if kept is not None:
-                d, ids = np.hstack([kept[0], d]), np.hstack([kept[1], ids])
-                best = np.lexsort((ids, d), axis=1)[:, :k]
-                d, ids = np.take_along_axis(d, best, 1), np.take_along_axis(ids, best, 1)
-            kept = d, ids
+            unit = _unit(np.vstack(pdf[vec].to_numpy()).astype(float))
+            kept = _running(q_unit, unit, pdf[chunk_id].to_numpy(), k, kept)
         if kept is not None:
             yield _table(q_ids, *kept)
 
@@ -86,7 +100,7 @@ def _against_blocks(queries, chunks, k, query_id, chunk_id, vec, schema, rows, b
         for pdf in batches:
             for row in pdf.itertuples(index=False):
                 a, b = _unit(matrix(row.a_flat, row.a_n)), _unit(matrix(row.b_flat, row.b_n))
-                yield _table(row.a_ids, *_nearest(a, b, np.asarray(row.b_ids), k))
+                yield _table(row.a_ids, *_running(a, b, np.asarray(row.b_ids), k))
 
     return block_pairs(q, c, [], cb, upper=False).mapInPandas(run, schema)
 

@@ -31,10 +31,16 @@ def recent_frames(evals: DataFrame, rag_type: str | None = None, limit: int = 10
     return _parsed(rows.orderBy(F.desc("timestamp"), F.desc("id")).limit(limit))
 
 
+def _since(evals: DataFrame, cutoff: Column) -> DataFrame:
+    """Rows from ``cutoff`` on; of a stored table only the day folders from its day on are read."""
+    rows = evals.filter(F.col("timestamp") >= cutoff)
+    return rows.filter(F.col("date") >= F.to_date(cutoff)) if "date" in evals.columns else rows
+
+
 def frames_time_window(evals: DataFrame, now: Column, hours: int = 24, limit: int = 100) -> DataFrame:
     """The oldest ``limit`` rows of the last ``hours`` hours, oldest first."""
     cutoff = now - F.make_dt_interval(hours=F.lit(hours))
-    rows = evals.filter(F.col("timestamp") >= cutoff).orderBy("timestamp", "id").limit(limit)
+    rows = _since(evals, cutoff).orderBy("timestamp", "id").limit(limit)
     return _parsed(rows)
 
 
@@ -58,7 +64,7 @@ def _history_columns(with_size: bool) -> list[Column]:
 
 def recent_history(evals: DataFrame, now: Column, hours: int = 24) -> DataFrame:
     cutoff = now - F.make_dt_interval(hours=F.lit(hours))
-    return evals.filter(F.col("timestamp") >= cutoff).select(*_history_columns(True))
+    return _since(evals, cutoff).select(*_history_columns(True))
 
 
 def latest_drift(evals: DataFrame) -> DataFrame:

@@ -75,13 +75,20 @@ def _records_ingest_json(spark, sf_dir):
 
 @query("history_by_run", "WITH " + HISTORY_SQL + FLAT_SQL + " WHERE run_id = 'r7'")
 def _history_by_run(spark, sf_dir):
-    return _flat_history(inputs.history(spark, sf_dir).filter(F.col("run_id") == "r7"))
+    path = scratch_path(spark, "history")
+    hs.history_append(inputs.history(spark, sf_dir).drop("seq", "system"), path)
+    return _flat_history(hs.history_by_run(spark, path, "r7"))
 
 
-@query("history_by_metric", "WITH " + HISTORY_SQL + FLAT_SQL)
+@query("history_by_metric", "WITH " + HISTORY_SQL + FLAT_SQL + " WHERE seq % 5 <> 0")
 def _history_by_metric(spark, sf_dir):
-    has = F.exists("metrics", lambda m: m["metric_name"] == "faithfulness")
-    return _flat_history(inputs.history(spark, sf_dir).filter(has))
+    """Every fifth record is stored without the metric that is asked for."""
+    path = scratch_path(spark, "history")
+    rows = inputs.history(spark, sf_dir)
+    others = F.filter("metrics", lambda m: m["metric_name"] != "faithfulness")
+    rows = rows.withColumn("metrics", F.when(F.col("seq") % 5 == 0, others).otherwise(F.col("metrics")))
+    hs.history_append(rows.drop("seq", "system"), path)
+    return _flat_history(hs.history_by_metric(spark, path, "faithfulness"))
 
 
 @query(
@@ -247,17 +254,25 @@ def _recent_frames(spark, sf_dir):
     return _frame_cols(store.recent_frames(inputs.evaluations(spark, sf_dir)))
 
 
+def _evaluation_table(spark, sf_dir):
+    """The evaluation rows, stored by day and read back."""
+    path = scratch_path(spark, "evaluations")
+    rows = inputs.evaluations(spark, sf_dir).withColumn("wasserstein_distance", F.lit(None).cast("double"))
+    ev.evaluations_append(rows, path)
+    return ev.read_evaluations(spark, path)
+
+
 LAST_DAY = "WHERE timestamp >= TIMESTAMP '2024-01-30 00:00:00'"
 
 
 @query("frames_time_window", "WITH " + FRAME_SQL + _picked(LAST_DAY, "timestamp, id", 100))
 def _frames_time_window(spark, sf_dir):
-    return _frame_cols(store.frames_time_window(inputs.evaluations(spark, sf_dir), now()))
+    return _frame_cols(store.frames_time_window(_evaluation_table(spark, sf_dir), now()))
 
 
 @query("sliding_baseline", "WITH " + FRAME_SQL + _picked("WHERE timestamp >= TIMESTAMP '2024-01-24 00:00:00'", "timestamp, id", 100))
 def _sliding_baseline(spark, sf_dir):
-    return _frame_cols(store.sliding_baseline(inputs.evaluations(spark, sf_dir), now(), hours=24 * 7))
+    return _frame_cols(store.sliding_baseline(_evaluation_table(spark, sf_dir), now(), hours=24 * 7))
 
 
 HIST_COLS = """CAST(id AS BIGINT) AS id, trace_id, rag_type, epoch(timestamp) AS ts, js_divergence AS jsd_score, mmd_score,
@@ -278,7 +293,7 @@ def _hist_out(df, *extra):
 SELECT {HIST_COLS}, coalesce(CAST(json_extract_string(j, '$.sample_size') AS BIGINT), 0) AS sample_size FROM fr {LAST_DAY}""",
 )
 def _recent_history(spark, sf_dir):
-    return _hist_out(store.recent_history(inputs.evaluations(spark, sf_dir), now()), "sample_size")
+    return _hist_out(store.recent_history(_evaluation_table(spark, sf_dir), now()), "sample_size")
 
 
 @query("latest_drift", "WITH " + FRAME_SQL + f" SELECT {HIST_COLS} FROM fr ORDER BY timestamp DESC, id DESC LIMIT 1")

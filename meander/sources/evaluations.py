@@ -13,7 +13,8 @@ COLUMNS = [
 ]
 
 
-def _append(rows: DataFrame, path: str) -> None:
+def evaluations_append(rows: DataFrame, path: str) -> None:
+    """Store rows that have all of ``COLUMNS``, one folder per day."""
     # rebalance: one set of files per day, large days split again by AQE
     dated = rows.select(*COLUMNS).withColumn("date", F.to_date("timestamp")).hint("rebalance", "date")
     dated.write.mode("append").partitionBy("date").parquet(path)
@@ -25,7 +26,7 @@ def _null() -> Column:
 
 def frames_append(frames: DataFrame, path: str) -> None:
     """Store raw frames (``trace_id, rag_type, timestamp, telemetry_frame``) without metrics."""
-    _append(
+    evaluations_append(
         frames.withColumns(
             {
                 "id": stable_id(F.col("trace_id"), F.col("timestamp")),
@@ -45,7 +46,7 @@ def with_window_metrics(frames: DataFrame, metrics: DataFrame, by: list[str]) ->
 
 
 def evaluation_write(frames: DataFrame, metrics: DataFrame, by: list[str], path: str) -> None:
-    _append(with_window_metrics(frames, metrics, by), path)
+    evaluations_append(with_window_metrics(frames, metrics, by), path)
 
 
 def drift_result_write(results: DataFrame, timestamp: Column, path: str) -> None:
@@ -63,7 +64,7 @@ def drift_result_write(results: DataFrame, timestamp: Column, path: str) -> None
         F.coalesce(F.col("is_drifted"), F.lit(False)).alias("is_drifted"),
         payload.alias("telemetry_frame"),
     )
-    _append(rows, path)
+    evaluations_append(rows, path)
 
 
 def read_evaluations(spark: SparkSession, path: str) -> DataFrame:
@@ -79,13 +80,16 @@ def history_truncate(spark: SparkSession, path: str) -> None:
 def chunk_upsert(spark: SparkSession, chunks: DataFrame, path: str | None) -> DataFrame:
     """Rows of ``chunks`` whose content is not stored yet, first id per content.
 
-    Copies collapse in a map-side aggregate, so a text repeated very often costs
-    one row per task in the shuffle.
+    Contents are compared by ``digest``, a column of the result to be stored with it: the
+    stored texts are not read again.  Copies collapse in a map-side aggregate, so a text
+    repeated very often costs one row per task in the shuffle.
     """
-    columns = [c for c in chunks.columns if c not in ("id", "content")]
-    first = F.min_by(F.struct("id", *columns), F.col("id"))
-    new = chunks.groupBy("content").agg(first.alias("r")).select("r.id", "content", *[f"r.{c}" for c in columns])
+    columns = [c for c in chunks.columns if c not in ("id", "content", "digest")]
+    keyed = chunks.withColumn("digest", F.sha2("content", 256))
+    first = F.min_by(F.struct("id", "content", *columns), F.col("id"))
+    new = keyed.groupBy("digest").agg(first.alias("r")).select(
+        "r.id", "r.content", *[f"r.{c}" for c in columns], "digest"
+    )
     if path is None:
         return new
-    stored = spark.read.parquet(path).select("content")
-    return new.join(stored, "content", "left_anti")
+    return new.join(spark.read.parquet(path).select("digest"), "digest", "left_anti").select(*new.columns)

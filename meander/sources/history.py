@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meander.schemas import HISTORY
@@ -10,17 +10,53 @@ from meander.schemas import HISTORY
 _BAD = "_bad"
 
 
-def _parsed_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Each non-blank line with its record; ``rec._bad`` holds the text of malformed ones."""
+def _month(timestamp: Column) -> Column:
+    return F.date_format(F.timestamp_seconds(timestamp), "yyyy-MM")
+
+
+def _parsed_lines(spark: SparkSession, path: str, since: float | None = None, until: float | None = None) -> DataFrame:
+    """Each non-blank line with its record; ``rec._bad`` holds the text of malformed ones.
+
+    Month folders that lie outside ``since`` to ``until`` are not read.
+    """
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BAD}
-    lines = spark.read.text(path).filter(F.trim("value") != "")
+    lines = spark.read.text(path)
+    if "month" in lines.columns:
+        month = F.substring(F.col("month").cast("string"), 1, 7)
+        if since is not None:
+            lines = lines.filter(month >= _month(F.lit(float(since))))
+        if until is not None:
+            lines = lines.filter(month <= _month(F.lit(float(until))))
+    lines = lines.filter(F.trim("value") != "")
     return lines.select("value", F.from_json("value", f"{HISTORY}, seq long, {_BAD} string", options).alias("rec"))
 
 
-def history_scan(spark: SparkSession, path: str) -> DataFrame:
-    """Well-formed records; blank and malformed lines are left out."""
-    good = _parsed_lines(spark, path).filter(F.col("rec").isNotNull() & F.col(f"rec.{_BAD}").isNull())
-    return good.select("rec.*").drop(_BAD)
+def history_scan(
+    spark: SparkSession, path: str, since: float | None = None, until: float | None = None
+) -> DataFrame:
+    """Well-formed records; blank and malformed lines are left out.
+
+    ``since`` and ``until`` (epoch seconds, both inclusive) keep records by their timestamp.
+    """
+    good = _parsed_lines(spark, path, since, until).filter(F.col("rec").isNotNull() & F.col(f"rec.{_BAD}").isNull())
+    rows = good.select("rec.*").drop(_BAD)
+    if since is not None:
+        rows = rows.filter(F.col("timestamp") >= F.lit(float(since)))
+    if until is not None:
+        rows = rows.filter(F.col("timestamp") <= F.lit(float(until)))
+    return rows
+
+
+def history_by_run(spark: SparkSession, path: str, run_id: str, **period) -> DataFrame:
+    """The stored records of one run."""
+    return history_scan(spark, path, **period).filter(F.col("run_id") == run_id)
+
+
+def history_by_metric(spark: SparkSession, path: str, metric_name: str, **period) -> DataFrame:
+    """The stored records that hold the metric."""
+    return history_scan(spark, path, **period).filter(
+        F.exists("metrics", lambda m: m["metric_name"] == metric_name)
+    )
 
 
 def rejected_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -43,7 +79,7 @@ def history_append(records: DataFrame, path: str, next_seq: int = 0) -> None:
     with input order and need no shuffle.
     """
     numbered = records.withColumn("seq", F.lit(next_seq) + F.monotonically_increasing_id())
-    month = F.date_format(F.timestamp_seconds(F.coalesce("timestamp", F.lit(0.0))), "yyyy-MM")
+    month = _month(F.coalesce("timestamp", F.lit(0.0)))
     # rebalance: one set of files per month, large months split again by AQE
     rows = numbered.withColumn("month", month).hint("rebalance", "month")
     rows.write.mode("append").partitionBy("month").json(path)

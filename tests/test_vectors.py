@@ -155,3 +155,29 @@ def test_latent_drift_separates_shift(vectors, metric):
 def test_unknown_metric(vectors):
     with pytest.raises(ValueError):
         latent.latent_drift(vectors, ["k"], "nope")
+
+
+def test_small_keys_keep_their_own_blocks(spark):
+    """Many small keys beside a large one: a pair of blocks for each small key, and the same scores."""
+    rng = np.random.default_rng(4)
+    rows = [("hot", i, i % 2 == 1, rng.normal(size=3).tolist()) for i in range(400)]
+    rows += [(f"k{j}", i, i % 2 == 1, rng.normal(size=3).tolist()) for j in range(100) for i in range(6)]
+    df = spark.createDataFrame(rows, "k string, vec_id long, is_current boolean, embedding array<double>")
+    _, _, pairs = mmd._pairs(mmd._tagged(df, ["k"], "vec_id", "embedding", "is_current"), ["k"], 40, ["side"])
+    counts = {r.k: r["count"] for r in pairs.groupBy("k").count().collect()}
+    assert counts.pop("hot") == 55 and set(counts.values()) == {1} and len(counts) == 100
+    one = {r.k: r.mmd for r in mmd.mmd_rbf(df, ["k"], block_rows=1000).collect()}
+    many = {r.k: r.mmd for r in mmd.mmd_rbf(df, ["k"], block_rows=40).collect()}
+    assert one == pytest.approx(many, rel=1e-9) and len(one) == 101
+
+
+def test_running_nearest_in_tiles(monkeypatch):
+    rng = np.random.default_rng(6)
+    q, c = retrieval._unit(rng.normal(size=(23, 4))), retrieval._unit(rng.normal(size=(57, 4)))
+    ids = rng.permutation(57)
+    want = retrieval._nearest(q, c, ids, 3)
+    monkeypatch.setattr(retrieval, "QUERY_TILE", 5)
+    monkeypatch.setattr(retrieval, "CHUNK_TILE", 7)
+    got = retrieval._running(q, c[:30], ids[:30], 3)
+    got = retrieval._running(q, c[30:], ids[30:], 3, got)
+    assert (got[1] == want[1]).all() and np.allclose(got[0], want[0])
