@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from meander.llm.common import sliced
 
 BUCKETS = 1 << 15
+SMALL_LANGS = 10_000  # languages whose rates may go to every task
 _NO_LETTER = re.compile(r"[\W\d_]+")
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
@@ -101,10 +102,13 @@ def document_frequencies(train: DataFrame, text: str = "text") -> tuple[np.ndarr
 def _sample(train: DataFrame, lang: str, text: str, max_train: int) -> list[tuple[str, str]]:
     """At most ``max_train`` (language, text) rows, evenly over the languages, by a hash of the text."""
     counts = train.groupBy(lang).agg(F.count(F.lit(1)).alias("n"))
-    fair = F.lit(float(max_train)) / F.lit(float(max(counts.count(), 1)))
+    n = counts.count()
+    fair = F.lit(float(max_train)) / F.lit(float(max(n, 1)))
     u = F.pmod(F.xxhash64(F.lit(7), text), F.lit(1 << 30)) / float(1 << 30)
     # languages rarer than the even share give all they have
     rates = counts.select(F.col(lang).alias("_lang"), F.least(F.lit(1.0), fair / F.col("n")).alias("_rate"))
+    if n <= SMALL_LANGS:  # the same rows either way; the texts then stay where they are
+        rates = F.broadcast(rates)
     rows = train.join(rates, F.col(lang) == F.col("_lang")).where(u < F.col("_rate"))
     picked = rows.select(F.col(lang).alias("lang"), F.col(text).alias("text"), u.alias("u"))
     return [(r[0], r[1]) for r in picked.orderBy("u", "lang", "text").limit(max_train).collect()]
