@@ -215,8 +215,11 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int, doc_id: str, text
     The texts of u's partners go to u, in portions of about a thousand, each with u's own text in front.  A filter of
     bounded size (hashed ids) keeps most other texts out of the shuffle.
     """
-    degree = pairs.groupBy("u").agg(F.ceil(F.count(F.lit(1)) / 1000).alias("portions"))
-    placed = pairs.join(degree, "u").withColumn("portion", F.pmod(F.xxhash64("v"), F.col("portions")))
+    # only nodes of more than a portion are looked up: a thousandth of the pairs at most
+    wide = pairs.groupBy("u").agg(F.ceil(F.count(F.lit(1)) / 1000).alias("portions")).where("portions > 1")
+    placed = pairs.join(wide, "u", "left").withColumn(
+        "portion", F.pmod(F.xxhash64("v"), F.coalesce("portions", F.lit(1)))
+    )
     placed = materialised(placed.select("u", "v", "portion"), "placed-pairs")  # read three times below
     need = placed.select("u", "portion", F.lit(1).alias("role"), F.col("v").alias("id")).union(
         placed.select("u", "portion").distinct().select("u", "portion", F.lit(0).alias("role"), F.col("u").alias("id"))
