@@ -8,12 +8,14 @@ from meander.functions.columns import rounded
 from meander.functions.runtime import scratch_path
 from meander.operators import calibration as cal
 from meander.operators import fusion, latent, records
+from meander.operators.swarm import swarm_drift
 from meander.plans import evaluate as ev
 from meander.plans import inputs
 from meander.plans.catalog_divergence import VEC_SIDES_SQL
-from meander.plans.catalog_topology import month_pairs, retrieved_graph, swarm_tables
+from meander.plans.catalog_topology import SWARM_SQL, month_pairs, retrieved_graph, swarm_tables
 from meander.plans.inputs import RUNS_SQL
 from meander.plans.registry import query
+from meander.sources import evaluations
 from meander.sources import history as hs
 
 BY = ["track"]
@@ -320,22 +322,77 @@ def _comprehensive_drift(spark, sf_dir):
     return _round_all(out, ["js_divergence", "mmd_score", "mmd_p_value", "max_component_kl", "mean_component_kl"])
 
 
-@query("evaluate_frames")
-def _evaluate_frames(spark, sf_dir):
-    """Monthly windows: vectors, retrieved graphs and conversations dealt to months by id."""
+def _month(c):
+    """The 80 months of the orders (1992-01 to 1998-08), dealt out by id."""
+    return (F.lit(23905) + F.pmod(c, F.lit(80))).cast("int")
+
+
+def _monthly(spark, sf_dir):
+    """Monthly windows: retrieved graphs, and vectors and conversations dealt to the same months."""
     nodes, edges = retrieved_graph(spark, sf_dir)
-    pairs = month_pairs(edges)
-    month = lambda c: (F.lit(23941) + c % 12).cast("int")  # noqa: E731  (January 1995 = 23941)
     v = inputs.tracked_vectors(spark, sf_dir)
-    vectors = v.select(month(F.col("vec_id")).alias("win"), "vec_id", "embedding")
-    traces, hops = swarm_tables(spark, sf_dir)
-    move = lambda df: df.withColumn("win", month(F.col("trace_id")))
-    out = ev.evaluate_frames(vectors, nodes, edges, move(traces), move(hops), pairs)
+    vectors = v.select(_month(F.col("vec_id")).alias("win"), "vec_id", "embedding")
+    traces, hops = (df.withColumn("win", _month(F.col("trace_id"))) for df in swarm_tables(spark, sf_dir))
+    return vectors, nodes, edges, traces, hops, month_pairs(edges)
+
+
+@query("evaluate_frames")
+def _evaluate_frames(spark, sf_dir):
+    out = ev.evaluate_frames(*_monthly(spark, sf_dir))
     return _round_all(
         out, ["js_divergence", "mmd_score", "spectral_distance", "density_delta", "transition_entropy_delta", "avg_reflection_iterations_delta"]
     )
 
 
+@query("evaluation_job")
+def _evaluation_job(spark, sf_dir):
+    """Calibrated monthly evaluation of all frames: stored rows per window and the alert of the drifted ones."""
+    path = scratch_path(spark, "evaluations")
+    evals = inputs.evaluations(spark, sf_dir)
+    frames = evals.select(
+        _month(F.xxhash64("trace_id")).alias("win"), "trace_id", "rag_type", "timestamp", "telemetry_frame"
+    )
+    alerts = ev.evaluation_job(frames, *_monthly(spark, sf_dir), path)
+    stored = evaluations.read_evaluations(spark, path).select(
+        "js_divergence", "is_drifted", _month(F.xxhash64("trace_id")).alias("current")
+    )
+    per = stored.groupBy("current").agg(
+        F.count(F.lit(1)).alias("frames"), rounded(F.max("js_divergence")).alias("js_divergence"),
+        F.max("is_drifted").alias("is_drifted"),
+    )
+    return per.join(alerts.select("current", "alert"), "current", "left")
+
+
+@query(
+    "swarm_drift_calibrated",
+    "WITH " + SWARM_SQL + """, s AS (SELECT rf.win, coalesce(entropy, 0) AS e, reflections AS r FROM rf LEFT JOIN en ON en.win = rf.win),
+tc AS (SELECT DISTINCT win, trace_id FROM hp),
+sp AS (SELECT win, g.r AS rep, trace_id, row_number() OVER (PARTITION BY win, g.r ORDER BY md5(g.r || ':' || trace_id), trace_id)
+         > count(*) OVER (PARTITION BY win, g.r) // 2 AS c FROM tc, range(1, 21) g(r)),
+tx AS (SELECT win, rep, c, lag(agent) OVER (PARTITION BY rep, c, trace_id ORDER BY pos) AS a, agent AS t FROM hp JOIN sp USING (win, trace_id)),
+ct AS (SELECT win, rep, c, a, t, count(*) AS n FROM tx WHERE a IS NOT NULL GROUP BY ALL),
+ep AS (SELECT win, rep, c, -sum(p * ln(p)) AS e
+       FROM (SELECT win, rep, c, n / CAST(sum(n) OVER (PARTITION BY win, rep, c, a) AS DOUBLE) AS p FROM ct) GROUP BY 1, 2, 3),
+de AS (SELECT win, rep, coalesce(max(e) FILTER (c), 0) - coalesce(max(e) FILTER (NOT c), 0) AS d FROM ep GROUP BY 1, 2),
+th AS (SELECT win, avg(d) + 2.0::DOUBLE * stddev_pop(d) AS x FROM de GROUP BY 1)
+SELECT b.win AS baseline, c.win AS current, round(c.e - b.e, 6) + 0.0::DOUBLE AS transition_entropy_delta,
+       round(coalesce(x, 0.5), 6) + 0.0::DOUBLE AS swarm_entropy_threshold,
+       abs(c.e - b.e) > coalesce(x, 0.5) OR abs(c.r - b.r) > 1.0::DOUBLE AS is_swarm_drifted
+FROM s c JOIN s b ON b.win = c.win - 1 LEFT JOIN th ON th.win = b.win""",
+)
+def _swarm_drift_calibrated(spark, sf_dir):
+    """Swarm drift of following windows, each with the limit of its own baseline window."""
+    traces, hops = swarm_tables(spark, sf_dir)
+    limits = cal.split_half_swarm(hops, traces, by=["win"]).withColumnRenamed("threshold", "swarm_entropy_threshold")
+    out = ev.with_limits(swarm_drift(traces, hops, month_pairs(hops), "win"), limits, "win")
+    over = F.abs("transition_entropy_delta") > F.col("swarm_entropy_threshold")
+    return out.select(
+        "baseline", "current", rounded(F.col("transition_entropy_delta")).alias("transition_entropy_delta"),
+        rounded(F.col("swarm_entropy_threshold")).alias("swarm_entropy_threshold"),
+        (over | (F.abs("avg_reflection_iterations_delta") > ev.REFLECTION_LIMIT)).alias("is_swarm_drifted"),
+    )
+
+
 for _metric in ("mmd", "swd", "jsd"):
 
     def _latent(spark, sf_dir, metric=_metric):

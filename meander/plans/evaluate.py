@@ -6,15 +6,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meander.functions.runtime import cut_lineage
-from meander.operators import mmd
+from meander.operators import calibration, mmd
+from meander.operators.alerts import alert_payload
 from meander.operators.divergence import jsd_hist_drift
 from meander.operators.graph import graph_drift
 from meander.operators.latent import component_kl_pca, vector_jsd
 from meander.operators.records import dim_check
 from meander.operators.swarm import swarm_drift
+from meander.sources.evaluations import evaluation_write
 
 # fixed values: static safety thresholds
 JS_THRESHOLD, MMD_THRESHOLD, KL_THRESHOLD = 0.15, 0.1, 0.5
+LIMITS = {
+    "vector_jsd_threshold": JS_THRESHOLD, "vector_mmd_threshold": MMD_THRESHOLD,
+    "graph_spectral_threshold": 0.5, "swarm_entropy_threshold": 0.5,
+}
+DENSITY_LIMIT, REFLECTION_LIMIT = 0.1, 1.0
 
 
 def is_drifted(js: str, mmd_score: str, kl: str, js_limit="js_threshold", mmd_limit="mmd_threshold", kl_limit="kl_threshold"):
@@ -123,37 +130,93 @@ def evaluate_pair(pairs: DataFrame, runs: DataFrame) -> DataFrame:
     )
 
 
+def with_limits(results: DataFrame, limits: DataFrame | None, by: str, static: dict[str, float] | None = None) -> DataFrame:
+    """Give each window pair the limits of its baseline window, one column per name of ``LIMITS``.
+
+    ``limits``: ``by`` and any of those columns, one row per window.  Missing rows, columns and values fall back to
+    ``static``, then to ``LIMITS``.
+    """
+    defaults = {**LIMITS, **(static or {})}
+    found = [c for c in LIMITS if limits is not None and c in limits.columns]
+    if found:
+        results = results.join(limits.select(F.col(by).alias("baseline"), *found), "baseline", "left")
+    return results.withColumns(
+        {c: F.coalesce(F.col(c), F.lit(defaults[c])) if c in found else F.lit(defaults[c]) for c in LIMITS}
+    )
+
+
+def calibrated_limits(
+    vectors: DataFrame, traces: DataFrame, hops: DataFrame, by: str = "win", k: float = 2.0, iterations: int = 20,
+    id_col: str = "vec_id",
+) -> DataFrame:
+    """Vector and swarm limits of every window from half splits of its own rows, one row per window.
+
+    A window with too few vectors or without hops has nulls there.
+    """
+    names = ["vector_jsd_threshold", "vector_mmd_threshold"]
+    vec = calibration.split_half_thresholds(vectors, [by], k, iterations, id_col=id_col)
+    vec = vec.groupBy(by).pivot("metric", names).agg(F.first("threshold"))
+    swarm = calibration.split_half_swarm(hops, traces, k, iterations, [by])
+    return vec.join(swarm.select(by, F.col("threshold").alias("swarm_entropy_threshold")), by, "full")
+
+
 def evaluate_frames(
     vectors: DataFrame, nodes: DataFrame, edges: DataFrame, traces: DataFrame, hops: DataFrame, pairs: DataFrame,
     by: str = "win", thresholds: dict[str, float] | None = None, replicates: int = 100, id_col: str = "vec_id",
+    limits: DataFrame | None = None,
 ) -> DataFrame:
     """Vector, graph and swarm drift of every ``(baseline, current)`` window pair.
 
-    ``vectors``: ``by, id, embedding`` per window.  ``thresholds`` are calibrated
-    values (see ``calibration``); missing ones keep their static defaults.
+    ``vectors``: ``by, id, embedding`` per window.  ``limits`` are calibrated values per baseline window (see
+    ``calibrated_limits``), ``thresholds`` values for all windows; missing ones keep their static defaults.
     """
-    t = thresholds or {}
     key = F.concat_ws(">", F.col("baseline").cast("string"), F.col("current").cast("string")).alias("pair")
     tagged = pairs.select(key, "baseline", "current")
     side = lambda role, flag: tagged.select("pair", F.col(role).alias(by)).join(vectors, by).select(
         "pair", id_col, "embedding", F.lit(flag).alias("is_current")
     )
     stacked = side("baseline", False).unionByName(side("current", True))
-    vec = vector_drift(
-        stacked, ["pair"], t.get("vector_jsd_threshold", JS_THRESHOLD), t.get("vector_mmd_threshold", MMD_THRESHOLD),
-        replicates, id_col,
-    )
-    graph = graph_drift(nodes, edges, pairs, by, t.get("graph_spectral_threshold", 0.5))
-    swarm = swarm_drift(traces, hops, pairs, by, t.get("swarm_entropy_threshold", 0.5))
-    flag = lambda c: F.coalesce(F.col(c), F.lit(False))
+    vec = vector_drift(stacked, ["pair"], replicates=replicates, id_col=id_col)
+    graph = graph_drift(nodes, edges, pairs, by)
+    swarm = swarm_drift(traces, hops, pairs, by)
     out = tagged.join(vec, "pair", "left").join(graph, ["baseline", "current"], "left").join(swarm, ["baseline", "current"], "left")
     zero = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c)
-    return out.select(
+    scores = out.select(
         "baseline", "current",
         zero("js_divergence"), zero("mmd_score"), zero("spectral_distance"), zero("density_delta"),
         F.coalesce("node_count_delta", F.lit(0)).alias("node_count_delta"),
-        zero("transition_entropy_delta"), zero("avg_reflection_iterations_delta"),
-        flag("is_drifted").alias("is_vector_drifted"), flag("is_graph_drifted").alias("is_graph_drifted"),
-        flag("is_swarm_drifted").alias("is_swarm_drifted"),
-        (flag("is_drifted") | flag("is_graph_drifted") | flag("is_swarm_drifted")).alias("is_drifted"),
+        zero("transition_entropy_delta"), zero("avg_reflection_iterations_delta"), "p_value",
+    )
+    over = lambda score, limit: F.abs(score) > F.col(limit)
+    judged = with_limits(scores, limits, by, thresholds).withColumns(
+        {
+            "is_vector_drifted": over("js_divergence", "vector_jsd_threshold")
+            | over("mmd_score", "vector_mmd_threshold") | F.coalesce(F.col("p_value") < 0.05, F.lit(False)),
+            "is_graph_drifted": over("spectral_distance", "graph_spectral_threshold")
+            | (F.abs("density_delta") > DENSITY_LIMIT),
+            "is_swarm_drifted": over("transition_entropy_delta", "swarm_entropy_threshold")
+            | (F.abs("avg_reflection_iterations_delta") > REFLECTION_LIMIT),
+        }
+    )
+    return judged.withColumn(
+        "is_drifted", F.col("is_vector_drifted") | F.col("is_graph_drifted") | F.col("is_swarm_drifted")
+    ).drop("p_value", *LIMITS)
+
+
+def evaluation_job(
+    frames: DataFrame, vectors: DataFrame, nodes: DataFrame, edges: DataFrame, traces: DataFrame, hops: DataFrame,
+    pairs: DataFrame, path: str, by: str = "win", replicates: int = 100, id_col: str = "vec_id",
+) -> DataFrame:
+    """Calibrate on each baseline window, evaluate its pair, store a row per current frame, return the alerts.
+
+    ``frames``: ``by`` and the columns of ``frames_append``.  The stored rows carry their window's metrics; the result
+    has ``baseline, current, alert`` for the drifted pairs.
+    """
+    limits = cut_lineage(calibrated_limits(vectors, traces, hops, by, id_col=id_col))
+    results = cut_lineage(
+        evaluate_frames(vectors, nodes, edges, traces, hops, pairs, by, None, replicates, id_col, limits)
     )
+    evaluation_write(frames, results.withColumnRenamed("current", by), [by], path)
+    scores = [c for c in results.columns if c not in ("baseline", "current")]
+    alert = alert_payload({c: F.col(c) for c in scores}, F.col("current").cast("string"), F.col("is_drifted"))
+    return results.filter("is_drifted").select("baseline", "current", alert.alias("alert"))

@@ -36,7 +36,9 @@ def fold_stream(
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         before = _folder(f"{path}/state", batch_id - 1)
-        if batch_id and _exists(spark, before):
+        if batch_id:
+            if not _exists(spark, before):
+                raise FileNotFoundError(f"state of batch {batch_id - 1} is gone: {before}")
             state = spark.read.schema(state_schema).parquet(before)
         else:
             state = spark.createDataFrame([], state_schema)

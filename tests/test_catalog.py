@@ -20,7 +20,7 @@ SAMPLE = [
     "mean_shift_events", "anomaly_latest", "shared_histogram", "component_kl_drift", "history_append", "payload_parse",
     "store_stats", "chunk_upsert", "change_events", "optimization_plan", "policy_decide", "mmd_permutation_test",
     "sliced_wasserstein", "vector_topk", "graph_drift", "swarm_drift", "alert_suppress", "histogram_quantile",
-    "run_validate", "fusion_priors", "evaluate_pair", "split_half_swarm", "stream_adaptive_threshold",
+    "run_validate", "fusion_priors", "evaluate_pair", "split_half_swarm", "swarm_drift_calibrated", "stream_adaptive_threshold",
     "stream_alerts", "stream_frames_ingest", "stream_rollups_session",
 ]
 NAMES = sorted(QUERIES) if os.environ.get("MEANDER_ALL_QUERIES") else SAMPLE
