@@ -323,8 +323,8 @@ def _comprehensive_drift(spark, sf_dir):
 
 
 def _month(c):
-    """The 80 months of the orders (1992-01 to 1998-08), dealt out by id."""
-    return (F.lit(23905) + F.pmod(c, F.lit(80))).cast("int")
+    """The 80 months of the orders (1995-01 to 2001-08), dealt out by id."""
+    return (F.lit(23941) + F.pmod(c, F.lit(80))).cast("int")
 
 
 def _monthly(spark, sf_dir):
