@@ -104,7 +104,7 @@ def optimization_plan(
     )
 
 
-def _track_action(results: DataFrame, track: Column) -> DataFrame:
+def _track_action(results: DataFrame, track: Column, target: Column | None = None) -> DataFrame:
     action = _lookup(track, TRACK_ACTIONS, DEFAULT_ACTION)
     verb = F.when(track == "retrieval", "Adjust retrieval parameters").when(
         track == "generation", "Adjust generation parameters"
@@ -112,7 +112,7 @@ def _track_action(results: DataFrame, track: Column) -> DataFrame:
     return results.withColumns(
         {
             "action_type": action,
-            "target_run_id": F.lit(""),
+            "target_run_id": F.lit("") if target is None else target,
             "change_id": F.coalesce(F.get("change_ids", F.lit(0)), F.lit("")),
             "description": F.format_string("%s to reduce drift (expected improvement: %.4f)", verb, "delta"),
         }
@@ -120,17 +120,20 @@ def _track_action(results: DataFrame, track: Column) -> DataFrame:
 
 
 def candidate_actions(
-    results: DataFrame, by: list[str], track: Column, min_confidence: float = MIN_CONFIDENCE
+    results: DataFrame, by: list[str], track: Column, min_confidence: float = MIN_CONFIDENCE, target: Column | None = None
 ) -> DataFrame:
-    """All scenarios confident enough, best improvement first (``rank`` per event)."""
-    ok = _track_action(results.filter(F.col("confidence") >= F.lit(float(min_confidence))), track)
+    """All scenarios confident enough, best improvement first (``rank`` per event).
+
+    ``target`` is what an action acts on; flapping is counted per target, so without one all actions share a count.
+    """
+    ok = _track_action(results.filter(F.col("confidence") >= F.lit(float(min_confidence))), track, target)
     # at most top_k + 1 scenarios per event
     w = Window.partitionBy(*by, "event_id").orderBy(F.desc("delta"), "pos")
     return ok.withColumn("rank", F.row_number().over(w))
 
 
 def select_action(
-    results: DataFrame, by: list[str], track: Column, min_confidence: float = MIN_CONFIDENCE
+    results: DataFrame, by: list[str], track: Column, min_confidence: float = MIN_CONFIDENCE, target: Column | None = None
 ) -> DataFrame:
     """The best confident scenario of each event, as an action."""
-    return candidate_actions(results, by, track, min_confidence).filter(F.col("rank") == 1).drop("rank")
+    return candidate_actions(results, by, track, min_confidence, target).filter(F.col("rank") == 1).drop("rank")

@@ -12,14 +12,14 @@ from meander.operators.remediation import MIN_CONFIDENCE, select_action
 def optimization_cycle(
     events: DataFrame, results: DataFrame, by: list[str], executed: DataFrame, now: Column,
     min_confidence: float = MIN_CONFIDENCE, cooldown_s: float = COOLDOWN_S,
-    window_s: float = FLAPPING_WINDOW_S, max_flapping: int = MAX_FLAPPING,
+    window_s: float = FLAPPING_WINDOW_S, max_flapping: int = MAX_FLAPPING, target: Column | None = None,
 ) -> DataFrame:
     """Select an action per event, check it, and report the status.
 
     ``results`` are counterfactuals with a ``track`` column; an event without a
-    confident scenario needs no action.
+    confident scenario needs no action.  Flapping is counted per ``target``.
     """
-    picked = select_action(results, by, F.col("track"), min_confidence)
+    picked = select_action(results, by, F.col("track"), min_confidence, target)
     if "params" not in picked.columns:
         picked = picked.withColumn("params", F.lit(None).cast("map<string,double>"))
     checked = check_against_history(picked, executed, now, cooldown_s, window_s, max_flapping)
