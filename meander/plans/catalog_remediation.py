@@ -456,31 +456,31 @@ def _policy_decide(spark, sf_dir):
 @query(
     "optimization_cycle",
     "WITH " + CAND_SQL + """, sel AS (SELECT * FROM cand WHERE rank = 1),
-ex AS (SELECT system, CASE block % 3 WHEN 0 THEN 'adjust_top_k' WHEN 1 THEN 'adjust_temperature' ELSE 'rollback_config' END AS action_type,
-              run_id FROM ranked WHERE rank = 1 AND system % 2 = 0),
-done AS (SELECT DISTINCT * FROM ex), many AS (SELECT system FROM ex GROUP BY 1 HAVING count(*) >= 5),
+ex AS (SELECT system % 100 AS target, CASE block % 3 WHEN 0 THEN 'adjust_top_k' WHEN 1 THEN 'adjust_temperature' ELSE 'rollback_config' END AS action_type,
+              run_id FROM ranked WHERE rank = 1 AND system % 2 = 0 AND block % 2 = 0),
+done AS (SELECT DISTINCT * FROM ex), many AS (SELECT target FROM ex GROUP BY 1 HAVING count(*) >= 5),
 chk AS (SELECT s.system, s.block, s.action_type, s.run_id,
-               CASE WHEN d.run_id IS NOT NULL THEN 'cooldown_period' WHEN m.system IS NOT NULL THEN 'max_flapping' END AS rule_violated
-        FROM sel s LEFT JOIN done d ON d.system = s.system AND d.action_type = s.action_type AND d.run_id = s.run_id
-        LEFT JOIN many m ON m.system = s.system)
+               CASE WHEN d.run_id IS NOT NULL THEN 'cooldown_period' WHEN m.target IS NOT NULL THEN 'max_flapping' END AS rule_violated
+        FROM sel s LEFT JOIN done d ON d.target = s.system % 100 AND d.action_type = s.action_type AND d.run_id = s.run_id
+        LEFT JOIN many m ON m.target = s.system % 100)
 SELECT e.system, e.block, CASE WHEN k.run_id IS NULL THEN 'no_action_needed' WHEN k.rule_violated IS NOT NULL THEN 'blocked_by_guardrail' ELSE 'approved' END AS status,
        k.action_type, k.run_id, k.rule_violated
 FROM evt e LEFT JOIN chk k ON k.system = e.system AND k.block = e.block""",
 )
 def _optimization_cycle(spark, sf_dir):
-    """One cycle per drift event; even systems already executed their top action a minute ago."""
+    """One cycle per drift event; even systems executed the top actions of even blocks a minute ago."""
     from meander.plans.cycle import optimization_cycle
 
     r = _run(spark, sf_dir)
     results = _tracked(r)
     third = F.pmod(F.col("block"), F.lit(3))
     kind = F.when(third == 0, "adjust_top_k").when(third == 1, "adjust_temperature").otherwise("rollback_config")
+    target = (F.col("system") % 100).cast("string")  # a hundred hosts of systems; flapping is counted per host
     top = r.best_factors.filter((F.col("rank") == 1) & (F.col("system") % 2 == 0))
-    executed = _with_block(r, top).select(
-        kind.alias("action_type"), F.col("system").cast("string").alias("target_run_id"), "change_id", F.lit(940.0).alias("executed_at")
+    executed = _with_block(r, top).filter(F.col("block") % 2 == 0).select(
+        kind.alias("action_type"), target.alias("target_run_id"), "change_id", F.lit(940.0).alias("executed_at")
     )
-    # every system keeps its own flapping count
-    out = optimization_cycle(r.events, results, BY, executed, F.lit(1000.0), target=F.col("system").cast("string"))
+    out = optimization_cycle(r.events, results, BY, executed, F.lit(1000.0), target=target)
     return _with_block(r, out.drop("block")).select(
         "system", "block", "status", "action_type", "run_id", "rule_violated"
     )
