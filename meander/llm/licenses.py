@@ -1,9 +1,11 @@
 """License scans by sentence rules, in DataFrame functions only.
 
-A text is cut into sentences, each is normalised, and known ones become sentence identifiers.  Runs of
-identifiers are then matched against ordered rules, longer rules first; a matched run is used up, so a
-three-clause notice is not reported as a two-clause one too.  Both tables are small fixed literals: nothing is
-joined and nothing is shuffled.
+A text is normalised to words and marks for sentence ends, line ends and blank lines; known sentences become
+sentence identifiers.  A known sentence begins and ends at a mark or at the text's ends.  Line ends, comment marks
+and punctuation inside it do not matter, so hard-wrapped notices and titles on a line of their own are both found;
+a blank line is never inside one.  Runs of identifiers are then matched against ordered rules, longer rules first;
+a matched run is used up, so a three-clause notice is not reported as a two-clause one too.  Both tables are small
+fixed literals: nothing is joined and nothing is shuffled.
 
 Null and empty texts give no licence; repeated rows each get their own, equal result; other columns stay.
 """
@@ -81,10 +83,16 @@ RULES = [
     ("CC-BY-SA-4.0", ["ccbysa4_name"]),
 ]
 
-#: Sentences end at a line end, or at .!?;: before white space; digits such as "2.0" stay whole.
-BREAK = r"[.!?;:]+(?:[\x20\x09]+|$)|[.!?;:]*[\r\n]+"
-#: Every known sentence holds one of these stems, so texts without any need no cutting.
-STEMS = "licen|permi|redistribut|warrant|free software|public domain|copyright|endorse"
+#: Sentences end at .!?;: before white space; digits such as "2.0" stay whole.
+BREAK = r"[.!?;:](?:[\x20\x09]+|$)"
+#: Words that comment out a line; comment marks of other characters vanish with them.
+COMMENT = r"(?m)^[^a-z0-9\n]*@?(?:dnl|rem)\b"
+#: The mark of a list item, such as "(1)" or "b)", is no part of its sentence; "1." ends one anyway.
+ITEM = r"(?m)^([^a-z0-9\n]*(?:[0-9]{1,2}|[a-z]))\)[\x20\x09]+"
+#: A line end and all before the next one, without a letter or digit: a line without words.
+BLANK = r"\n[^a-z0-9\n]*+(?=\n)"
+#: Every known sentence holds one of these stems, so texts without any need no cutting.  No stem can be wrapped.
+STEMS = "licen|permi|redistribut|warrant|software|copyright|endorse"
 
 
 def normalised(sentence: str) -> str:
@@ -93,18 +101,28 @@ def normalised(sentence: str) -> str:
 
 
 def known_sentences() -> dict[str, str]:
-    """Normalised text to identifier; of a text that the break rule cuts ("v. 2.0") the longest part stands for it."""
-    return {max(map(normalised, re.split(BREAK, whole)), key=len): name for name, texts in SENTENCES.items()
-            for whole in texts}
+    """Normalised text to identifier."""
+    return {normalised(whole): name for name, texts in SENTENCES.items() for whole in texts}
+
+
+def marked(text: Column) -> Column:
+    """Lower-case words of ``text`` with | for a sentence end, a line end for itself and ~ for blank lines."""
+    out = F.regexp_replace(F.lower(F.translate(text, "|~", "^^")), r"\r\n?", "\n")
+    out = F.regexp_replace(out, COMMENT, "")
+    out = F.regexp_replace(out, ITEM, "$1|")
+    out = F.regexp_replace(F.regexp_replace(out, BLANK, "~"), BREAK, "|")
+    return F.regexp_replace(out, r"[^a-z0-9|~\n]+", " ")
 
 
 def sentence_ids(text: Column) -> Column:
     """Identifiers of the known sentences of ``text``, in order."""
-    table = F.create_map(*[F.lit(x) for pair in known_sentences().items() for x in pair])
-    clean = lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " "))
-    ids = F.filter(
-        F.transform(F.split(text, BREAK, -1), lambda s: F.element_at(table, clean(s))), lambda x: x.isNotNull()
-    )
+    known = known_sentences()
+    table = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
+    # longer ones first: a title may begin another
+    choice = "|".join(k.replace(" ", r"[ |\n]+") for k in sorted(known, key=len, reverse=True))
+    pattern = rf"(?<=^|^ |[|~\n]|[|~\n] )(?:{choice})(?= ?(?:[|~\n]|$))"
+    hits = F.regexp_extract_all(marked(text), F.lit(pattern), F.lit(0))
+    ids = F.transform(hits, lambda s: F.element_at(table, F.regexp_replace(s, r"[ |\n]+", " ")))
     return F.when(text.rlike(f"(?i){STEMS}"), ids).otherwise(F.array().cast("array<string>"))
 
 
