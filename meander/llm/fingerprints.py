@@ -5,9 +5,11 @@ power of two.  Sums do not depend on order, and a paragraph can be put in or tak
 or subtracting its vector.  A vector has two parts:
 
 * identity, ``IDENTITY`` lanes modulo 2^64: the paragraph's BLAKE2b digest.  Equal multisets have equal sums.
-* likeness, ``LANES`` lanes modulo 2^16: the paragraph's word-start grams, each adding +1 or -1 to one lane.  The
-  cosine of two such sums estimates how much of their content two documents share, so that a changed word costs
-  one paragraph its identity but hardly any likeness.
+* likeness, ``LANES`` lanes modulo 2^32: the paragraph's grams, each adding +1 or -1 to one lane.  Grams begin at
+  word starts, and in words longer than a gram also where the content says so, at most ``WINDOW`` bytes apart: every
+  byte of a word counts, also in texts without white space, and bytes put in move no other grams.  The cosine of
+  two such sums estimates how much of their content two documents share, so that a changed word costs one
+  paragraph its identity but hardly any likeness.
 
 A fingerprint's text is the identity in hexadecimal, a dash and the likeness in base64.  Null texts count as
 empty: the zero vector.  Repeated rows have equal fingerprints.
@@ -16,6 +18,7 @@ empty: the zero vector.  Repeated rows have equal fingerprints.
 from __future__ import annotations
 
 import base64
+import bisect
 import hashlib
 
 import numpy as np
@@ -27,7 +30,9 @@ from meander.llm.common import sliced
 
 IDENTITY = 8
 LANES = 256
-GRAM = 12  # bytes of a gram: the eight from a word's first byte on and the four behind them
+GRAM = 12  # bytes of a gram: the eight from its first byte on and the four behind them
+WINDOW = 8  # of as many starts in a long word, the one with the least hash begins a gram
+PREFIX = 256  # characters of a text that bounds a slice
 
 _MIX1, _MIX2, _MIX3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 _SPACE = np.zeros(256, bool)
@@ -35,7 +40,7 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
 def empty() -> tuple[np.ndarray, np.ndarray]:
-    return np.zeros(IDENTITY, np.uint64), np.zeros(LANES, np.uint16)
+    return np.zeros(IDENTITY, np.uint64), np.zeros(LANES, np.uint32)
 
 
 def plus(a, b):
@@ -48,6 +53,34 @@ def minus(a, b):
     return a[0] - b[0], a[1] - b[1]
 
 
+def _inside(eight: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Where further grams begin in the words longer than a gram; ``eight`` has the eight bytes from each place on.
+
+    Of every ``WINDOW`` neighbouring places of a word the one with the least hash, a word's first place aside.
+    """
+    long = stop - start > GRAM
+    start, size = start[long], (stop - start)[long]
+    if not len(start):
+        return start
+    # words one behind the other, each with WINDOW - 1 empty places in front
+    ends = np.cumsum(size + WINDOW - 1)
+    step = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    slots = np.repeat(ends - size, size) + step
+    places = np.repeat(start, size) + step
+    values = np.zeros(int(ends[-1]) + WINDOW - 1, np.uint64)
+    mixed = eight[places] * _MIX1
+    values[slots] = (mixed ^ (mixed >> np.uint64(31))) * _MIX2 | np.uint64(1)
+    least, width = values, 1  # of WINDOW values from each slot on; 0 where the window leaves the word
+    while width < WINDOW:
+        least = np.minimum(least[:-width], least[width:])
+        width *= 2
+    most, width = least, 1  # of the windows that hold a slot
+    while width < WINDOW:
+        most = np.maximum(most[:-width], most[width:])
+        width *= 2
+    return places[(most[slots - WINDOW + 1] == values[slots]) & (step > 0)]
+
+
 def fingerprint(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     """The sum over the paragraphs of UTF-8 ``text``; empty lines are no paragraphs."""
     paragraphs = [p for p in text.split(b"\n") if p]
@@ -61,29 +94,33 @@ def fingerprint(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     first = ~space
     first[1:] &= space[:-1]
     at = np.flatnonzero(first)
+    last = ~space
+    last[:-1] &= space[1:]
     n = len(body) - 7
-    low = np.ndarray(n, "<u8", body, strides=(1,))[at]
+    eight = np.ndarray(n, "<u8", body, strides=(1,))
+    at = np.concatenate([at, _inside(eight, at, np.flatnonzero(last) + 1)])
+    low = eight[at]
     high = np.ndarray(n + 4, "<u4", body, strides=(1,))[np.minimum(at + 8, n + 3)].astype(np.uint64)
     mixed = (low * _MIX1) ^ (high * _MIX2)
     mixed = (mixed ^ (mixed >> np.uint64(29))) * _MIX3
     slot = (mixed >> np.uint64(48)).astype(np.int64)
     counts = np.bincount(slot & (2 * LANES - 1), minlength=2 * LANES)
-    return identity, (counts[:LANES] - counts[LANES:]).astype(np.uint16)
+    return identity, (counts[:LANES] - counts[LANES:]).astype(np.uint32)
 
 
 def to_text(f) -> str:
-    return f[0].astype("<u8").tobytes().hex() + "-" + base64.b64encode(f[1].astype("<u2").tobytes()).decode()
+    return f[0].astype("<u8").tobytes().hex() + "-" + base64.b64encode(f[1].astype("<u4").tobytes()).decode()
 
 
 def from_text(s: str) -> tuple[np.ndarray, np.ndarray]:
     head, _, tail = s.partition("-")
     return (np.frombuffer(bytes.fromhex(head), "<u8").astype(np.uint64),
-            np.frombuffer(base64.b64decode(tail), "<u2").astype(np.uint16))
+            np.frombuffer(base64.b64decode(tail), "<u4").astype(np.uint32))
 
 
 def likeness(a, b) -> float:
     """0 to 1: the cosine of the likeness lanes read as signed numbers; 1 for equal fingerprints."""
-    x, y = a[1].view(np.int16).astype(np.float64), b[1].view(np.int16).astype(np.float64)
+    x, y = a[1].view(np.int32).astype(np.float64), b[1].view(np.int32).astype(np.float64)
     if np.array_equal(a[0], b[0]) and np.array_equal(a[1], b[1]):
         return 1.0
     size = float(x @ x) * float(y @ y)
@@ -96,36 +133,49 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def _bounds(docs: DataFrame, doc_id: str) -> np.ndarray:
-    """Ids at which the slices of the order begin: the least id of each range partition, one number per partition."""
-    ids = docs.select(F.col(doc_id).cast("long").alias("id")).where("id is not null")
+def _bounds(docs: DataFrame, doc_id: str, text: str) -> tuple[list[bytes], np.ndarray]:
+    """Where the slices of the order begin: texts for rows without an id, then ids.
+
+    The least row of each range partition, one value per partition; of texts the first ``PREFIX`` characters.
+    """
+    key = F.col(doc_id).cast("long")
+    ids = docs.where(key.isNotNull()).select(key.alias("id"), F.lit(None).cast("string").alias("head"))
+    head = F.substring(F.coalesce(F.col(text), F.lit("")), 1, PREFIX)
+    order = ids.union(docs.where(key.isNull()).select(F.lit(None).cast("long"), head))
     # a number of its own: the planner would merge partitions of bare ids, and with them the slices of texts
     slices = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = ids.repartitionByRange(slices, "id")
-    rows = ranged.groupBy(F.spark_partition_id()).agg(F.min("id").alias("id")).select("id").distinct().collect()
-    return np.sort(np.array([r[0] for r in rows], dtype=np.int64))
+    ranged = order.repartitionByRange(slices, "id", "head")
+    least = ranged.groupBy(F.spark_partition_id()).agg(F.min(F.struct("id", "head")).alias("r")).select("r.*")
+    rows = least.distinct().collect()
+    return (sorted(r.head.encode() for r in rows if r.id is None),
+            np.sort(np.array([r.id for r in rows if r.id is not None], dtype=np.int64)))
 
 
 def with_next(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``slice, tail, id, text`` so that each row's next one in the order of ids lies in its slice.
 
-    Slices are ranges of ids between ids that exist.  A slice's first rows also go to the slice before as its tail,
-    the first slice's to the last.  Null ids come first, equal ids in the order of their texts.
+    Slices are ranges of ids between ids that exist, and of texts for rows without an id.  A slice's first rows also
+    go to the slice before as its tail, the first slice's to the last.  Null ids come first, equal ids in the order
+    of their texts.
     """
-    bounds = _bounds(docs, doc_id)
+    heads_of, bounds = _bounds(docs, doc_id, text)
+    nameless, last = len(heads_of), max(len(heads_of) + len(bounds), 1)
 
     def place(batches):
         for batch in sliced(batches, 4096):
             ids, texts = batch.column(0), batch.column(1)
             known = ids.is_valid().to_numpy(zero_copy_only=False)
             values = ids.fill_null(0).to_numpy(zero_copy_only=False)
-            where = np.maximum(np.searchsorted(bounds, values, "right") - 1, 0)
-            where[~known] = 0
+            where = np.maximum(nameless + np.searchsorted(bounds, values, "right") - 1, 0)
             heads = np.isin(values, bounds) & known
-            if not known.all():  # rows without an id open the first slice
-                heads |= ~known
+            first = {}  # slice of rows without an id: its least row that may be its first
+            for i in np.flatnonzero(~known):
+                body = texts[int(i)].as_py().encode()
+                where[i] = k = max(bisect.bisect_right(heads_of, body) - 1, 0)
+                if body.startswith(heads_of[k]) and (k not in first or body < first[k][0]):
+                    first[k] = (body, i)
+            heads[[i for _, i in first.values()]] = True
             rows = np.concatenate([np.arange(len(ids)), np.flatnonzero(heads)])
-            last = max(len(bounds), 1)
             to = np.concatenate([where, (where[heads] - 1) % last])
             tail = np.concatenate([np.zeros(len(ids), bool), np.ones(int(heads.sum()), bool)])
             take = pa.array(rows)
