@@ -14,6 +14,8 @@ BLOCKS = frozenset(
     "address article aside blockquote body dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 "
     "h4 h5 h6 header hgroup hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
+#: Elements that may stand in a head; any other start tag, and text, ends an open one.
+IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 CLOSES_P = BLOCKS - {"html", "body", "li", "dd", "dt", "td", "th", "tr", "tbody", "thead", "tfoot"}
 #: An element that its next sibling of these names ends, and where the search for it stops.
 ENDED_BY = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
@@ -26,6 +28,8 @@ _TOKEN = re.compile(
     r"""|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)""",
     re.S | re.I,
 )
+#: The slash of ``<svg width=10/>`` belongs to the value.
+_VALUE_SLASH = re.compile(r"""=\s*[^\s"'>]*/\Z""")
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 
 
@@ -48,16 +52,22 @@ class Page:
         return len(self.tag) - 1
 
 
+def _closed(attributes: str) -> bool:
+    return attributes.endswith("/") and not _VALUE_SLASH.search(attributes)
+
+
 def parse(html: str | None) -> Page:
     """The tree of visible text.  Only block elements are nodes; inline ones only tell whether text is a link.
 
-    Null and empty pages have the root alone.  Missing and stray end tags are taken as browsers mostly do.
+    Null and empty pages have the root alone.  Missing and stray end tags are taken as browsers mostly do: a head
+    ends at the first thing that may not stand in it, later heads are ignored.
     """
     page = Page()
     stack: list[tuple[str, int]] = [("#root", 0)]  # (name, node of the nearest block)
     pieces: list[str] = []
     linked = 0
     hidden = links = 0
+    fresh = True  # a head may still begin
 
     def flush():
         nonlocal linked
@@ -88,8 +98,18 @@ def parse(html: str | None) -> Page:
                 return 0
         return 0
 
+    def end_head(name: str = ""):
+        """An open head ends at what may not stand in it; a body ends it from inside its elements too."""
+        if stack[-1][0] == "head" and name not in IN_HEAD:
+            pop(1)
+        elif name == "body" and (depth := find({"head"}, {"template"})):
+            pop(depth)
+
     def take(text: str):
-        nonlocal linked
+        nonlocal linked, fresh
+        if text and (fresh or stack[-1][0] == "head") and text.strip(" \t\n\f\r"):
+            fresh = False
+            end_head()
         if text and not hidden:
             text = unescape(text) if "&" in text else text
             pieces.append(text)
@@ -98,11 +118,16 @@ def parse(html: str | None) -> Page:
 
     at = 0
     html = html or ""
-    for m in _TOKEN.finditer(html):
+    while m := _TOKEN.search(html, at):
         take(html[at : m.start()])
         at = m.end()
         name = m[5]
         if name is None:
+            if m[1]:
+                fresh = False
+                end_head(m[1].lower())
+                if _closed(m[2]) and find({"svg", "math"}, {"foreignobject"}):
+                    at = m.end(2) + 1  # empty: what follows is no raw text
             continue
         name = name.lower()
         if m[4]:
@@ -111,6 +136,10 @@ def parse(html: str | None) -> Page:
             elif name in ("p", "br"):
                 flush() if name == "p" else take(" ")
             continue
+        if name == "head" and not fresh:
+            continue
+        fresh &= name == "html"
+        end_head(name)
         if name in VOID:
             flush() if name == "hr" else take(" ")
             continue
@@ -124,6 +153,8 @@ def parse(html: str | None) -> Page:
             pop(depth)
         if m[6].endswith("/") and name not in BLOCKS and name not in HIDDEN:
             continue
+        if name in ("svg", "math") and _closed(m[6]):
+            continue
         node = stack[-1][1]
         if name in BLOCKS:
             flush()
