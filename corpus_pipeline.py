@@ -23,6 +23,8 @@ from meander.llm.common import materialised, table
 
 #: A language stays if its calibrated probability is at least this.
 MIN_SCORE = 0.3
+#: Near copies have at least this percentage of their word shingles in common.
+NEAR = 80
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +34,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return minhash.deduplicate(docs)
+    return minhash.deduplicate(docs, percent=NEAR)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,9 +1,10 @@
 """Near-duplicate detection with MinHash: banding, signature check, exact check, connected components.
 
 A document's set is its distinct five-word shingles (ASCII letters folded).  Equal sets are one class from the
-start, found by a 128-bit digest, so copies cost one row each.  Every class has ``BANDS * ROWS`` minima of universal
-hash functions; ``ROWS`` of them make a band key, and classes that share a key of any band are candidates.  At a
-similarity of 0.85 a pair misses all bands with probability (1 - 0.85^8)^48 = 2e-7.
+start, found by a 128-bit digest, so copies cost one row each.  Every class has ``SKETCH`` minima of universal hash
+functions; some of them make a band key, and classes that share a key of any band are candidates.  How many is derived
+from the threshold (:func:`banding`): at 0.85 bands of 8, at 0.80 bands of 6.  A pair at the threshold misses all bands
+with probability (1 - 0.85^8)^48 = 2e-7, or (1 - 0.8^6)^64 = 3e-9.
 
 Candidates are linked to one pivot per bucket first, which is linear in the bucket.  Pairs are then checked on
 their signatures, confirmed on their full sets, and joined to components.  A second pass takes up those buckets that
@@ -27,9 +28,10 @@ from meander.llm.common import materialised, sliced
 from meander.llm.components import components
 
 SHINGLE = 5
-ROWS, BANDS = 8, 48
-SKETCH = ROWS * BANDS  # minima whose low 16 bits make the signature check
-LOW = 0.755  # signature estimate that a pair at 0.85 stays above (five standard deviations)
+SKETCH = 384  # minima; their low 16 bits make the signature check
+MAX_ROWS = 32  # minima of a band at most
+MISS = 3e-7  # probability that a pair at the threshold shares no band, at most
+DEVIATIONS = 5.25  # of the signature estimate: how far below the threshold a pair is still checked in full
 BUCKETS = 1 << 20
 BLOCK = 1024  # members of a bucket that meet in one task at a time
 
@@ -37,9 +39,9 @@ _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _WORDS = _rng.integers(1, 1 << 63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_A = _rng.integers(1, 1 << 63, (ROWS * BANDS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_B = _rng.integers(0, 1 << 63, (ROWS * BANDS, 1), dtype=np.uint64)
-_KEY = _rng.integers(1, 1 << 63, ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_A = _rng.integers(1, 1 << 63, (SKETCH, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_B = _rng.integers(0, 1 << 63, (SKETCH, 1), dtype=np.uint64)
+_KEY = _rng.integers(1, 1 << 63, MAX_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -86,11 +88,26 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(_mix(h))
 
 
+def banding(percent: int) -> int:
+    """Minima of a band: as many as keep a pair at ``percent`` in some band but for a probability of ``MISS``."""
+    s = percent / 100
+    fit = [r for r in range(1, MAX_ROWS + 1) if (1 - s**r) ** (SKETCH // r) <= MISS] if 0 < s <= 1 else []
+    if not fit:
+        raise ValueError(f"no banding of {SKETCH} minima finds pairs at {percent} percent")
+    return max(fit)
+
+
+def lowest(percent: int) -> float:
+    """The signature estimate that a pair at ``percent`` stays above."""
+    s = percent / 100
+    return s - DEVIATIONS * (s * (1 - s) / SKETCH) ** 0.5
+
+
 def minima(h: np.ndarray) -> np.ndarray:
     """The upper 32 bits of the least (a x + b) mod 2^64 for each function."""
     x = (h >> np.uint64(32))[None, :]
-    out = np.empty(ROWS * BANDS, np.uint64)
-    width = max(1, min(ROWS * BANDS, (1 << 15) // len(h)))
+    out = np.empty(SKETCH, np.uint64)
+    width = max(1, min(SKETCH, (1 << 15) // len(h)))
     for i in range(0, len(out), width):
         v = _A[i : i + width] * x
         v += _B[i : i + width]
@@ -98,13 +115,16 @@ def minima(h: np.ndarray) -> np.ndarray:
     return out >> np.uint64(32)
 
 
-def band_keys(m: np.ndarray) -> np.ndarray:
-    rows = m.reshape(BANDS, ROWS) * _KEY
-    return _mix(rows.sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * _STEP).view(np.int64)
+def band_keys(m: np.ndarray, size: int) -> np.ndarray:
+    """One key for each ``size`` minima; left-over ones have none."""
+    bands = SKETCH // size
+    rows = m[: bands * size].reshape(bands, size) * _KEY[:size]
+    return _mix(rows.sum(axis=1, dtype=np.uint64) + np.arange(bands, dtype=np.uint64) * _STEP).view(np.int64)
 
 
-def signatures(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def signatures(docs: DataFrame, *, percent: int = 85, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, n_shingles, d1, d2`` (digest of the set), ``keys`` (of the bands), ``sketch``."""
+    size = banding(percent)
 
     def run(batches):
         for batch in sliced(batches):
@@ -116,8 +136,8 @@ def signatures(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -
                 d2.append(int(_mix(h ^ _STEP).sum(dtype=np.uint64).view(np.int64)))
                 if len(h):
                     m = minima(h)
-                    keys.append(band_keys(m))
-                    sketches.append((m[:SKETCH] & np.uint64(0xFFFF)).astype("<u2").tobytes())
+                    keys.append(band_keys(m, size))
+                    sketches.append((m & np.uint64(0xFFFF)).astype("<u2").tobytes())
                 else:
                     keys.append(None)
                     sketches.append(None)
@@ -136,8 +156,9 @@ def _alike(percent: int):
     return F.least("n_u", "n_v") * 100 >= F.greatest("n_u", "n_v") * percent
 
 
-def by_signature(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The ``u, v`` pairs whose signatures agree in at least ``LOW`` of their places."""
+def by_signature(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The ``u, v`` pairs whose signatures agree in at least the ``lowest`` part of their places."""
+    low = lowest(percent)
     s = classes.select("rep", "sketch")
     joined = pairs.join(s.select(F.col("rep").alias("v"), F.col("sketch").alias("sv")), "v").join(
         s.select(F.col("rep").alias("u"), F.col("sketch").alias("su")), "u"
@@ -149,7 +170,7 @@ def by_signature(pairs: DataFrame, classes: DataFrame) -> DataFrame:
                 a, b = (
                     np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u2").reshape(-1, SKETCH) for i in (2, 3)
                 )
-                good = pa.array((a == b).mean(axis=1) >= LOW)
+                good = pa.array((a == b).mean(axis=1) >= low)
                 yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), batch.column(1).filter(good)],
                                                  names=["u", "v"])
 
@@ -161,6 +182,7 @@ def within_buckets(members: DataFrame, classes: DataFrame, percent: int) -> Data
 
     ``members``: ``key, v, n`` (size), ``c`` (component), ``blocks`` (of the bucket).  Blocks of a bucket meet in pairs.
     """
+    low = lowest(percent)
     wide = classes.select(F.col("rep").alias("v"), "keys", "sketch")
     block = F.pmod(F.xxhash64("v"), F.col("blocks"))
     rows = members.withColumn("own", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -181,7 +203,7 @@ def within_buckets(members: DataFrame, classes: DataFrame, percent: int) -> Data
                 fit &= own != own[i]
             at = np.flatnonzero(fit)
             if len(at):
-                near = at[(sketch[at] == sketch[i]).mean(axis=1) >= LOW]
+                near = at[(sketch[at] == sketch[i]).mean(axis=1) >= low]
                 # a pair that shares an earlier band comes from there
                 out += [(int(v[i]), int(v[j])) for j in near
                         if next(x for x, y in zip(group[i][7], group[j][7], strict=True) if x == y) == key]
@@ -255,7 +277,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int, doc_id: str, text
 
 def near_duplicates(docs: DataFrame, *, percent: int = 85, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row of ``docs``: ``doc_id, n_shingles, component_id, kept``."""
-    signed = materialised(signatures(docs, doc_id=doc_id, text=text), "signatures")
+    signed = materialised(signatures(docs, percent=percent, doc_id=doc_id, text=text), "signatures")
     digest = ["d1", "d2", "n_shingles"]
     groups = signed.where("n_shingles > 0").groupBy(*digest).agg(
         F.min("doc_id").alias("rep"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")
@@ -272,7 +294,7 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85, doc_id: str = "doc_id
     )
     stars = members.where("u <> v").where(_alike(percent)).select("u", "v").distinct()
     stars = materialised(stars, "stars")
-    near = materialised(by_signature(stars, classes), "candidates")
+    near = materialised(by_signature(stars, classes, percent), "candidates")
     links = materialised(confirmed(near, docs, percent, doc_id, text), "links")
     found = components(links)
 
