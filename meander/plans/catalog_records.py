@@ -424,7 +424,7 @@ def _component_kl_pca(spark, sf_dir):
 @query("bootstrap_thresholds")
 def _bootstrap_thresholds(spark, sf_dir):
     base = inputs.tracked_vectors(spark, sf_dir).filter("NOT is_current")
-    out = cal.bootstrap_thresholds(base, BY, replicates=40, mmd_replicates=10, kl_replicates=20)
+    out = cal.bootstrap_thresholds(base, BY)
     return out.withColumn("threshold", rounded(F.col("threshold")))
 
 
