@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from meander.llm import fingerprints, htmlmodel, langid, licenses, minhash, mixing, neighbours, packing, quality, secrets
+from meander.llm import centroids, fingerprints, htmlmodel, langid, lexical, licenses, minhash, mixing, neighbours
+from meander.llm import packing, quality, secrets, simhash
 from meander.llm.common import id_hash, table
 
 QUERIES: dict = {}
@@ -95,6 +96,21 @@ def op10_multiset_fingerprint(spark, sf_dir):
     return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
 
 
+@query("op11_centroid_clusters", centroids.sql())
+def op11_centroid_clusters(spark, sf_dir):
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+@query("op12_lexical_tree_search", lexical.sql())
+def op12_lexical_tree_search(spark, sf_dir):
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op13_simhash_dedup")
+def op13_simhash_dedup(spark, sf_dir):
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query("pipeline")
 def pipeline(spark, sf_dir):
     import corpus_pipeline

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -36,3 +37,13 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
+
+
+def pieces(raw: bytes, separator: bytes, size: int = 1 << 20) -> Iterator[bytes]:
+    """``raw`` in pieces of about ``size`` bytes, cut only in front of a ``separator``, so that no word is cut."""
+    at, cut = 0, re.compile(separator)
+    while at < len(raw):
+        found = cut.search(raw, at + size) if at + size < len(raw) else None
+        end = found.start() if found else len(raw)
+        yield raw[at:end]
+        at = end
