@@ -8,6 +8,7 @@ from meander.functions.columns import rounded
 from meander.functions.runtime import scratch_path
 from meander.operators import calibration as cal
 from meander.operators import fusion, latent, records
+from meander.operators.resampling import poisson_cuts
 from meander.operators.swarm import swarm_drift
 from meander.plans import evaluate as ev
 from meander.plans import inputs
@@ -421,6 +422,45 @@ def _component_kl_pca(spark, sf_dir):
     return _round_all(out, ["max_kl", "mean_kl"])
 
 
+BASE_SQL = """base AS (
+  SELECT CASE WHEN label < 5 THEN 'retrieval' ELSE 'generation' END AS track, vec_id, CAST(embedding[1] AS DOUBLE) AS x
+  FROM embeddings WHERE vec_id % 2 = 0)"""
+
+#: Resamples as counts, from the same 16 bits of an md5 per row and replicate.
+RESAMPLE_SQL = f""", drawn AS (
+  SELECT track, r, x, len(list_filter({poisson_cuts(1.0)}, lambda c: u >= c)) AS w FROM (
+    SELECT track, x, r, CAST('0x' || substr(md5('c:' || (r // 8) || ':' || vec_id), 1 + 4 * CAST(r % 8 AS INTEGER), 4) AS INTEGER) AS u
+    FROM base, range(0, 1000) g(r))),
+uni AS (SELECT track, r, x FROM drawn UNION ALL SELECT track, r, x FROM drawn, LATERAL (SELECT unnest(range(0, w))) t),
+q AS (
+  SELECT track, r, count(*) AS n, min(x) AS lo, max(x) AS hi, quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.75) AS q3
+  FROM uni GROUP BY ALL),
+shape AS (
+  SELECT track, r, lo, hi, CASE WHEN n >= 2 AND q3 > q1 AND hi > lo
+    THEN CAST(greatest(10, least(100, ceil((hi - lo) / (2.0::DOUBLE * (q3 - q1) / pow(n, 1.0::DOUBLE / 3.0::DOUBLE))))) AS INTEGER)
+    ELSE 20 END AS bins
+  FROM q),
+guess AS (
+  SELECT d.track, d.r, x, w, lo, bins, (hi - lo) / bins AS step, least(floor((x - lo) / (hi - lo) * bins), bins - 1) AS g
+  FROM drawn d JOIN shape s ON s.track = d.track AND s.r = d.r),
+binned AS (
+  SELECT track, r, any_value(bins) AS bins, any_value(step) AS step, count(*) AS nb, sum(w) AS nc,
+    CAST(g - CAST(x < lo + g * step AS INTEGER) + CAST(x >= lo + (g + 1) * step AND g < bins - 1 AS INTEGER) AS INTEGER) AS bin
+  FROM guess GROUP BY track, r, bin),
+filled AS (
+  SELECT h.track, h.r, h.step, coalesce(b.nb, 0) AS nb, coalesce(b.nc, 0) AS nc
+  FROM (SELECT track, r, step, unnest(range(0, bins)) AS bin FROM (SELECT DISTINCT track, r, bins, step FROM binned)) h
+  LEFT JOIN binned b ON b.track = h.track AND b.r = h.r AND b.bin = h.bin),
+dens AS (
+  SELECT track, r, greatest(nb / (sum(nb) OVER w * step), 1e-12::DOUBLE) AS dp, greatest(nc / (sum(nc) OVER w * step), 1e-12::DOUBLE) AS dq
+  FROM filled WINDOW w AS (PARTITION BY track, r)),
+mass AS (
+  SELECT track, r, dp / sum(dp) OVER w AS p, dq / sum(dq) OVER w AS q FROM dens WINDOW w AS (PARTITION BY track, r)),
+scored AS (
+  SELECT track, r, sqrt(greatest(0.0::DOUBLE, (sum(p * ln(p / ((p + q) / 2))) + sum(q * ln(q / ((p + q) / 2)))) / 2)) AS js
+  FROM mass GROUP BY ALL)"""
+
+
 @query("bootstrap_thresholds")
 def _bootstrap_thresholds(spark, sf_dir):
     base = inputs.tracked_vectors(spark, sf_dir).filter("NOT is_current")
@@ -428,6 +468,22 @@ def _bootstrap_thresholds(spark, sf_dir):
     return out.withColumn("threshold", rounded(F.col("threshold")))
 
 
+@query(
+    "bootstrap_js_axis",
+    "WITH " + BASE_SQL + RESAMPLE_SQL + """
+SELECT track, count(*) AS replicates, round(avg(js), 6) AS mean_js, round(avg(js) + 3.0::DOUBLE * stddev_pop(js), 6) AS threshold
+FROM scored GROUP BY track""",
+)
+def _bootstrap_js_axis(spark, sf_dir):
+    """The calibration of the histogram distance on a fixed axis, the first coordinate."""
+    base = inputs.tracked_vectors(spark, sf_dir).filter("NOT is_current")
+    scores = cal.bootstrap_js(base, BY, principal=False)
+    return scores.groupBy("track").agg(
+        F.count("score").alias("replicates"), rounded(F.avg("score")).alias("mean_js"),
+        rounded(F.avg("score") + F.lit(3.0) * F.stddev_pop("score")).alias("threshold"),
+    )
+
+
 @query("split_half_thresholds")
 def _split_half_thresholds(spark, sf_dir):
     base = inputs.tracked_vectors(spark, sf_dir).filter("NOT is_current")
