@@ -101,9 +101,11 @@ def event_change_features(events: DataFrame, changes: DataFrame, by: list[str])
     """Features of every change in the event's own stream: distance to the window and type weight.
 
     The result is by definition one row per event and change of a stream; the
-    join is an equi-join on the stream.
+    join is an equi-join on the stream.  ``max_delta`` is the distance of the event's
+    farthest change, which is the first or the last one of the stream.
     """
-    e = events.select(*by, "event_id", "start_ts", "end_ts", "magnitude")
+    ends = changes.groupBy(*by).agg(F.min("ts").alias("_first"), F.max("ts").alias("_last"))
+    e = events.select(*by, "event_id", "start_ts", "end_ts", "magnitude").join(ends, by)
     c = changes.select(*by, "change_id", "run_id", "change_type", "ts", "seq")
     joined = e.join(c, by)
     inside = (F.col("ts") >= F.col("start_ts")) & (F.col("ts") <= F.col("end_ts"))
@@ -114,6 +116,7 @@ def event_change_features(events: DataFrame, changes: DataFrame, by: list[str])
         F.when(inside, F.lit(0.0)).otherwise(away).alias("time_delta"),
         inside.alias("in_window"),
         F.col("magnitude").alias("drift_magnitude"),
+        F.greatest(F.col("start_ts") - F.col("_first"), F.col("_last") - F.col("end_ts"), F.lit(0.0)).alias("max_delta"),
     )
 
 
@@ -128,9 +131,7 @@ def _score(max_delta: Column) -> Column:
 
 def attribution_scores(features: DataFrame, by: list[str]) -> DataFrame:
     """Scored features (all of one event share its magnitude, so that part is 1 or 0)."""
-    event = [*by, "event_id"]
-    farthest = features.groupBy(*event).agg(F.max("time_delta").alias("_max"))
-    return features.join(farthest, event).withColumn("score", _score(F.col("_max"))).drop("_max")
+    return features.withColumn("score", _score(F.col("max_delta"))).drop("max_delta")
 
 
 def rank_factors(scores: DataFrame, by: list[str]) -> DataFrame:
@@ -169,17 +170,3 @@ def attribute_drift(events: DataFrame, changes: DataFrame, by: list[str]) -> tup
     """``(factors, attributions)`` of all events: scored factors, and one row per event."""
     factors = attribution_scores(event_change_features(events, changes, by), by)
     return factors, attributions(events, event_confidence(factors, by), by)
-
-
-def attribution_summary(
-    events: DataFrame, changes: DataFrame, by: list[str], top: int
-) -> tuple[DataFrame, DataFrame]:
-    """``(best, attributions)``: the ``top`` factors of every event, and its confidence.
-
-    One path at any size: every change of an event's stream is scored, as in
-    :func:`attribution_scores`, but the scores are never stored.  Counts, sums
-    and the largest score are added up in the tasks that make the scores, and
-    each task passes on its ``top`` best ones only.
-    """
-    scores = attribution_scores(event_change_features(events, changes, by), by)
-    return top_factors(scores, by, top), attributions(events, event_confidence(scores, by), by)

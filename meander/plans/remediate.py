@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meander.functions.runtime import cut_lineage
+from meander.operators import attribution
 from meander.operators import changes as ch
 from meander.operators import counterfactual as cf
 from meander.operators import remediation as rm
@@ -17,7 +18,7 @@ from meander.operators.series import mean_shift_events, metric_series
 class Remediation:
     """The tables of one remediation run; each is built when first asked for.
 
-    Series, events, changes, factors and results are stored once, as several later tables
+    Series, events, best factors and results are stored once, as several later tables
     build on them.
     """
 
@@ -41,13 +42,14 @@ class Remediation:
 
     @cached_property
     def factors(self) -> DataFrame:
-        """Every change scored for every event of its stream (the full report)."""
-        return cut_lineage(ch.attribution_scores(ch.event_change_features(self.events, self.changes, self.by), self.by))
+        """Every change scored for every event of its stream (the full report, not stored)."""
+        return ch.attribution_scores(ch.event_change_features(self.events, self.changes, self.by), self.by)
 
     @cached_property
     def _summary(self) -> tuple[DataFrame, DataFrame]:
-        best, att = ch.attribution_summary(self.events, cut_lineage(self.changes), self.by, self.top_k + 1)
-        return cut_lineage(best), att
+        # read twice; what a change holds in detail is of no use here
+        narrow = cut_lineage(self.changes.select(*self.by, "change_id", "run_id", "change_type", "ts", "seq"))
+        return attribution.attribution_summary(self.events, narrow, self.by, self.top_k + 1)
 
     @cached_property
     def best_factors(self) -> DataFrame:

@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from meander.operators import attribution
 from meander.operators import changes as ch
 from meander.operators import counterfactual as cf
 from meander.operators import fusion, policy, remediation
@@ -235,7 +236,7 @@ def test_long_stream_takes_the_earliest_of_equal_scores(spark):
     ev = [("even", "a", "m", 150000.5, 150000.7, 0.3), ("tied", "b", "m", 60.0, 61.0, 0.0), ("tied", "d", "m", 500.0, 510.0, 0.2)]
     e = spark.createDataFrame(
         ev, "system string, event_id string, metric_name string, start_ts double, end_ts double, magnitude double")
-    best, conf = ch.attribution_summary(e, c, BY, 4)
+    best, conf = attribution.attribution_summary(e, c, BY, 4)
     got = {k: [] for k in "abd"}
     for r in best.orderBy("event_id", "rank").collect():
         got[r.event_id].append(r.change_id)
