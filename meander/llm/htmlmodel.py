@@ -7,8 +7,11 @@ Sum-product messages upward and downward give exact marginals; text blocks whose
 text, joined in page order.
 
 Labelled pages are of two kinds: the small pages of ``LABELLED``, in which elements are marked, and a bounded sample
-(``max_train``) of the table's own pages that hold exactly one ``article`` or ``main`` element, which says what is
-content.  Sectioning names are hidden in copies of the latter, so that the model also learns from the rest.
+of the table's own pages that hold exactly one ``article`` or ``main`` element, which says what is content but for
+navigation, asides, forms, footers and what its names call comments, notices, adverts or boxes.  The sample has at most
+``max_train`` pages of at most ``max_chars`` characters (longer ones are read like all others, but not learned from).  The
+model also learns from copies of the sample: some hide sectioning names, others have such blocks (``BLOCKS_AROUND``) put
+into and behind the article, with sentences of other pages, so that only element and names tell them from the article.
 
 Null and empty pages give an empty text; repeated rows give equal results; extra columns are ignored.
 """
@@ -45,7 +48,14 @@ NAMES = {
 _NAMES = [re.compile(p) for p in NAMES.values()]
 #: Kinds of parents that have tables of their own.
 PARENTS = {"#root": 0, "html": 0, "body": 0, "div": 1, "section": 1, "article": 2, "main": 2}
-OTHER_PARENT, N_PARENTS = 3, 4
+OTHER_PARENT, NAMED_PARENT, N_PARENTS = 3, 4, 5  # named: as no part of an article
+
+#: Names of what is no part of an article, wherever it stands.
+NO_ARTICLE = re.compile(
+    r"\b(comments?|comment[-_]?(list|section|thread|body|area)|commentlist|replies|respond|disqus|discussion|"
+    r"cookies?|consent|gdpr|notices?|alerts?|popup|modal|paywall|disclaimer|"
+    r"ads?|ad[-_](slot|box|unit|banner|container)|adverts?|advertisement|advertising|sponsor(ed)?|promo|promoted|"
+    r"related|recommended|recommendations|sidebar|widget|popular|trending|newsletter|subscribe|subscription|signup)\b")
 
 # Own small pages; c marks content, everything else is not.
 LABELLED = [
@@ -137,8 +147,10 @@ def features(page: Page) -> np.ndarray:
     return out
 
 
-def _kind(page: Page, i: int) -> int:
-    return PARENTS.get(page.tag[i], OTHER_PARENT)
+def _kinds(page: Page) -> list[int]:
+    """The kind of parent that each node is."""
+    return [NAMED_PARENT if names and NO_ARTICLE.search(names) else PARENTS.get(tag, OTHER_PARENT)
+            for tag, names in zip(page.tag, page.names, strict=True)]
 
 
 def _log_ratio(x1: float, y1: float, x0: float, y0: float) -> float:
@@ -150,16 +162,16 @@ def _log_ratio(x1: float, y1: float, x0: float, y0: float) -> float:
 def marginals(model: Model, page: Page) -> np.ndarray:
     """Log odds of content for every node, by exact sum-product on the tree."""
     belief = (features(page) @ model.weights).tolist()
-    n, parent = len(belief), page.parent
+    n, parent, kinds = len(belief), page.parent, _kinds(page)
     up = [0.0] * n
     for i in range(n - 1, 0, -1):
         p = parent[i]
-        t = model.tables[_kind(page, p)]
+        t = model.tables[kinds[p]]
         up[i] = _log_ratio(t[2], t[3] + belief[i], t[0], t[1] + belief[i])
         belief[p] += up[i]
     for i in range(1, n):
         p = parent[i]
-        t = model.tables[_kind(page, p)]
+        t = model.tables[kinds[p]]
         rest = belief[p] - up[i]
         belief[i] += _log_ratio(t[1], t[3] + rest, t[0], t[2] + rest)
     return np.array(belief)
@@ -195,18 +207,64 @@ def _marked(html: str) -> tuple[Page, np.ndarray]:
     return page, _labels(page, content)
 
 
+_OUTSIDE = ("nav", "aside", "form", "footer")
+
+
 def _sectioned(page: Page) -> np.ndarray | None:
     """Labels of a page that says itself what its article is."""
-    tops = [i for i, t in enumerate(page.tag) if t in ("article", "main")]
+    tops = [i for i, t in enumerate(page.tag) if t in ("article", "main") and _NOISE not in page.names[i]]
     if len(tops) != 1:
         return None
     inside = [False] * len(page.tag)
     for i in range(1, len(page.tag)):
-        p = page.parent[i]
-        inside[i] = i == tops[0] or (inside[p] and page.tag[i] not in ("nav", "aside", "form", "footer"))
+        out = page.tag[i] in _OUTSIDE or _NOISE in page.names[i] or NO_ARTICLE.search(page.names[i])
+        inside[i] = i == tops[0] or (inside[page.parent[i]] and not out)
     return _labels(page, inside)
 
 
+#: Elements and names of blocks around an article; ``{}`` is their content.
+BLOCKS_AROUND = [
+    "<section class=comments>{}</section>", "<section id=comments>{}</section>", "<div class=comments>{}</div>",
+    "<div id=comments>{}</div>", "<article class=comment>{}</article>", "<ul class=comments>{}</ul>",
+    "<ol class=comment-list>{}</ol>", "<div class=comment>{}</div>", "<div class=discussion>{}</div>",
+    "<section class=replies>{}</section>", "<div id=respond>{}</div>",
+    "<div class=ad>{}</div>", "<div class=advert>{}</div>", "<div class=ad-slot>{}</div>", "<div class=ads>{}</div>",
+    "<section class=sponsored>{}</section>", "<div class=promo>{}</div>", "<p class=advertisement>{}</p>",
+    "<aside>{}</aside>", "<aside class=box>{}</aside>", "<div class=sidebar>{}</div>", "<div class=related>{}</div>",
+    "<section class=related-stories>{}</section>", "<div class=recommended>{}</div>", "<div class=widget>{}</div>",
+    "<footer>{}</footer>", "<footer class=page-footer>{}</footer>", "<form>{}</form>", "<form class=newsletter>{}</form>",
+    "<div class=newsletter>{}</div>", "<div class=signup>{}</div>", "<div class=search-form>{}</div>",
+    "<div class=cookie-notice>{}</div>", "<div class=cookie>{}</div>", "<div class=notice>{}</div>",
+    "<div class=alert>{}</div>", "<div class=consent>{}</div>", "<p class=disclaimer>{}</p>",
+    "<nav>{}</nav>", "<nav class=menu>{}</nav>", "<ul class=menu>{}</ul>", "<div class=breadcrumb>{}</div>",
+    "<div class=share>{}</div>",
+]
+_INNER = ["<p>{0}</p>", "{0}", "<p>{0}</p><p>{1}</p>", "<h3>{2}</h3><p>{0}</p>", "<div><p>{0}</p></div>",
+          "<ul><li>{0}</li><li>{1}</li></ul>", "<ul><li><a>{2}</a></li><li><a>{3}</a></li></ul>",
+          "<div class=comment><p>{0}</p></div><div class=comment><p>{1}</p></div>", "<p>{0}<br>{1}</p>"]
+_NOISE = "##x"
+_LIST = ["<li>{0}</li><li>{1}</li>", "<li><p>{0}</p></li>", "<li><a>{2}</a></li><li><a>{3}</a></li>"]
+
+
+def _surrounded(html: str, sentences: list[str], rng) -> str:
+    """``html`` with a few blocks put into and behind its article, marked for the labels."""
+    ends = [m.start() for m in re.finditer(r"(?i)</(article|main)\s*>", html)]
+    if not ends or not sentences:
+        return html
+    begin = re.search(r"(?i)<(article|main)\b[^>]*>", html).end()
+    inner = [m.end() for m in re.finditer(r"(?i)</p\s*>", html[begin : ends[0]])]
+    places = [ends[0], ends[0] + re.match(r"[^>]*>", html[ends[0] :]).end()] + [begin + i for i in inner]
+    for at in sorted((places[0 if k == 0 else rng.integers(len(places))] for k in range(4)), reverse=True):
+        block = BLOCKS_AROUND[rng.integers(len(BLOCKS_AROUND))]
+        forms = _LIST if block[:3] in ("<ul", "<ol") else _INNER[1:2] if block[:3] == "<p " else _INNER
+        words = [sentences[i] for i in rng.integers(len(sentences), size=4)]
+        words[2:] = [" ".join(w.split()[: rng.integers(1, 6)]) for w in words[2:]]
+        content = forms[rng.integers(len(forms))].format(*words)
+        cut = block.index("{}") - 1
+        html = html[:at] + block[:cut] + f" role='{_NOISE}'" + block[cut:].format(content) + html[at:]
+    return html
+
+
 _SECTIONS = {"article", "main", "nav", "aside", "header", "footer"}
 
 
@@ -224,15 +282,16 @@ def train(labelled: list[tuple[Page, np.ndarray]], *, ridge: float = 0.3, rounds
     x, y, weight = [], [], []
     counts = np.full((N_PARENTS, 2, 2), 1.0)
     own = [_marked(h) for h in LABELLED]
-    for pages, share in ((labelled, 1.0), (own, max(1.0, 0.25 * len(labelled) / len(own)))):
+    for pages, share in ((labelled, 1.0), (own, max(1.0, 0.5 * len(labelled) / len(own)))):
         for page, label in pages:
             for version in (page, page if pages is own else _hidden(page, rng)):
                 f = features(version)
                 x.append(f)
                 y.append(label)
                 weight.append(np.full(len(f), share))
+                kinds = _kinds(version)
                 for i in range(1, len(label)):
-                    counts[_kind(version, version.parent[i]), int(label[version.parent[i]]), int(label[i])] += share
+                    counts[kinds[version.parent[i]], int(label[version.parent[i]]), int(label[i])] += share
     x, y, weight = np.concatenate(x), np.concatenate(y), np.concatenate(weight)
     weight = weight / weight.mean()
     w = np.zeros(x.shape[1])
@@ -247,17 +306,32 @@ def train(labelled: list[tuple[Page, np.ndarray]], *, ridge: float = 0.3, rounds
     return Model(w, [tuple(float(v) for v in t.ravel()) for t in table])
 
 
-def fit(pages: DataFrame, *, html: str = "html", max_train: int = 300) -> Model:
-    """Learn from ``LABELLED`` and at most ``max_train`` pages of the table, lowest hash of the page first."""
+def taught(pages: list[str], seed: int = 2) -> list[tuple[Page, np.ndarray]]:
+    """Labelled pages from those that say what their article is, and copies with blocks around it."""
+    rng = np.random.default_rng(seed)
+    plain = [(page, label) for page in map(parse, pages) if (label := _sectioned(page)) is not None]
+    sentences = [unescaped for page, label in plain for t, good in zip(page.text, label, strict=True) if t and good
+                 for unescaped in [t.replace("&", "&amp;").replace("<", "&lt;").replace("{", "(").replace("}", ")")[:300]]]
+    for html in pages:
+        for _ in range(2):
+            page = parse(_surrounded(html, sentences, rng))
+            if (label := _sectioned(page)) is not None:
+                page.names = [n.replace(_NOISE, "").strip() for n in page.names]
+                plain.append((page, label))
+    return plain
+
+
+def fit(pages: DataFrame, *, html: str = "html", max_train: int = 300, max_chars: int = 50_000) -> Model:
+    """Learn from ``LABELLED`` and at most ``max_train`` pages of the table of at most ``max_chars``, lowest hash first."""
     text = F.col(html)
-    with_article = pages.where(text.isNotNull() & text.rlike(r"(?i)<(article|main)[\s>]") & (F.length(text) < 50_000))
-    rows = with_article.select(F.xxhash64(text).alias("h"), text.alias("html")).orderBy("h", "html").limit(max_train)
-    labelled = []
-    for r in rows.collect():
-        page = parse(r["html"])
-        if (label := _sectioned(page)) is not None:
-            labelled.append((page, label))
-    return train(labelled)
+    fit_ones = pages.select(text.alias("html"), F.xxhash64(text).alias("h")).where(
+        text.rlike(r"(?i)<(article|main)[\s>]") & (F.length(text) <= max_chars)
+    )
+    # a share by hash first, so that ordering gets few pages from each partition
+    share = min(1.0, 3.0 * max_train / max(1, fit_ones.count()))
+    rows = fit_ones.where(F.pmod(F.xxhash64(F.lit(1), "h"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    rows = rows.distinct().orderBy("h", "html").limit(max_train)
+    return train(taught([r["html"] for r in rows.collect()]))
 
 
 def extract(pages: DataFrame, model: Model, keep: list[str], *, html: str = "html") -> DataFrame:

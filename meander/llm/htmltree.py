@@ -64,6 +64,7 @@ def parse(html: str | None) -> Page:
     """
     page = Page()
     stack: list[tuple[str, int]] = [("#root", 0)]  # (name, node of the nearest block)
+    where: dict[str, list[int]] = {}  # places of each name in the stack
     pieces: list[str] = []
     linked = 0
     hidden = links = 0
@@ -85,18 +86,16 @@ def parse(html: str | None) -> Page:
             if name in BLOCKS:
                 flush()
             stack.pop()
+            where[name].pop()
             hidden -= name in HIDDEN
             links -= name == "a"
 
     def find(names, stops=frozenset()) -> int:
         """How many elements from the top down to the nearest of ``names``; 0 if a stop or the root comes first."""
-        for depth in range(1, len(stack)):
-            name = stack[-depth][0]
-            if name in names:
-                return depth
-            if name in stops:
-                return 0
-        return 0
+        at = max((where[n][-1] for n in names if where.get(n)), default=0)
+        if not at or any(where[s][-1] > at for s in stops if where.get(s)):
+            return 0
+        return len(stack) - at
 
     def end_head(name: str = ""):
         """An open head ends at what may not stand in it; a body ends it from inside its elements too."""
@@ -161,6 +160,7 @@ def parse(html: str | None) -> Page:
             attrs = m[6]
             words = " ".join(a or b or c for a, b, c in _NAMED.findall(attrs)).lower() if attrs else ""
             node = page.add(name, node, words)
+        where.setdefault(name, []).append(len(stack))
         stack.append((name, node))
         hidden += name in HIDDEN
         links += name == "a"

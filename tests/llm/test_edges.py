@@ -92,7 +92,7 @@ def test_sum_product_is_exact():
         total = sum(unary[i] * s[i] for i in range(n))
         for i in range(1, n):
             p = page.parent[i]
-            total += model.tables[htmlmodel._kind(page, p)][2 * s[p] + s[i]]
+            total += model.tables[htmlmodel._kinds(page)[p]][2 * s[p] + s[i]]
         for i in range(n):
             weight[i, s[i]] += np.exp(total)
     assert np.allclose(np.log(weight[:, 1] / weight[:, 0]), htmlmodel.marginals(model, page))
