@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meander.llm.common import sliced
@@ -100,27 +100,31 @@ def document_frequencies(train: DataFrame, text: str = "text") -> tuple[np.ndarr
 
 
 def _sample(train: DataFrame, lang: str, text: str, max_train: int) -> list[tuple[str, str]]:
-    """At most ``max_train`` (language, text) rows, evenly over the languages, by a hash of the text."""
-    counts = train.groupBy(lang).agg(F.count(F.lit(1)).alias("n"))
+    """At most ``max_train`` (language, text) rows, each text once, in turn over the languages."""
+    train = train.select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+    counts = train.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     n = counts.count()
     fair = F.lit(float(max_train)) / F.lit(float(max(n, 1)))
-    u = F.pmod(F.xxhash64(F.lit(7), text), F.lit(1 << 30)) / float(1 << 30)
+    u = F.pmod(F.xxhash64(F.lit(7), "text"), F.lit(1 << 30)) / float(1 << 30)
     # languages rarer than the even share give all they have
-    rates = counts.select(F.col(lang).alias("_lang"), F.least(F.lit(1.0), fair / F.col("n")).alias("_rate"))
+    rates = counts.select("lang", F.least(F.lit(1.0), fair / F.col("n")).alias("rate"))
     if n <= SMALL_LANGS:  # the same rows either way; the texts then stay where they are
         rates = F.broadcast(rates)
-    rows = train.join(rates, F.col(lang) == F.col("_lang")).where(u < F.col("_rate"))
-    picked = rows.select(F.col(lang).alias("lang"), F.col(text).alias("text"), u.alias("u"))
-    return [(r[0], r[1]) for r in picked.orderBy("u", "lang", "text").limit(max_train).collect()]
+    rows = train.join(rates, "lang").where(u < F.col("rate")).select("lang", "text", u.alias("u")).distinct()
+    # turns: a limit takes from languages with many texts first, never the first texts of a rare one
+    turn = F.row_number().over(Window.partitionBy("lang").orderBy("u", "text"))
+    picked = rows.withColumn("turn", turn).orderBy("turn", "lang").limit(max_train)
+    return [(r["lang"], r["text"]) for r in picked.collect()]
 
 
 def _examples(rows: list[tuple[str, str]]) -> list[tuple[int, str, str]]:
-    """Whole texts and two short windows of each: ``(row, language, letters)``."""
-    out = []
-    for i, (lang, text) in enumerate(rows):
+    """Whole texts and two short windows of each: ``(place within the language, language, letters)``."""
+    out, seen = [], {}
+    for lang, text in rows:
         clean = letters(text)
         if clean is None:
             continue
+        i = seen[lang] = seen.get(lang, -1) + 1
         out.append((i, lang, clean))
         middle = len(clean) // 2
         for part in (clean[:40], clean[middle : middle + 120]):
@@ -174,8 +178,8 @@ def fit(train: DataFrame, *, lang: str = "lang", text: str = "text", max_train:
         alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.01) -> Model:
     """Learn from the rows of ``train`` whose language is known.
 
-    Counts cover all of them; the weights a sample of at most ``max_train`` texts, every fifth of which is kept
-    back for the temperature.
+    Counts cover all of them; the weights a sample of at most ``max_train`` texts, every fifth of which in each
+    language is kept back for the temperature (a language with fewer is learned from all of them).
     """
     train = train.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     df, n = document_frequencies(train, text)
@@ -189,8 +193,8 @@ def fit(train: DataFrame, *, lang: str = "lang", text: str = "text", max_train:
     for i, label, clean in rows:
         at, counts = grams(clean)
         made.append((i, (number[label], at, weighted(at, counts, idf))))
-    weights, bias = ftrl([e for i, e in made if i % 5], len(langs), epochs=epochs, alpha=alpha, beta=beta, l1=l1, l2=l2)
-    kept = [e for i, e in made if i % 5 == 0]
+    weights, bias = ftrl([e for i, e in made if i % 5 < 4], len(langs), epochs=epochs, alpha=alpha, beta=beta, l1=l1, l2=l2)
+    kept = [e for i, e in made if i % 5 == 4]
     model = Model(langs, idf, weights.astype(np.float32), bias)
     if kept and len(langs) > 1:
         logits = np.array([x @ weights[at] + bias for _, at, x in kept])

@@ -325,13 +325,24 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85, doc_id: str = "doc_id
 def deduplicate(docs: DataFrame, *, percent: int = 85, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay: one of each group, the one with the smallest id; documents without words all stay.
 
-    Of rows with one id, one stays.  Rows without an id stay unless their group has ids.
+    Rows with one id and different texts are documents of their own, so no text goes but for a near copy that stays; a row
+    without an id is the one that stays only in a group without ids.  Of equal rows one stays.
     """
-    found = near_duplicates(docs, percent=percent, doc_id=doc_id, text=text)
-    stay = found.where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    out = docs.join(stay, F.col(doc_id).eqNullSafe(F.col("_id")), "left_semi")
-    repeats = docs.where(F.col(doc_id).isNotNull()).groupBy(doc_id).count().where("count > 1")
-    if not repeats.isEmpty():  # the same result either way; without repeats the texts need no second shuffle
-        named = out.where(F.col(doc_id).isNotNull()).dropDuplicates([doc_id])
-        out = named.unionByName(out.where(F.col(doc_id).isNull()))
-    return out
+    # the row in one column, so that no name of it meets one of ours
+    rows = docs.select(
+        F.struct(*docs.columns).alias("row"), F.col(doc_id).cast("long").alias("id"), F.col(text).alias("body")
+    )
+    if rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR id IS NULL").isEmpty():
+        # ids name the rows: the same result as below, and the texts are shuffled less
+        found = near_duplicates(rows, percent=percent, doc_id="id", text="body")
+        return rows.join(found.where("kept").select(F.col("doc_id").alias("id")), "id", "left_semi").select("row.*")
+    rows = rows.withColumn("name", F.xxhash64("id", "body"))
+    found = near_duplicates(rows, percent=percent, doc_id="name", text="body").select(
+        F.col("doc_id").alias("name"), "n_shingles", "component_id"
+    ).distinct()
+    named = rows.select("name", "id").distinct().join(found, "name")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "name")).alias("first")
+    stay = named.where("n_shingles > 0").groupBy("component_id").agg(first).select("first.name")
+    one = rows.join(stay, "name", "left_semi").dropDuplicates(["name"])
+    wordless = rows.join(named.where("n_shingles = 0").select("name"), "name", "left_semi")
+    return one.unionByName(wordless).select("row.*")

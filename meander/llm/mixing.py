@@ -13,6 +13,8 @@ own; an empty table gives an empty mix.  Extra columns are ignored (``repeated``
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -105,8 +107,10 @@ def balance(sizes: DataFrame, targets: DataFrame, cap: float = 2.0, tolerance: f
             moved = F.when(F.col("gap") <= tolerance, F.col("lam")).when(inside, newton).otherwise(middle)
             state = step.withColumn("lam", moved).select(*columns)
         state = materialised(state, "mix-dual")
-        if (state.agg(F.max("gap")).first()[0] or 0.0) <= tolerance:
+        if (gap := state.agg(F.max("gap")).first()[0] or 0.0) <= tolerance:
             break
+    else:
+        warnings.warn(f"after {rounds} rounds a source is {gap:.1e} of its target away from it", stacklevel=2)
     return state
 
 
@@ -209,12 +213,14 @@ def repeated(docs: DataFrame, **options) -> DataFrame:
     """
     copies = mix(docs, **options)
     key, text, src = (options.get(c, c) for c in ("doc_id", "text", "source"))
-    totals = copies.groupBy(F.col("doc_id").alias("i"), F.col("mark").alias("m")).agg(
-        F.sort_array(F.collect_list("copies")).alias("all")
-    )
+    totals = copies.groupBy("doc_id", "mark").agg(F.sort_array(F.collect_list("copies")).alias("all"))
+    # the row in one column, so that no name of it meets one of ours
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(key).alias("id"), F.xxhash64(text).alias("mark"),
+                       source_key(src).alias("src"))
     # a place among the rows of one id and text: one, unless rows are repeated
-    place = F.row_number().over(Window.partitionBy("_id", "_mark").orderBy(source_key(src)))
-    rows = docs.withColumns({"_id": F.col(key), "_mark": F.xxhash64(text)}).withColumn("_nth", place)
-    joined = rows.join(totals, F.expr("_id <=> i AND _mark = m"))
-    times = F.array_repeat(F.lit(1), F.element_at("all", F.col("_nth")).cast("int"))
-    return joined.withColumn("_copy", F.explode(times)).select(*docs.columns)
+    place = F.row_number().over(Window.partitionBy("id", "mark").orderBy("src"))
+    joined = rows.withColumn("nth", place).alias("r").join(
+        totals.alias("t"), F.expr("r.id <=> t.doc_id AND r.mark = t.mark")
+    )
+    times = F.array_repeat(F.lit(1), F.element_at("t.all", F.col("r.nth")).cast("int"))
+    return joined.select("r.row", F.explode(times).alias("copy")).select("row.*")

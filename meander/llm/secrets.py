@@ -184,16 +184,18 @@ def redact(docs: DataFrame, **options) -> DataFrame:
     Masked are the base spans and the wider ones that look live.  Documents without secrets stay as they are.
     """
     spans = document_spans(docs, **options).where(F.size("base") + F.size("extra") > 0).select(
-        F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"),
-        F.concat("base", "extra").alias("_spans"),
-    ).dropDuplicates(["_id", "_key"])
-    text = F.col("text")
-    joined = docs.withColumn("_own", F.xxhash64(F.coalesce(text, F.lit("")))).join(
-        spans, F.expr("doc_id <=> _id AND _own = _key"), "left"
-    )
-    clean = F.when(F.col("_spans").isNull(), text).otherwise(masked(text, F.col("_spans")))
-    out = joined.withColumn("text", clean)
+        "doc_id", "text_key", F.concat("base", "extra").alias("spans"),
+    ).dropDuplicates(["doc_id", "text_key"])
+    key, text = options.get("doc_id", "doc_id"), options.get("text", "text")
+    # the row in one column, so that no name of it meets one of ours
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(key).alias("id"),
+                       F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("own"))
+    joined = rows.alias("r").join(spans.alias("s"), F.expr("r.id <=> s.doc_id AND r.own = s.text_key"), "left")
+    found, old = F.col("s.spans"), F.col("r.row")
+    clean = F.when(found.isNull(), old[text]).otherwise(masked(old[text], found))
+    out = joined.select("r.row", found.isNotNull().alias("changed"), clean.alias("clean"))
+    made = {text: F.col("clean")}
     if "n_chars" in docs.columns:
-        fresh = F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text"))
-        out = out.withColumn("n_chars", fresh.cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        fresh = F.when(F.col("changed"), F.length("clean")).otherwise(F.col("row")["n_chars"])
+        made["n_chars"] = fresh.cast(docs.schema["n_chars"].dataType)
+    return out.select(*[made.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
