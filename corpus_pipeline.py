@@ -9,7 +9,8 @@ written as Parquet and read again as the next one's ``docs``.  All but the last
 * mix repeats or drops documents so that every source comes to its target share of words.
 * pack tokenises what is there and packs it into sequences; its rows are pieces.
 
-Rows with a null doc_id stay in all stages; repeated rows are near copies of each other.  An empty table gives an
+Rows with a null doc_id are documents like others; repeated rows are near copies of each other, rows that share an id
+but not the text are not.  An empty table gives an
 empty result with the same columns.  There is no SQL for the whole: it learns, draws and tokenises.
 """
 
@@ -29,8 +30,9 @@ NEAR = 80
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.fit(docs)
-    found = langid.identify(docs, model, docs.columns)
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE)).select(*docs.columns)
+    # the row in one column, so that no name of it meets those of the result
+    found = langid.identify(docs, model, [F.struct(*docs.columns).alias("row")])
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE)).select("row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
