@@ -89,8 +89,8 @@ def spectra(
 ) -> DataFrame:
     """The ``k`` largest eigenvalues of each window's normalized Laplacian, descending.
 
-    A window up to ``dense_nodes`` nodes is solved in one task.  A larger one is
-    iterated with edge joins, see :func:`largest_eigenvalues`.
+    A window up to ``dense_nodes`` nodes is solved in one task.  Larger ones are
+    iterated together with edge joins, see :func:`largest_eigenvalues`.
     """
     spark = nodes.sparkSession
     sizes = nodes.select(*by, "node").distinct().groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
@@ -114,113 +114,143 @@ def spectra(
 
     small = sizes.filter(F.col("n") <= dense_nodes)
     out = small.join(adj, by, "left").select(*by, "n", "u", "v").groupBy(*by).applyInPandas(dense, schema)
-    for row in sizes.filter(F.col("n") > dense_nodes).collect():  # one iteration run per large window
-        here = F.lit(True)
-        for b in by:
-            here = here & F.col(b).eqNullSafe(F.lit(row[b]))
-        top = largest_eigenvalues(
-            nodes.filter(here).select("node").distinct(), adj.filter(here).select("u", "v"), k
-        )
-        out = out.unionByName(spark.createDataFrame([(*[row[b] for b in by], row["n"], top)], schema))
-    return out
+    large = sizes.filter(F.col("n") > dense_nodes).collect()  # one row per large window
+    if not large:
+        return out
+    keys = [(*[row[b] for b in by], i) for i, row in enumerate(large)]
+    numbers = F.broadcast(spark.createDataFrame(keys, ", ".join([*fields, "g int"])))
+    on = F.expr(" AND ".join(f"l.`{b}` <=> r.`{b}`" for b in by))
+    own = lambda df, names: df.alias("l").join(numbers.alias("r"), on).select("r.g", *[f"l.{n}" for n in names])
+    top = largest_eigenvalues(own(nodes.select(*by, "node").distinct(), ["node"]), own(adj, ["u", "v"]), k)
+    return out.unionByName(
+        spark.createDataFrame([(*[row[b] for b in by], row["n"], top[i]) for i, row in enumerate(large)], schema)
+    )
 
 
-def largest_eigenvalues(nodes: DataFrame, adj: DataFrame, k: int, tol: float = 1e-9) -> list[float]:
-    """Block Lanczos for one large graph: edge joins multiply, small Gram matrices steer.
+def largest_eigenvalues(nodes: DataFrame, adj: DataFrame, k: int, tol: float = 1e-7) -> dict[int, list[float]]:
+    """Block Lanczos for all large graphs ``g`` at once: edge joins multiply, small Gram matrices per graph steer.
 
-    The basis is a table with one row per node; each step joins it with the edges,
-    sums per node, and orthogonalizes with inner products of at most a few hundred
-    columns.  It ends when the leading values settle or the space is exhausted.
+    The basis is a table with one row per node.  A step joins it with the edges, sums per node, and orthogonalizes with
+    inner products of at most a few hundred columns; every step is the same few jobs however many graphs there are.  A graph
+    leaves when the residuals of its ``k`` leading pairs are at most ``tol`` (a bound of the values' errors) or its space
+    is exhausted.
     """
     width = k + 3
-    deg = adj.groupBy("u").agg(F.count(F.lit(1)).cast("double").alias("d"))
-    links = adj.join(deg.withColumnRenamed("d", "du"), "u").join(
-        deg.select(F.col("u").alias("v"), F.col("d").alias("dv")), "v"
-    ).select("u", "v", (F.lit(1.0) / F.sqrt(F.col("du") * F.col("dv"))).alias("w"))
+    deg = adj.groupBy("g", "u").agg(F.count(F.lit(1)).cast("double").alias("d"))
+    links = adj.join(deg.withColumnRenamed("d", "du"), ["g", "u"]).join(
+        deg.select("g", F.col("u").alias("v"), F.col("d").alias("dv")), ["g", "v"]
+    ).select("g", "u", "v", (F.lit(1.0) / F.sqrt(F.col("du") * F.col("dv"))).alias("w"))
     links = cut_lineage(links)
     start = F.array(*[
         (F.pmod(F.xxhash64("node", F.lit(c)), F.lit(1 << 20)) / F.lit(float(1 << 20)) - 0.5) for c in range(width)
     ])
-    state = cut_lineage(nodes.select("node", F.array().cast("array<double>").alias("q"), start.alias("w")))
-    total = np.zeros((0, 0))
-    last = None
-    while True:
-        state, added = _orthonormal(state, width)
-        if added == 0:
-            break
-        m = total.shape[0] + added
-        state = _multiply(state, links, added)
-        s = _inner(state, m, added)[:m]
-        grown = np.zeros((m, m))
-        grown[: m - added, : m - added] = total
-        grown[:, m - added:] = s
-        grown[m - added:, :] = s.T
-        total = grown
-        top = np.linalg.eigvalsh(total)[::-1][:k]
-        if last is not None and len(last) == len(top) == k and np.abs(top - last).max() < tol:
+    state = cut_lineage(nodes.select("g", "node", F.array().cast("array<double>").alias("q"), start.alias("w")))
+    basis: dict[int, np.ndarray] = {}  # the Laplacian in each graph's basis
+    done: dict[int, list[float]] = {}
+    inner = _inner(state)
+    while inner:
+        state, inner = _orthonormal(state, inner)
+        for g in set(basis) - set(inner) - set(done):  # nothing left outside the span
+            done[g] = _leading(basis[g], k)
+        if not inner:
             break
-        last = top
-        width = added
-    return [float(x) for x in np.linalg.eigvalsh(total)[::-1][:k]]
+        state = _multiply(state, links, width)
+        inner = _inner(state)
+        settled = []
+        for g, (s, gram) in inner.items():
+            m, added = s.shape
+            grown = np.zeros((m, m))
+            if g in basis:
+                grown[: m - added, : m - added] = basis[g]
+            grown[:, m - added:] = s
+            grown[m - added:, :] = s.T
+            basis[g] = grown
+            # only what the newest columns are mapped to can lie outside the span
+            _, vectors = np.linalg.eigh(grown)
+            newest = vectors[m - added:, ::-1][:, :k]
+            residual = ((gram - s.T @ s) @ newest * newest).sum(axis=0)
+            if m >= k and np.sqrt(np.maximum(residual, 0.0)).max() <= tol:
+                done[g] = _leading(grown, k)
+                settled.append(g)
+        if settled:
+            inner = {g: v for g, v in inner.items() if g not in done}
+            state = state.where(~F.col("g").isin(settled))
+    return done
+
+
+def _leading(matrix: np.ndarray, k: int) -> list[float]:
+    return [float(x) for x in np.linalg.eigvalsh(matrix)[::-1][:k]]
 
 
 def _multiply(state: DataFrame, links: DataFrame, width: int) -> DataFrame:
-    """Set ``w`` to the Laplacian times the newest ``width`` basis columns."""
-    newest = state.select(F.col("node").alias("v"), F.slice("q", -width, width).alias("x"))
-    sums = links.join(newest, "v").groupBy("u").agg(
-        *[F.sum(F.col("w") * F.col("x")[i]).alias(f"s{i}") for i in range(width)]
+    """Set ``w`` to the Laplacian times the newest basis columns, of which there are as many as ``w`` holds."""
+    size = F.size("w")
+    newest = state.select("g", F.col("node").alias("v"), F.slice("q", -size, size).alias("x"))
+    sums = links.join(newest, ["g", "v"]).groupBy("g", "u").agg(
+        *[F.sum(F.col("w") * F.get("x", F.lit(i))).alias(f"s{i}") for i in range(width)]
     )
-    parts = F.array(*[F.coalesce(F.col(f"s{i}"), F.lit(0.0)) for i in range(width)])
-    out = state.select("node", "q").join(sums.withColumnRenamed("u", "node"), "node", "left").select(
-        "node", "q", F.zip_with(F.slice("q", -width, width), parts, lambda a, b: a - b).alias("w")
+    parts = F.slice(F.array(*[F.coalesce(F.col(f"s{i}"), F.lit(0.0)) for i in range(width)]), F.lit(1), size)
+    out = state.join(sums.withColumnRenamed("u", "node"), ["g", "node"], "left").select(
+        "g", "node", "q", F.zip_with(F.slice("q", -size, size), parts, lambda a, b: a - b).alias("w")
     )
     return cut_lineage(out)
 
 
-def _inner(state: DataFrame, m: int, width: int) -> np.ndarray:
-    """``[Q W]' W`` as an ``(m + width) x width`` matrix (summed per task first)."""
+def _inner(state: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """``Q' W`` and ``W' W`` of each graph (summed per task first)."""
 
     def run(batches):
-        total = np.zeros((m + width, width))
+        totals: dict = {}
         for pdf in batches:
-            if len(pdf):
-                w = np.vstack(pdf["w"].to_numpy())
-                q = np.vstack(pdf["q"].to_numpy()) if m else np.zeros((len(pdf), 0))
-                total += np.hstack([q, w]).T @ w
-        i, j = np.indices(total.shape)
-        yield pd.DataFrame({"i": i.ravel(), "j": j.ravel(), "s": total.ravel()})
-
-    rows = state.select("q", "w").mapInPandas(run, "i int, j int, s double").groupBy("i", "j").agg(F.sum("s").alias("s"))
-    out = np.zeros((m + width, width))
-    for r in rows.collect():
-        out[r["i"], r["j"]] = r["s"]
+            for g, part in pdf.groupby("g", sort=False):
+                w = np.vstack(part["w"].to_numpy())
+                qw = np.hstack([np.vstack(part["q"].to_numpy()), w])
+                totals[g] = totals.get(g, 0.0) + qw.T @ w
+        for g, total in totals.items():
+            i, j = np.indices(total.shape)
+            yield pd.DataFrame({"g": g, "i": i.ravel(), "j": j.ravel(), "s": total.ravel()})
+
+    rows = state.select("g", "q", "w").mapInPandas(run, "g int, i int, j int, s double")
+    sums = rows.groupBy("g", "i", "j").agg(F.sum("s").alias("s")).toPandas()
+    out = {}
+    for g, part in sums.groupby("g"):
+        total = np.zeros((part["i"].max() + 1, part["j"].max() + 1))
+        total[part["i"], part["j"]] = part["s"]
+        m = len(total) - total.shape[1]
+        out[int(g)] = (total[:m], total[m:])
     return out
 
 
-def _orthonormal(state: DataFrame, width: int) -> tuple[DataFrame, int]:
-    """Append to ``q`` the part of ``w`` outside its span, orthonormal; twice for accuracy."""
+def _orthonormal(state: DataFrame, inner: dict) -> tuple[DataFrame, dict]:
+    """Append to ``q`` the part of ``w`` outside its span, orthonormal; twice for accuracy.
+
+    Graphs without such a part leave.  ``inner`` is that of ``state``; the graphs that stay are returned with theirs.
+    """
     for attempt in range(2):
-        m = len(state.select("q").first()["q"])
-        inner = _inner(state, m, width)
-        s, gram = inner[:m], inner[m:]
-        rest = gram - s.T @ s
-        values, vectors = np.linalg.eigh((rest + rest.T) / 2)
-        keep = values > 1e-12 * max(float(np.trace(gram)), 1e-300) if attempt == 0 else values > 0.25
-        basis = vectors[:, keep] / np.sqrt(values[keep])
-        added = basis.shape[1]
-        if added == 0:
-            return state, 0
-
-        def run(batches, s=s, basis=basis, m=m):
+        steps = {}
+        for g, (s, gram) in inner.items():
+            rest = gram - s.T @ s
+            values, vectors = np.linalg.eigh((rest + rest.T) / 2)
+            keep = values > 1e-12 * max(float(np.trace(gram)), 1e-300) if attempt == 0 else values > 0.25
+            if keep.any():
+                steps[g] = (s, vectors[:, keep] / np.sqrt(values[keep]))
+
+        def run(batches, steps=steps):
             for pdf in batches:
-                if len(pdf):
-                    w = np.vstack(pdf["w"].to_numpy())
-                    q = np.vstack(pdf["q"].to_numpy()) if m else np.zeros((len(pdf), 0))
-                    yield pd.DataFrame({"node": pdf["node"], "q": list(q), "w": list((w - q @ s) @ basis)})
+                for g, part in pdf.groupby("g", sort=False):
+                    if g not in steps:
+                        continue
+                    s, into = steps[g]
+                    w, q = np.vstack(part["w"].to_numpy()), np.vstack(part["q"].to_numpy())
+                    yield part.assign(w=list((w - q @ s) @ into))[["g", "node", "q", "w"]]
 
         state = cut_lineage(state.mapInPandas(run, state.schema))
-        width = added
-    return cut_lineage(state.select("node", F.concat("q", "w").alias("q"), F.col("w"))), width
+        inner = {g: v for g, v in inner.items() if g in steps}
+        if not inner:
+            return state, {}
+        if attempt == 0:
+            inner = _inner(state)
+    return cut_lineage(state.select("g", "node", F.concat("q", "w").alias("q"), "w")), inner
 
 
 def window_pairs(summary: DataFrame, pairs: DataFrame, by: str, columns: list[str]) -> DataFrame:

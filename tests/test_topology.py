@@ -66,6 +66,27 @@ def test_edge_join_iteration_matches_dense(spark):
     assert np.allclose(out[4], dense_top(*CYCLE), atol=1e-9)
 
 
+def test_large_windows_are_iterated_together(spark, monkeypatch):
+    """Windows of different size and structure leave one by one; the steps are those of the slowest one."""
+    rng = np.random.default_rng(5)
+    ring = [(i, (i + 1) % 30) for i in range(30)]
+    clique = [(i, j) for i in range(25) for j in range(i)]
+    windows = {0: (30, ring), 1: (25, clique), 2: (40, []), 3: (21, [(0, 1)]), 4: CYCLE}
+    for w in range(5, 9):
+        windows[w] = (50 + w, [(int(a), int(b)) for a, b in rng.integers(0, 50 + w, (90 + 20 * w, 2))])
+    steps = []
+    plain = gr._multiply
+    monkeypatch.setattr(gr, "_multiply", lambda *a: steps.append(1) or plain(*a))
+    nodes, es = graphs(spark, windows)
+    out = {r.win: r.top for r in gr.spectra(nodes, es, ["win"], dense_nodes=10).collect()}
+    together = len(steps)
+    for w, (n, edges) in windows.items():
+        assert np.allclose(out[w], dense_top(n, edges), atol=1e-6), w
+    steps.clear()
+    gr.spectra(*graphs(spark, {8: windows[8]}), ["win"], dense_nodes=10).collect()
+    assert 0 < together <= len(steps) + 3
+
+
 def test_invariants_match_eigenvalues(spark):
     rng = np.random.default_rng(4)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 12, (20, 2))]
