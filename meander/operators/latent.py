@@ -35,7 +35,8 @@ def latent_drift(
 ) -> DataFrame:
     """Project on the baseline's components, score the two sides, compare with the threshold.
 
-    One row per key with the component count and their explained-variance ratios.
+    One row per key with the component count and their explained-variance ratios; a key with rows on one side only
+    has no score and no drift.
     ``id_col`` is unique within a key.
     """
     if metric not in METRICS:
@@ -51,11 +52,11 @@ def latent_drift(
         F.count_if(~cur).alias("n_samples_baseline"), F.count_if(cur).alias("n_samples_current")
     )
     return (
-        score.join(info.drop("n"), by).join(sizes, by)
+        sizes.join(score, by, "left").join(info.drop("n"), by, "left")
         .withColumns(
             {
                 "metric_used": F.lit(metric), "threshold": F.lit(float(threshold)),
-                "drift_detected": F.col("drift_score") > F.lit(float(threshold)),
+                "drift_detected": F.coalesce(F.col("drift_score") > F.lit(float(threshold)), F.lit(False)),
                 "pca_components": F.size("explained_variance_ratio"),
             }
         )

@@ -218,9 +218,10 @@ def mmd_rbf(
     vectors: DataFrame, by: list[str], gammas: dict | None = None, id_col: str = "vec_id",
     vec: str = "embedding", side: str = "is_current", block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """Bounded discrepancy with the median-distance kernel width."""
+    """Bounded discrepancy with the median-distance kernel width; null for a key with rows on one side only."""
     gammas = median_gamma(vectors, by, id_col, vec, side, block_rows) if gammas is None else gammas
-    return mmd_score(kernel_sums(vectors, by, gammas, 0, id_col, vec, side, block_rows), by, clip=True)
+    score = mmd_score(kernel_sums(vectors, by, gammas, 0, id_col, vec, side, block_rows), by, clip=True)
+    return vectors.select(*by).distinct().join(score, by, "left") if by else score
 
 
 def mmd_permutation_test(
