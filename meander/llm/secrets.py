@@ -2,8 +2,9 @@
 
 Every text is scanned with the base patterns (assignments, access keys, long hex runs) and a wider one for
 mixed tokens.  The hash of each candidate is counted over the whole corpus by distinct repositories and
-distinct owners: a value that many owners hold is a copied example, one that few hold looks live.  Base spans
-always stay and carry the verdict; wider candidates become spans only when they look live.
+distinct owners: a value that many owners hold, or that one owner's very many repositories hold, is a copied example; one that
+few hold looks live.  Base spans always stay and carry the verdict; wider candidates become spans only when they look
+live.  Only hashes of the values are stored or shuffled.
 
 Nulls and repeats: a null or empty text has no spans; a null owner or repository counts as one unnamed owner or
 repository; repeated rows each get their own, equal result.  Extra columns of the input are ignored.
@@ -26,7 +27,9 @@ KINDS = ["assign", "access", "hex", "mixed"]
 #: The wider pattern: long runs of token characters; those with a digit and a letter of either case are kept.
 MIXED = r"[A-Za-z0-9+/_-]{20,}"
 
-_SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
+_SPAN = "array<struct<start:int,kind:int,end:int,hash:string>>"
+#: Spans are built and texts masked in runs of this many, so that cost grows with the number of spans, not its square.
+RUN = 128
 
 
 def _spans(text: Column, pattern: str, kind: int, keep=None, value_group: int = 0) -> Column:
@@ -36,13 +39,13 @@ def _spans(text: Column, pattern: str, kind: int, keep=None, value_group: int =
     steps = F.arrays_zip(
         F.split(text, pattern, -1).alias("piece"), matches.alias("hit"), values.alias("value")
     )
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("found"))
 
     def add(state: Column, step: Column) -> Column:
         start = state["at"] + F.length(step["piece"])
         end = start + F.length(step["hit"])
         span = F.struct(
-            start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), step["value"].alias("value")
+            start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"),
+            F.sha2(step["value"], 256).alias("hash"),
         )
         good = step["hit"].isNotNull()
         if keep is not None:
@@ -52,11 +55,32 @@ def _spans(text: Column, pattern: str, kind: int, keep=None, value_group: int =
             F.when(good, F.concat(state["found"], F.array(span))).otherwise(state["found"]).alias("found"),
         )
 
-    found = F.aggregate(steps, empty, add, lambda state: state["found"])
+    def run_spans(bound: Column) -> Column:
+        lengths = _runs(bound["steps"], lambda run, _: F.aggregate(
+            run, F.lit(0), lambda n, s: n + F.length(s["piece"]) + F.coalesce(F.length(s["hit"]), F.lit(0))))
+        return _let(F.struct(bound["steps"].alias("steps"), lengths.alias("lengths")), lambda b: F.flatten(_runs(
+            b["steps"], lambda run, r: F.aggregate(
+                run,
+                F.struct(F.aggregate(F.slice(b["lengths"], F.lit(1), r), F.lit(0), lambda n, x: n + x).alias("at"),
+                         F.array().cast(_SPAN).alias("found")),
+                add, lambda state: state["found"]))))
+
+    found = _let(F.struct(steps.alias("steps")), run_spans)
     # most texts have no match: they pay one pass of the pattern
     return F.when(text.rlike(pattern), found).otherwise(F.array().cast(_SPAN))
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _runs(items: Column, body) -> Column:
+    """``body(run, number)`` for each run of ``RUN`` items (one empty run if there are none)."""
+    last = F.greatest(F.floor((F.size(items) - 1) / RUN).cast("int"), F.lit(0))
+    return F.transform(F.sequence(F.lit(0), last), lambda r: body(F.slice(items, r * RUN + 1, F.lit(RUN)), r))
+
+
 def scan(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", repository: str = "doc_id",
          owner: str = "source") -> DataFrame:
     """One narrow row per document: ``doc_id, text_key, owner, repository, base, wide`` (span arrays)."""
@@ -97,13 +121,14 @@ def ownership(candidates: DataFrame) -> DataFrame:
     )
 
 
-def findings(docs: DataFrame, *, example_owners: int = 3, doc_id: str = "doc_id", text: str = "text",
+def findings(docs: DataFrame, *, example_owners: int = 3, example_repositories: int = 50, doc_id: str = "doc_id", text: str = "text",
              repository: str = "doc_id", owner: str = "source") -> tuple[DataFrame, DataFrame]:
     """``(scanned, found)``.
 
     ``scanned`` has a row per document (see :func:`scan`).  ``found`` has a row per candidate: ``doc_id, text_key,
     kind, start, end, hash, n_repositories, n_owners, verdict``; verdict is ``example`` for a value held by
-    ``example_owners`` owners or more, else ``live``.  Code points, end exclusive.
+    ``example_owners`` owners or more, or by at least ``example_repositories`` repositories for each of its owners, else
+    ``live``.  Code points, end exclusive.
     """
     scanned = materialised(
         scan(docs, doc_id=doc_id, text=text, repository=repository, owner=owner), "secret-scan"
@@ -112,11 +137,13 @@ def findings(docs: DataFrame, *, example_owners: int = 3, doc_id: str = "doc_id"
         "doc_id", "text_key", "owner", "repository", F.explode(F.concat("base", "wide")).alias("span")
     ).select(
         "doc_id", "text_key", "owner", "repository", "span.kind", "span.start", "span.end",
-        F.sha2("span.value", 256).alias("hash"),
+        "span.hash",
     )
     found = rows.join(ownership(rows), "hash").select(
         "doc_id", "text_key", "kind", "start", "end", "hash", "n_repositories", "n_owners",
-        F.when(F.col("n_owners") >= example_owners, "example").otherwise("live").alias("verdict"),
+        F.when((F.col("n_owners") >= example_owners)
+               | (F.col("n_repositories") >= F.col("n_owners") * example_repositories), "example")
+        .otherwise("live").alias("verdict"),
     )
     return scanned, found
 
@@ -161,20 +188,38 @@ def digest(spans: Column) -> Column:
 
 def masked(text: Column, spans: Column, mark: str = "<secret>") -> Column:
     """``text`` with every span replaced by ``mark``; spans that overlap or touch become one mark."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(state: Column, s: Column) -> Column:
-        gap = s["start"] > state["at"]
-        fresh = gap | (F.length(state["out"]) == 0)
-        piece = F.when(gap, F.substring(text, state["at"] + 1, s["start"] - state["at"])).otherwise("")
-        return F.struct(
-            F.greatest(state["at"], s["end"]).alias("at"),
-            F.concat(state["out"], piece, F.when(fresh, mark).otherwise("")).alias("out"),
-        )
-
-    return F.aggregate(
-        F.array_sort(spans), start, step,
-        lambda state: F.concat(state["out"], F.substring(text, state["at"] + 1, F.length(text))),
+    def run_text(bound: Column, run: Column, r: Column) -> Column:
+        # a run rewrites the text from where the runs before it end to where it ends itself
+        begin = F.coalesce(F.array_max(F.slice(bound["ends"], F.lit(1), r)), F.lit(0))
+        end = F.greatest(begin, F.coalesce(F.array_max(F.transform(run, lambda s: s["end"])), F.lit(0)))
+        own = F.struct(begin.alias("begin"), F.substring(bound["text"], begin + 1, end - begin).alias("part"))
+
+        def rewrite(local: Column) -> Column:
+            def step(state: Column, s: Column) -> Column:
+                gap = s["start"] > state["at"]
+                fresh = gap | ((r == 0) & (F.length(state["out"]) == 0))
+                piece = F.when(
+                    gap, F.substring(local["part"], state["at"] - local["begin"] + 1, s["start"] - state["at"])
+                ).otherwise("")
+                return F.struct(
+                    F.greatest(state["at"], s["end"]).alias("at"),
+                    F.concat(state["out"], piece, F.when(fresh, mark).otherwise("")).alias("out"),
+                )
+
+            start = F.struct(local["begin"].alias("at"), F.lit("").alias("out"))
+            return F.aggregate(run, start, step, lambda state: state["out"])
+
+        return _let(own, rewrite)
+
+    def whole(bound: Column) -> Column:
+        tail = F.substring(bound["text"], F.coalesce(F.array_max(bound["ends"]), F.lit(0)) + 1, F.length(bound["text"]))
+        return F.concat(F.array_join(_runs(bound["spans"], lambda run, r: run_text(bound, run, r)), ""), tail)
+
+    ends = lambda b: _runs(
+        b["spans"], lambda run, _: F.coalesce(F.array_max(F.transform(run, lambda s: s["end"])), F.lit(0)))
+    return _let(
+        F.struct(text.alias("text"), F.array_sort(spans).alias("spans")),
+        lambda b: _let(F.struct(b["text"].alias("text"), b["spans"].alias("spans"), ends(b).alias("ends")), whole),
     )
 
 
