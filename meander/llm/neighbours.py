@@ -110,7 +110,15 @@ def _matrix(column, width: int) -> np.ndarray:
     return flat.astype(np.float64).reshape(-1, width)
 
 
+def _safe(m: np.ndarray) -> np.ndarray:
+    """Rows whose squares would overflow or vanish, scaled by a power of two (which changes no cosine); others as is."""
+    top = np.abs(m).max(axis=1, initial=0.0)
+    power = np.where((top > 1e120) | (top < 1e-120), np.frexp(top)[1], 0)
+    return np.ldexp(m, -power[:, None]) if power.any() else m
+
+
 def _unit(m: np.ndarray) -> np.ndarray:
+    m = _safe(m)
     return m / np.sqrt((m * m).sum(axis=1))[:, None]
 
 
@@ -219,9 +227,9 @@ def nearest(vectors: DataFrame, *, k: int = 5, every: int = 50, recall: float =
     def meet(key, left, right):
         out = {name: [] for name in ("k1", "k2", "vec_id", "score")}
         if left.num_rows and right.num_rows:
-            c, leaf = _matrix(left.column("vec"), width), left.column("leaf").to_numpy()
+            c, leaf = _safe(_matrix(left.column("vec"), width)), left.column("leaf").to_numpy()
             ids = left.column("ids").to_pylist()
-            q = _matrix(right.column("vec"), width)
+            q = _safe(_matrix(right.column("vec"), width))
             unit_c, unit_q = _unit(c), _unit(q)
             visited = right.column("leaves").to_pylist()
             k1, k2 = right.column("k1").to_pylist(), right.column("k2").to_pylist()
