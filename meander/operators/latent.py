@@ -20,9 +20,9 @@ def tag_union(baseline: DataFrame, current: DataFrame, side: str = "is_current")
     return baseline.withColumn(side, F.lit(False)).unionByName(current.withColumn(side, F.lit(True)))
 
 
-def _score(proj: DataFrame, by: list[str], metric: str, id_col: str, side: str, fit_rows: DataFrame | None, width: int) -> DataFrame:
+def _score(proj: DataFrame, by: list[str], metric: str, id_col: str, side: str, fit_rows: DataFrame | None, width: int, method: str) -> DataFrame:
     if metric == "mmd":
-        return mmd.mmd_rbf(proj, by, None, id_col, "proj", side).withColumnRenamed("mmd", "drift_score")
+        return mmd.mmd_rbf(proj, by, None, id_col, "proj", side, method=method).withColumnRenamed("mmd", "drift_score")
     if metric == "swd":
         return sliced_wasserstein(proj, by, seeded_directions(width), "proj", side).withColumnRenamed("swd", "drift_score")
     density = kde_density(proj, by, id_col, "proj", side, fit_rows)
@@ -31,13 +31,13 @@ def _score(proj: DataFrame, by: list[str], metric: str, id_col: str, side: str,
 
 def latent_drift(
     vectors: DataFrame, by: list[str], metric: str = "mmd", threshold: float = 0.15, k: int = 5,
-    id_col: str = "vec_id", vec: str = "embedding", side: str = "is_current",
+    id_col: str = "vec_id", vec: str = "embedding", side: str = "is_current", method: str = "pairs",
 ) -> DataFrame:
     """Project on the baseline's components, score the two sides, compare with the threshold.
 
     One row per key with the component count and their explained-variance ratios; a key with rows on one side only
     has no score and no drift.
-    ``id_col`` is unique within a key.
+    ``id_col`` is unique within a key.  ``method`` is that of the kernel discrepancy (``pairs`` or ``features``).
     """
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}, got {metric!r}")
@@ -47,7 +47,7 @@ def latent_drift(
     width = info.select(F.max(F.size("explained_variance_ratio"))).first()[0]
     proj = pca_project(vectors.select(*by, id_col, side, vec), model, by, vec).drop(vec)
     proj = cut_lineage(proj)  # k numbers per row, read by every pass of the metric
-    score = _score(proj, by, metric, id_col, side, None, width)
+    score = _score(proj, by, metric, id_col, side, None, width, method)
     sizes = vectors.groupBy(*by).agg(
         F.count_if(~cur).alias("n_samples_baseline"), F.count_if(cur).alias("n_samples_current")
     )
@@ -66,6 +66,7 @@ def latent_drift(
 def latent_dual_track(
     vectors: DataFrame, metric: str = "mmd", threshold: float = 0.15, k: int = 5,
     id_col: str = "vec_id", vec: str = "embedding", side: str = "is_current", track: str = "track",
+    method: str = "pairs",
 ) -> DataFrame:
     """One space fitted on both tracks' baselines; a score per track and a unified one.
 
@@ -77,7 +78,7 @@ def latent_dual_track(
     rows = proj.withColumn(track, F.explode(F.array(F.col(track), F.lit("unified"))))
     base = proj.filter(~F.col(side)).select("proj")
     keyed_base = base.withColumn(track, F.explode(F.array(F.lit("retrieval"), F.lit("generation"), F.lit("unified"))))
-    score = _score(rows, [track], metric, id_col, side, keyed_base if metric == "jsd" else None, width)
+    score = _score(rows, [track], metric, id_col, side, keyed_base if metric == "jsd" else None, width, method)
     sizes = rows.groupBy(track).agg(
         F.count_if(~F.col(side)).alias("n_samples_baseline"), F.count_if(F.col(side)).alias("n_samples_current")
     )

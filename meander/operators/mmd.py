@@ -1,17 +1,19 @@
 """Maximum mean discrepancy with a Gaussian kernel, and its permutation test.
 
-Vectors are rows ``(by..., id, side, embedding)``.  The exact statistic needs all
+Vectors are rows ``(by..., id, side, embedding)``.  The exact statistic (``method="pairs"``) needs all
 pairs of rows, so cost grows with the square of the sample; work is spread over
-block pairs and only sums leave a task.  :func:`mmd_features` is the linear-cost
-estimate for samples where the square is out of reach.
+block pairs and only sums leave a task.  ``method="features"`` is the linear-cost
+estimate for samples where the square is out of reach: see :mod:`meander.operators.features`.
+Sizes, kernel widths and ranks are tables with a row per key; the driver reads none of them.
 """
 
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from meander.functions.ordering import GROUP_LIMIT, numbered
@@ -20,6 +22,7 @@ from meander.operators.blocks import (
     BLOCK_ROWS, block_count, block_pairs, matrix, packed, per_pair, side_sizes, squared_distances,
 )
 
+METHODS = ("pairs", "features")
 DIGIT_BITS = 21  # three digits cover the 63 value bits of a non-negative double
 
 
@@ -41,106 +44,130 @@ def _weights(row, within: bool, same_block: bool, d: np.ndarray) -> np.ndarray:
     return w
 
 
-def median_squared_distance(vectors: DataFrame, by: list[str], within: bool, block_rows: int = BLOCK_ROWS) -> dict:
-    """Exact median of squared pair distances per key, by radix selection.
+def keyed(df: DataFrame, by: list[str]) -> tuple[DataFrame, list[str]]:
+    """``df`` with at least one key column: without keys all rows share one."""
+    return (df, by) if by else (df.withColumn("all_rows", F.lit(0)), ["all_rows"])
+
+
+def median_table(vectors: DataFrame, by: list[str], within: bool, block_rows: int = BLOCK_ROWS,
+                 diagonal: bool = False) -> DataFrame:
+    """Exact median of squared pair distances: ``by..., median``, by radix selection (``by`` is not empty).
 
     Non-negative doubles order like their bit patterns, so the median is found
     digit by digit from histograms of 21-bit digits: three passes over the block
-    pairs, each returning counts only.  The driver keeps two running ranks per
-    key (keys are windows or tracks; the pair work per key is far larger).
+    pairs, each returning counts only.  Running sums over a key's counts (at most
+    2^21 of them) pick the digit, and the picks join the blocks of the next pass.
+    With ``diagonal`` only pairs inside a block count: the median of a random, linear
+    number of pairs, and all of them for a key of a single block.
     """
-    sizes, blocks, pairs = _pairs(vectors, by, block_rows)
-    fields = (_fields(vectors, by) + ", " if by else "") + "rank int, digit long, n long"
-    state = {}  # key -> [(prefix, remaining rank)] for the lower and upper middle
+    _, table, _ = _pairs(vectors, by, block_rows)
+    fields = f"{_fields(vectors, by)}, rank int, want long, digit long, d double, n long"
+    state = None
     for level in range(3):
         shift = 63 - DIGIT_BITS * (level + 1)
-        wanted = {k: [p for p, _ in v] for k, v in state.items()}
 
-        def kernel(row, level=level, shift=shift, wanted=wanted):
+        def kernel(row, level=level, shift=shift):
             key = _key_of(row, by)
-            if level and key not in wanted:
-                return
             d = squared_distances(matrix(row.a_flat, row.a_n), matrix(row.b_flat, row.b_n))
             w = _weights(row, within, row.a_block == row.b_block, d).ravel()
-            keep = w > 0
-            w, bits = w[keep], d.ravel()[keep].view(np.int64)
-            prefixes = wanted[key] if level else [None]
-            for i, prefix in enumerate(prefixes):
-                if i and prefix == prefixes[0]:
-                    continue
+            d, w = d.ravel()[w > 0], w[w > 0]
+            bits = d.view(np.int64)
+            wanted = [(0, None, -1)]
+            if level:
+                wanted = [(0, row.a_p0, row.a_w0), (1, row.a_p1, row.a_w1)]
+            for rank, prefix, want in wanted:
                 ok = slice(None) if prefix is None else (bits >> (shift + DIGIT_BITS)) == prefix
-                digits, inverse = np.unique(bits[ok] >> shift, return_inverse=True)
+                values = d[ok]
+                digits, first, inverse = np.unique(bits[ok] >> shift, return_index=True, return_inverse=True)
                 sums = np.bincount(inverse, weights=w[ok], minlength=len(digits))
-                for digit, n in zip(digits, sums):
-                    yield (*key, i, int(digit), int(n))
-
-        counts = per_pair(pairs, kernel, fields).groupBy(*by, "rank", "digit").agg(F.sum("n").alias("n"))
-        rows = counts.toPandas()
-        rows = rows.sort_values([*by, "rank", "digit"])
-        groups = {}
-        for r in rows.itertuples(index=False):
-            groups.setdefault((_key_of(r, by), r.rank), []).append((r.digit, r.n))
-        if level == 0:
-            for (key, _), hist in groups.items():
-                total = sum(n for _, n in hist)
-                state[key] = [(None, (total - 1) // 2), (None, total // 2)]
-        for key, ranks in state.items():
-            new = []
-            for i, (prefix, rank) in enumerate(ranks):
-                hist = groups.get((key, i)) or groups[(key, 0)]
-                for digit, n in hist:
-                    if rank < n:
-                        new.append((digit, rank))
-                        break
-                    rank -= n
-            state[key] = new
-    as_float = lambda bits: float(np.array([bits], dtype=np.int64).view(np.float64)[0])
-    return {k: (as_float(v[0][0]) + as_float(v[1][0])) / 2 for k, v in state.items()}
+                for digit, at, n in zip(digits, first, sums):
+                    yield (*key, rank, int(want), int(digit), float(values[at]), int(n))
+
+        left = table if state is None else table.join(state, by)
+        counts = per_pair(_met(left, table, by, diagonal), kernel, fields).groupBy(*by, "rank", "digit").agg(
+            F.sum("n").alias("n"), F.max("want").alias("want"), F.max("d").alias("d")
+        )
+        whole = Window.partitionBy(*by, "rank")
+        counts = counts.withColumn("upto", F.sum("n").over(whole.orderBy("digit")))
+        if state is None:
+            counts = counts.withColumn("total", F.sum("n").over(whole)).withColumn(
+                "rank", F.explode(F.array(F.lit(0), F.lit(1)))
+            ).withColumn("want", F.floor((F.col("total") - 1 + F.col("rank")) / 2))
+        before = F.col("upto") - F.col("n")
+        picked = counts.filter((F.col("upto") > F.col("want")) & (before <= F.col("want")))
+        of = lambda rank, value, name: F.max(F.when(F.col("rank") == rank, value)).alias(name)
+        state = picked.groupBy(*by).agg(
+            *[of(r, F.col("digit"), f"p{r}") for r in (0, 1)],
+            *[of(r, F.col("want") - before, f"w{r}") for r in (0, 1)],
+            *[of(r, F.col("d"), f"d{r}") for r in (0, 1)],
+        )
+        # the last digit holds a single distance each
+        result, state = state, state.drop("d0", "d1")
+    return result.select(*by, ((F.col("d0") + F.col("d1")) / 2).alias("median"))
 
 
 def _pairs(vectors: DataFrame, by: list[str], block_rows: int, attrs: list[str] = ["side"]):
-    sizes = {tuple(r[b] for b in by): (r["nb"], r["nc"]) for r in side_sizes(vectors, by, F.col("side")).collect()}
+    """Sizes per key, stored blocks, and the pairs of blocks."""
+    number = F.greatest(F.lit(1), F.ceil((F.col("nb") + F.col("nc")) / block_rows)).cast("int")
     # each key has blocks for its own size: a small key beside a large one is one block
-    counts = {k: block_count(sum(v), block_rows) for k, v in sizes.items()}
-    if by:
-        schema = f"{_fields(vectors, by)}, _blocks int"
-        known = vectors.sparkSession.createDataFrame([(*k, n) for k, n in counts.items()], schema)
-        vectors = vectors.join(known, by)
-    else:
-        vectors = vectors.withColumn("_blocks", F.lit(counts.get((), 1)))
+    sizes = cut_lineage(side_sizes(vectors, by, F.col("side")).withColumn("_blocks", number))
+    rows = vectors.join(sizes.select(*by, "_blocks"), by)
     # stored once: every pass below reads each block many times
-    table = cut_lineage(packed(vectors, by, "id", "embedding", F.col("_blocks"), attrs))
-    return sizes, table, block_pairs(table, table, by, F.col("blocks"), upper=True)
+    table = cut_lineage(packed(rows, by, "id", "embedding", F.col("_blocks"), attrs))
+    return sizes.drop("_blocks"), table, _met(table, table, by)
+
+
+def _met(left: DataFrame, table: DataFrame, by: list[str], diagonal: bool = False) -> DataFrame:
+    """Pairs of blocks; ``left`` is ``table`` with further columns per key.  ``diagonal``: every block with itself."""
+    if not diagonal:
+        return block_pairs(left, table, by, F.col("blocks"), upper=True)
+    name = lambda df, side: [F.col(c).alias(f"{side}_{c}") for c in df.columns if c not in by]
+    return left.select(*by, *name(left, "a"), *name(table, "b"))
 
 
 def _tagged(vectors: DataFrame, by: list[str], id_col: str, vec: str, side: str) -> DataFrame:
     return vectors.select(*by, F.col(id_col).alias("id"), F.col(side).alias("side"), F.col(vec).alias("embedding"))
 
 
+def median_gammas(vectors, by, id_col="vec_id", vec="embedding", side="is_current", block_rows=BLOCK_ROWS,
+                  diagonal=False) -> DataFrame:
+    """Kernel width per key from the median cross distance: ``by..., gamma``."""
+    rows, keys = keyed(_tagged(vectors, by, id_col, vec, side), by)
+    med = F.col("median")
+    gamma = F.when(F.sqrt(med) < 1e-12, 1.0).otherwise(1.0 / (2.0 * med))
+    return median_table(rows, keys, False, block_rows, diagonal).select(*by, gamma.alias("gamma"))
+
+
+def monitor_gammas(vectors, by, id_col="vec_id", vec="embedding", side="is_current", block_rows=BLOCK_ROWS,
+                   diagonal=False) -> DataFrame:
+    """Kernel width per key from the median of all distances, shrunk with the sample size: ``by..., gamma``."""
+    rows, keys = keyed(_tagged(vectors, by, id_col, vec, side), by)
+    med = median_table(rows, keys, True, block_rows, diagonal).join(side_sizes(rows, keys, F.col("side")), keys)
+    width = F.col("median") / (2.0 * F.log(F.greatest("nb", "nc") + 1))
+    return med.select(*by, (1.0 / (2.0 * F.when(width > 0, width).otherwise(1.0))).alias("gamma"))
+
+
+def _collected(gammas: DataFrame, by: list[str]) -> dict:
+    return {tuple(r[b] for b in by): r["gamma"] for r in gammas.collect()}
+
+
 def median_gamma(vectors, by, id_col="vec_id", vec="embedding", side="is_current", block_rows=BLOCK_ROWS) -> dict:
-    """Kernel width per key from the median cross distance."""
-    med = median_squared_distance(_tagged(vectors, by, id_col, vec, side), by, False, block_rows)
-    return {k: 1.0 if math.sqrt(m) < 1e-12 else 1.0 / (2.0 * m) for k, m in med.items()}
+    """:func:`median_gammas` of a few keys as a dictionary."""
+    return _collected(median_gammas(vectors, by, id_col, vec, side, block_rows), by)
 
 
 def monitor_gamma(vectors, by, id_col="vec_id", vec="embedding", side="is_current", block_rows=BLOCK_ROWS) -> dict:
-    """Kernel width per key from the median of all distances, shrunk with the sample size."""
-    rows = _tagged(vectors, by, id_col, vec, side)
-    med = median_squared_distance(rows, by, True, block_rows)
-    sizes = {tuple(r[b] for b in by): max(r["nb"], r["nc"]) for r in side_sizes(rows, by, F.col("side")).collect()}
-    out = {}
-    for k, m in med.items():
-        width = m / (2.0 * math.log(sizes[k] + 1))
-        out[k] = 1.0 / (2.0 * (width if width > 0 else 1.0))
-    return out
+    """:func:`monitor_gammas` of a few keys as a dictionary."""
+    return _collected(monitor_gammas(vectors, by, id_col, vec, side, block_rows), by)
 
 
 def gamma_table(vectors: DataFrame, by: list[str], gammas: dict) -> DataFrame:
     spark = vectors.sparkSession
     schema = ", ".join(x for x in (_fields(vectors, by), "gamma double") if x)
-    return spark.createDataFrame([(*k, g) for k, g in gammas.items()], schema)
+    return spark.createDataFrame([(*k, float(g)) for k, g in gammas.items()], schema)
 
 
+@lru_cache(maxsize=256)
 def permutation_steps(total: int, replicates: int) -> list[tuple[int, int]]:
     """Multiplier and offset of each replicate's relabelling ``(a * i + b) mod total``.
 
@@ -156,8 +183,35 @@ def permutation_steps(total: int, replicates: int) -> list[tuple[int, int]]:
     return steps
 
 
+def signs(side, positions, nb: int, nc: int, replicates: int) -> np.ndarray:
+    """A column per labelling: ``1/nb`` and ``-1/nc``, the observed one first."""
+    columns = [np.where(side, -1.0 / nc, 1.0 / nb)]
+    if replicates:
+        at = np.asarray(positions, dtype=np.int64) - 1
+        for a, b in permutation_steps(nb + nc, replicates):
+            columns.append(np.where((a * at + b) % (nb + nc) < nb, 1.0 / nb, -1.0 / nc))
+    return np.stack(columns, 1)
+
+
+def labelled(
+    vectors: DataFrame, by: list[str], gammas: dict | DataFrame, replicates: int, id_col: str, vec: str, side: str,
+    group_limit: int = GROUP_LIMIT,
+) -> tuple[DataFrame, DataFrame, list[str], list[str]]:
+    """Tagged rows with their shuffled positions, kernel widths per key, the key columns, and the rows' attributes."""
+    if isinstance(gammas, dict):
+        gammas = gamma_table(vectors, by, gammas)
+    rows, keys = keyed(_tagged(vectors, by, id_col, vec, side), by)
+    attrs = ["side"]
+    if replicates:
+        # shuffled positions: relabelling them is a random relabelling of the rows
+        rows = rows.withColumn("_h", F.md5(F.col("id").cast("string")))
+        rows = numbered(rows, keys, ["_h", "id"], "pos", group_limit).drop("_h")
+        attrs = ["side", "pos"]
+    return rows, keyed(gammas, by)[0], keys, attrs
+
+
 def kernel_sums(
-    vectors: DataFrame, by: list[str], gammas: dict, replicates: int = 0,
+    vectors: DataFrame, by: list[str], gammas: dict | DataFrame, replicates: int = 0,
     id_col: str = "vec_id", vec: str = "embedding", side: str = "is_current", block_rows: int = BLOCK_ROWS,
     group_limit: int = GROUP_LIMIT,
 ) -> DataFrame:
@@ -167,44 +221,40 @@ def kernel_sums(
     each block pair builds its kernel once and returns that form for all
     labellings together.
     """
-    rows = _tagged(vectors, by, id_col, vec, side)
-    attrs = ["side"]
-    if replicates:
-        # shuffled positions: relabelling them is a random relabelling of the rows
-        rows = rows.withColumn("_h", F.md5(F.col("id").cast("string")))
-        rows = numbered(rows, by, ["_h", "id"], "pos", group_limit).drop("_h")
-        attrs = ["side", "pos"]
-    sizes, _, pairs = _pairs(rows, by, block_rows, attrs)
-    steps = {k: permutation_steps(sum(v), replicates) for k, v in sizes.items()} if replicates else {}
-
-    def signs(key, side_flags, positions):
-        nb, nc = sizes[key]
-        columns = [np.where(side_flags, -1.0 / nc, 1.0 / nb)]
-        if replicates:
-            at = np.asarray(positions, dtype=np.int64) - 1
-            for a, b in steps[key]:
-                columns.append(np.where((a * at + b) % (nb + nc) < nb, 1.0 / nb, -1.0 / nc))
-        return np.stack(columns, 1)
+    rows, gammas, keys, attrs = labelled(vectors, by, gammas, replicates, id_col, vec, side, group_limit)
+    sizes, table, _ = _pairs(rows, keys, block_rows, attrs)
+    per_key = sizes.filter("nb > 0 AND nc > 0").join(gammas, keys)
 
     def kernel(row):
-        key = _key_of(row, by)
-        nb, nc = sizes[key]
-        if nb == 0 or nc == 0:
-            return
-        k = np.exp(-gammas[key] * squared_distances(matrix(row.a_flat, row.a_n), matrix(row.b_flat, row.b_n)))
+        k = np.exp(-row.a_gamma * squared_distances(matrix(row.a_flat, row.a_n), matrix(row.b_flat, row.b_n)))
         if row.a_block == row.b_block:
             np.fill_diagonal(k, 1.0)
-        sa = signs(key, np.asarray(row.a_side, dtype=bool), getattr(row, "a_pos", None))
-        sb = signs(key, np.asarray(row.b_side, dtype=bool), getattr(row, "b_pos", None))
+        marks = lambda at, pos: signs(np.asarray(at, dtype=bool), pos, row.a_nb, row.a_nc, replicates)
+        sa = marks(row.a_side, getattr(row, "a_pos", None))
+        sb = marks(row.b_side, getattr(row, "b_pos", None))
         form = (sa * (k @ sb)).sum(0)
         if row.a_block != row.b_block:
             form = 2.0 * form
         for r, v in enumerate(form):
-            yield (*key, r, float(v))
+            yield (*_key_of(row, keys), r, float(v))
+
+    pairs = _met(table.join(per_key, keys), table, keys)
+    parts = per_pair(pairs, kernel, f"{_fields(rows, keys)}, replicate int, part double")
+    return parts.groupBy(*keys, "replicate").agg(F.sum("part").alias("mmd_sq")).select(*by, "replicate", "mmd_sq")
+
 
-    schema = ", ".join(x for x in (_fields(vectors, by), "replicate int, part double") if x)
-    parts = per_pair(pairs, kernel, schema)
-    return parts.groupBy(*by, "replicate").agg(F.sum("part").alias("mmd_sq"))
+def _sums(vectors, by, gammas, width, replicates, id_col, vec, side, block_rows, method) -> DataFrame:
+    """Sums of the chosen method; widths that are not given come from ``width``."""
+    if method not in METHODS:
+        raise ValueError(f"method must be one of {METHODS}, got {method!r}")
+    linear = method == "features"
+    if gammas is None:
+        gammas = width(vectors, by, id_col, vec, side, block_rows, linear)
+    if linear:
+        from meander.operators.features import feature_sums
+
+        return feature_sums(vectors, by, gammas, replicates, id_col, vec, side)
+    return kernel_sums(vectors, by, gammas, replicates, id_col, vec, side, block_rows)
 
 
 def mmd_score(sums: DataFrame, by: list[str], clip: bool) -> DataFrame:
@@ -215,23 +265,22 @@ def mmd_score(sums: DataFrame, by: list[str], clip: bool) -> DataFrame:
 
 
 def mmd_rbf(
-    vectors: DataFrame, by: list[str], gammas: dict | None = None, id_col: str = "vec_id",
-    vec: str = "embedding", side: str = "is_current", block_rows: int = BLOCK_ROWS,
+    vectors: DataFrame, by: list[str], gammas: dict | DataFrame | None = None, id_col: str = "vec_id",
+    vec: str = "embedding", side: str = "is_current", block_rows: int = BLOCK_ROWS, method: str = "pairs",
 ) -> DataFrame:
     """Bounded discrepancy with the median-distance kernel width; null for a key with rows on one side only."""
-    gammas = median_gamma(vectors, by, id_col, vec, side, block_rows) if gammas is None else gammas
-    score = mmd_score(kernel_sums(vectors, by, gammas, 0, id_col, vec, side, block_rows), by, clip=True)
+    sums = _sums(vectors, by, gammas, median_gammas, 0, id_col, vec, side, block_rows, method)
+    score = mmd_score(sums, by, clip=True)
     return vectors.select(*by).distinct().join(score, by, "left") if by else score
 
 
 def mmd_permutation_test(
     vectors: DataFrame, by: list[str], replicates: int = 100, threshold: float = 0.1,
     id_col: str = "vec_id", vec: str = "embedding", side: str = "is_current", block_rows: int = BLOCK_ROWS,
-    gammas: dict | None = None,
+    gammas: dict | DataFrame | None = None, method: str = "pairs",
 ) -> DataFrame:
-    """Monitor score with its p-value over random relabellings."""
-    gammas = monitor_gamma(vectors, by, id_col, vec, side, block_rows) if gammas is None else gammas
-    sums = kernel_sums(vectors, by, gammas, replicates, id_col, vec, side, block_rows)
+    """Monitor score with its p-value over random relabellings (of the same statistic, whichever the method)."""
+    sums = _sums(vectors, by, gammas, monitor_gammas, replicates, id_col, vec, side, block_rows, method)
     floor0 = F.greatest(F.col("mmd_sq"), F.lit(0.0))
     per_key = sums.groupBy(*by).agg(
         F.max(F.when(F.col("replicate") == 0, floor0)).alias("_obs"),
@@ -247,43 +296,12 @@ def mmd_permutation_test(
 
 
 def mmd_features(
-    vectors: DataFrame, by: list[str], gamma: float, features: int = 1024, seed: int = 42,
+    vectors: DataFrame, by: list[str], gamma: float, features: int = 1024,
     vec: str = "embedding", side: str = "is_current",
 ) -> DataFrame:
-    """Linear-cost estimate: distance of mean random Fourier features of the two sides.
+    """Linear-cost estimate with one given kernel width and number of features."""
+    from meander.operators.features import feature_sums
 
-    Each task sums cosine features of its rows, so the shuffle holds
-    ``2 * features`` numbers per key, side and task.
-    """
-    fields = ", ".join(x for x in (_fields(vectors, by), f"{side} boolean, n long, i int, s double") if x)
-
-    def run(batches):
-        import pandas as pd
-
-        rng = np.random.default_rng(seed)
-        freq = shift = None
-        totals: dict = {}
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            groups = pdf.groupby([*by, side], sort=False)
-            for key, part in groups:
-                x = np.vstack(part[vec].to_numpy()).astype(float)
-                if freq is None:
-                    freq = rng.normal(0.0, np.sqrt(2.0 * gamma), (x.shape[1], features))
-                    shift = rng.uniform(0.0, 2.0 * np.pi, features)
-                z = np.sqrt(2.0 / features) * np.cos(x @ freq + shift)
-                n, s = totals.get(key, (0, 0.0))
-                totals[key] = (n + len(x), s + z.sum(0))
-        for key, (n, s) in totals.items():
-            yield pd.DataFrame(
-                {**dict(zip([*by, side], key)), "n": n, "i": np.arange(features, dtype=np.int32), "s": s}
-            )
-
-    sums = vectors.select(*by, side, vec).mapInPandas(run, fields)
-    means = sums.groupBy(*by, "i").agg(
-        (F.sum(F.when(~F.col(side), F.col("s"))) / F.sum(F.when(~F.col(side), F.col("n")))).alias("b"),
-        (F.sum(F.when(F.col(side), F.col("s"))) / F.sum(F.when(F.col(side), F.col("n")))).alias("c"),
-    )
-    gap = F.col("b") - F.col("c")
-    return means.groupBy(*by).agg(F.least(F.lit(1.0), F.sqrt(F.sum(gap * gap))).alias("mmd"))
+    given = vectors.select(*by).distinct() if by else vectors.sparkSession.range(1).select()
+    given = given.withColumn("gamma", F.lit(float(gamma)))
+    return mmd_score(feature_sums(vectors, by, given, 0, side, vec, side, count=features // 2), by, clip=True)

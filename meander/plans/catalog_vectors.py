@@ -26,7 +26,7 @@ GAMMA_SQL = DIST_SQL + """, gm AS (
 @query("mmd_median_gamma", "WITH " + GAMMA_SQL + " SELECT track, round(gamma, 6) AS gamma FROM gm")
 def _mmd_median_gamma(spark, sf_dir):
     v = inputs.tracked_vectors(spark, sf_dir)
-    return mmd.gamma_table(v, BY, mmd.median_gamma(v, BY)).select("track", rounded(F.col("gamma")).alias("gamma"))
+    return mmd.median_gammas(v, BY).select("track", rounded(F.col("gamma")).alias("gamma"))
 
 
 MMD_SQL = """
@@ -52,13 +52,11 @@ gm AS (
 @query("mmd_monitor", "WITH " + MONITOR_SQL + MMD_SQL.format(score="m"))
 def _mmd_monitor(spark, sf_dir):
     v = inputs.tracked_vectors(spark, sf_dir)
-    sums = mmd.kernel_sums(v, BY, mmd.monitor_gamma(v, BY))
+    sums = mmd.kernel_sums(v, BY, mmd.monitor_gammas(v, BY))
     return mmd.mmd_score(sums, BY, clip=False).select("track", rounded(F.col("mmd")).alias("mmd"))
 
 
-@query(
-    "mmd_permutation_test",
-    "WITH " + MONITOR_SQL + """, ps AS (
+LABELS_SQL = MONITOR_SQL + """, ps AS (
   SELECT track, vec_id, row_number() OVER (PARTITION BY track ORDER BY md5(CAST(vec_id AS VARCHAR)), vec_id) - 1 AS p FROM vecs),
 st AS (
   SELECT track, nb, nc, r, (r * 104729) % (nb + nc) AS b,
@@ -68,22 +66,66 @@ lab AS (
   SELECT ps.track, vec_id, r, CASE WHEN (a * p + b) % (nb + nc) < nb THEN 1.0::DOUBLE / nb ELSE -1.0::DOUBLE / nc END AS s
   FROM ps JOIN st ON st.track = ps.track
   UNION ALL
-  SELECT v.track, vec_id, 0, CASE WHEN is_current THEN -1.0::DOUBLE / nc ELSE 1.0::DOUBLE / nb END FROM vecs v JOIN sz ON sz.track = v.track),
+  SELECT v.track, vec_id, 0, CASE WHEN is_current THEN -1.0::DOUBLE / nc ELSE 1.0::DOUBLE / nb END FROM vecs v JOIN sz ON sz.track = v.track)"""
+
+VERDICT_SQL = """obs AS (SELECT track, m FROM sums WHERE r = 0),
+fin AS (
+  SELECT o.track, sqrt(o.m) AS mmd, avg(CASE WHEN s.m >= o.m THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS p_value
+  FROM obs o JOIN sums s ON s.track = o.track AND s.r > 0 GROUP BY o.track, o.m)
+SELECT track, round(mmd, 6) AS mmd, round(p_value, 6) AS p_value, p_value < 0.05::DOUBLE OR mmd > 0.1::DOUBLE AS mmd_drifted FROM fin"""
+
+
+@query(
+    "mmd_permutation_test",
+    "WITH " + LABELS_SQL + """,
 sums AS (
   SELECT pr.track, x.r, greatest(0.0::DOUBLE, sum(x.s * y.s * exp(-gamma * d))) AS m
   FROM pr JOIN gm ON gm.track = pr.track JOIN lab x ON x.track = pr.track AND x.vec_id = i
   JOIN lab y ON y.track = pr.track AND y.vec_id = j AND y.r = x.r GROUP BY 1, 2),
-obs AS (SELECT track, m FROM sums WHERE r = 0),
-fin AS (
-  SELECT o.track, sqrt(o.m) AS mmd, avg(CASE WHEN s.m >= o.m THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS p_value
-  FROM obs o JOIN sums s ON s.track = o.track AND s.r > 0 GROUP BY o.track, o.m)
-SELECT track, round(mmd, 6) AS mmd, round(p_value, 6) AS p_value, p_value < 0.05::DOUBLE OR mmd > 0.1::DOUBLE AS mmd_drifted FROM fin""",
+""" + VERDICT_SQL,
 )
 def _mmd_permutation_test(spark, sf_dir):
     out = mmd.mmd_permutation_test(inputs.tracked_vectors(spark, sf_dir), BY)
     return out.select("track", rounded(F.col("mmd")).alias("mmd"), rounded(F.col("p_value")).alias("p_value"), "mmd_drifted")
 
 
+WAVES_SQL = """, dirs AS (
+  SELECT j, list(g ORDER BY i) AS u FROM (
+    SELECT j, i, sqrt(-2 * ln((CAST('0x' || substr(md5('a:' || j || ':' || i), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296.0::DOUBLE))
+           * cos(2 * pi() * (CAST('0x' || substr(md5('b:' || j || ':' || i), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296.0::DOUBLE) AS g
+    FROM range(0, 256) a(j), range(0, 64) b(i)) GROUP BY 1),
+waves AS (
+  SELECT v.track, vec_id, is_current, j, cos(t) AS c, sin(t) AS s FROM (
+    SELECT v.track, vec_id, is_current, j, sqrt(2 * gamma) * list_inner_product(embedding, u) AS t
+    FROM vecs v JOIN gm ON gm.track = v.track, dirs) v)"""
+
+
+# up to 1,024 rows a track all pairs lie in one block, so that the width of the linear method is the exact one
+@query(
+    "mmd_rbf_features",
+    "WITH " + GAMMA_SQL + WAVES_SQL + """, gaps AS (
+  SELECT track, j, avg(c) FILTER (NOT is_current) - avg(c) FILTER (is_current) AS gc,
+         avg(s) FILTER (NOT is_current) - avg(s) FILTER (is_current) AS gs FROM waves GROUP BY 1, 2)
+SELECT track, round(least(1.0::DOUBLE, sqrt(sum(gc * gc + gs * gs) / 256)), 6) AS mmd FROM gaps GROUP BY 1""",
+)
+def _mmd_rbf_features(spark, sf_dir):
+    out = mmd.mmd_rbf(inputs.tracked_vectors(spark, sf_dir), BY, method="features")
+    return out.select("track", rounded(F.col("mmd")).alias("mmd"))
+
+
+@query(
+    "mmd_permutation_features",
+    "WITH " + LABELS_SQL + WAVES_SQL + """, parts AS (
+  SELECT lab.track, r, j, sum(lab.s * c) AS pc, sum(lab.s * w.s) AS ps
+  FROM lab JOIN waves w ON w.track = lab.track AND w.vec_id = lab.vec_id GROUP BY 1, 2, 3),
+sums AS (SELECT track, r, sum(pc * pc + ps * ps) / 256 AS m FROM parts GROUP BY 1, 2),
+""" + VERDICT_SQL,
+)
+def _mmd_permutation_features(spark, sf_dir):
+    out = mmd.mmd_permutation_test(inputs.tracked_vectors(spark, sf_dir), BY, method="features")
+    return out.select("track", rounded(F.col("mmd")).alias("mmd"), rounded(F.col("p_value")).alias("p_value"), "mmd_drifted")
+
+
 SWD_SQL = VEC_SIDES_SQL + """, raw AS (
   SELECT j, i, sqrt(-2 * ln((CAST('0x' || substr(md5('a:' || j || ':' || i), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296.0::DOUBLE))
          * cos(2 * pi() * (CAST('0x' || substr(md5('b:' || j || ':' || i), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296.0::DOUBLE) AS g

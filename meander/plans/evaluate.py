@@ -33,11 +33,12 @@ def is_drifted(js: str, mmd_score: str, kl: str, js_limit="js_threshold", mmd_li
 def vector_drift(
     vectors: DataFrame, by: list[str], js_threshold: float = JS_THRESHOLD, mmd_threshold: float = MMD_THRESHOLD,
     replicates: int = 100, id_col: str = "vec_id", vec: str = "embedding", side: str = "is_current",
+    method: str = "pairs",
 ) -> DataFrame:
     """``js_divergence, mmd_score, is_drifted`` per key.
 
     Zeros when a side is missing or widths differ; the kernel test is skipped
-    when a side has a single row.
+    when a side has a single row.  ``method`` is that of the kernel test (``pairs`` or ``features``).
     """
     checks = dim_check(vectors, by, vec, side)
     counts = vectors.groupBy(*by).agg(F.count_if(~F.col(side)).alias("_nb"), F.count_if(F.col(side)).alias("_nc"))
@@ -45,7 +46,7 @@ def vector_drift(
     good = vectors.join(status.filter("NOT dim_mismatch").select(*by), by, "left_semi")
     tested = vectors.join(status.filter("NOT dim_mismatch AND _nb >= 2 AND _nc >= 2").select(*by), by, "left_semi")
     js = vector_jsd(good, by, js_threshold, vec, side)
-    test = mmd.mmd_permutation_test(tested, by, replicates, mmd_threshold, id_col, vec, side)
+    test = mmd.mmd_permutation_test(tested, by, replicates, mmd_threshold, id_col, vec, side, method=method)
     return (
         status.select(*by).join(js, by, "left").join(test, by, "left")
         .select(
@@ -60,11 +61,11 @@ def vector_drift(
 
 def comprehensive_drift(
     vectors: DataFrame, by: list[str], replicates: int = 100,
-    id_col: str = "vec_id", vec: str = "embedding", side: str = "is_current",
+    id_col: str = "vec_id", vec: str = "embedding", side: str = "is_current", method: str = "pairs",
 ) -> DataFrame:
     """Histogram distance, kernel test and per-component KL, with each verdict."""
     js = vector_jsd(vectors, by, JS_THRESHOLD, vec, side)
-    test = mmd.mmd_permutation_test(vectors, by, replicates, MMD_THRESHOLD, id_col, vec, side)
+    test = mmd.mmd_permutation_test(vectors, by, replicates, MMD_THRESHOLD, id_col, vec, side, method=method)
     kl = component_kl_pca(vectors, by, 10, KL_THRESHOLD, vec, side)
     return js.join(test, by).join(kl, by).select(
         *by, F.col("js").alias("js_divergence"), "js_drifted",
@@ -163,7 +164,7 @@ def calibrated_limits(
 def evaluate_frames(
     vectors: DataFrame, nodes: DataFrame, edges: DataFrame, traces: DataFrame, hops: DataFrame, pairs: DataFrame,
     by: str = "win", thresholds: dict[str, float] | None = None, replicates: int = 100, id_col: str = "vec_id",
-    limits: DataFrame | None = None,
+    limits: DataFrame | None = None, method: str = "pairs",
 ) -> DataFrame:
     """Vector, graph and swarm drift of every ``(baseline, current)`` window pair.
 
@@ -176,7 +177,7 @@ def evaluate_frames(
         "pair", id_col, "embedding", F.lit(flag).alias("is_current")
     )
     stacked = side("baseline", False).unionByName(side("current", True))
-    vec = vector_drift(stacked, ["pair"], replicates=replicates, id_col=id_col)
+    vec = vector_drift(stacked, ["pair"], replicates=replicates, id_col=id_col, method=method)
     graph = graph_drift(nodes, edges, pairs, by)
     swarm = swarm_drift(traces, hops, pairs, by)
     out = tagged.join(vec, "pair", "left").join(graph, ["baseline", "current"], "left").join(swarm, ["baseline", "current"], "left")
@@ -205,7 +206,7 @@ def evaluate_frames(
 
 def evaluation_job(
     frames: DataFrame, vectors: DataFrame, nodes: DataFrame, edges: DataFrame, traces: DataFrame, hops: DataFrame,
-    pairs: DataFrame, path: str, by: str = "win", replicates: int = 100, id_col: str = "vec_id",
+    pairs: DataFrame, path: str, by: str = "win", replicates: int = 100, id_col: str = "vec_id", method: str = "pairs",
 ) -> DataFrame:
     """Calibrate on each baseline window, evaluate its pair, store a row per current frame, return the alerts.
 
@@ -214,7 +215,7 @@ def evaluation_job(
     """
     limits = cut_lineage(calibrated_limits(vectors, traces, hops, by, id_col=id_col))
     results = cut_lineage(
-        evaluate_frames(vectors, nodes, edges, traces, hops, pairs, by, None, replicates, id_col, limits)
+        evaluate_frames(vectors, nodes, edges, traces, hops, pairs, by, None, replicates, id_col, limits, method)
     )
     evaluation_write(frames, results.withColumnRenamed("current", by), [by], path)
     scores = [c for c in results.columns if c not in ("baseline", "current")]

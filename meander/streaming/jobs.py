@@ -75,10 +75,12 @@ def stream_buffer(
 def stream_drift(
     vectors: DataFrame, baseline: DataFrame, path: str, capacity: int = buffer.CAPACITY,
     min_samples: int = buffer.MIN_SAMPLES, metric: str = "mmd", threshold: float = 0.15, trigger: dict | None = None,
+    method: str = "pairs",
 ) -> StreamingQuery:
     """Score the buffered vectors of each ready track against its baseline table.
 
-    ``baseline``: ``track, seq, embedding``.
+    ``baseline``: ``track, seq, embedding``.  With ``method="features"`` a batch reads the baseline once instead of
+    comparing it with itself.
     """
     from meander.operators.latent import latent_drift, tag_union
 
@@ -95,7 +97,7 @@ def stream_drift(
                 [], "track string, drift_score double, drift_detected boolean, n_samples_current long"
             )
             return new, empty
-        scored = latent_drift(both, ["track"], metric, threshold)
+        scored = latent_drift(both, ["track"], metric, threshold, method=method)
         return new, scored.select("track", "drift_score", "drift_detected", "n_samples_current")
 
     return fold_stream(vectors, update, VECTOR_STATE, path, trigger)
