@@ -453,6 +453,33 @@ def _policy_decide(spark, sf_dir):
     return out.select("action_id", "rule_violated", "allowed")
 
 
+@query(
+    "policy_sequence",
+    "WITH RECURSIVE " + POLICY_SQL + """, num AS (
+  SELECT action_id, target_run_id, ts, action_type || ':' || change_id AS sig,
+         temperature > 1.0::DOUBLE OR top_k < 1.0::DOUBLE OR top_k > 50.0::DOUBLE AS broken,
+         row_number() OVER (PARTITION BY target_run_id ORDER BY ts, action_id) AS k FROM acts),
+rec AS (
+  SELECT DISTINCT target_run_id, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS action_id, CAST(NULL AS VARCHAR) AS rule_violated,
+         CAST([] AS STRUCT(sig VARCHAR, t DOUBLE)[]) AS ok, CAST([] AS VARCHAR[]) AS bad FROM num
+  UNION ALL
+  SELECT target_run_id, k, action_id, rule_violated,
+         CASE WHEN rule_violated IS NULL THEN list_append(ok, struct_pack(sig := sig, t := ts)) ELSE ok END,
+         CASE WHEN rule_violated IS NULL THEN bad ELSE list_append(bad, sig) END
+  FROM (
+    SELECT n.target_run_id, n.k, n.action_id, n.sig, n.ts, r.ok, r.bad,
+           CASE WHEN n.broken THEN 'parameter_bounds'
+                WHEN list_contains(r.bad, n.sig) OR len(list_filter(r.ok, lambda x: x.sig = n.sig AND n.ts - x.t < 21600.0::DOUBLE)) > 0
+                  THEN 'cooldown_period'
+                WHEN len(r.bad) + len(list_filter(r.ok, lambda x: n.ts - x.t <= 172800.0::DOUBLE)) >= 5 THEN 'max_flapping' END AS rule_violated
+    FROM rec r JOIN num n ON n.target_run_id = r.target_run_id AND n.k = r.k + 1))
+SELECT action_id, rule_violated, rule_violated IS NULL AS allowed FROM rec WHERE k > 0""",
+)
+def _policy_sequence(spark, sf_dir):
+    out = policy.policy_sequence(_actions(spark, sf_dir), cooldown_s=21600.0, window_s=172800.0)
+    return out.select("action_id", "rule_violated", "allowed")
+
+
 @query(
     "optimization_cycle",
     "WITH " + CAND_SQL + """, sel AS (SELECT * FROM cand WHERE rank = 1),
