@@ -130,7 +130,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
     """Learn from ``labels`` (0 or 1 per id) of rows of ``docs``.
 
     At most ``max_train`` ids, half of each label, lowest hash first; only their texts are read to the driver.  An
-    id with both labels counts as 1.
+    id with both labels counts as 1; of rows that share an id the smallest text is learned from.
     """
     known = labels.where(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull()).groupBy(
         F.col(doc_id).alias("_id")).agg(F.max(label).alias("_label"))
@@ -146,7 +146,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
         known.where("_label = 1").orderBy(*order).limit(half))
     # at most max_train ids: small enough to ship whatever the size of docs
     rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(picks), "_id")
-    found = rows.orderBy("_id", "_text").limit(max_train).collect()
+    found = rows.groupBy("_id").agg(F.min("_text").alias("_text"), F.max("_label").alias("_label")).orderBy("_id").collect()
     net = train([(encode(r["_text"]), int(r["_label"])) for r in found], **options)
     ones = sum(int(r["_label"]) for r in found)
     if 0 < ones < len(found):
