@@ -34,15 +34,16 @@ def estimates(
         *by, F.col("start_ts").alias("ts"), F.lit(0).alias("_kind"),
         F.lit(None).cast("long").alias("seq"), "event_id", F.lit(None).cast("double").alias("value"),
     )
-    merged = points.unionByName(starts).join(origin.select(*by, "_t0"), by)
+    merged = points.unionByName(starts).join(origin.select(*by, "_t0", F.col("all_mean").alias("_v0")), by)
     is_point = F.col("_kind") == 1
-    t, v = F.col("ts") - F.col("_t0"), F.col("value")
+    # the line is fitted to offsets: times from the first one (where every prefix starts), values from the mean
+    t, v, w = F.col("ts") - F.col("_t0"), F.col("value"), F.col("value") - F.col("_v0")
     on = lambda c: F.when(is_point, c).otherwise(F.lit(0.0))
     cum = running_sums(
         merged, by, ["ts", "_kind", "seq", "event_id"],
         {
             "n": F.when(is_point, F.lit(1).cast("long")).otherwise(F.lit(0).cast("long")),
-            "sv": on(v), "st": on(t), "stt": on(t * t), "stv": on(t * v),
+            "sv": on(v), "st": on(t), "stt": on(t * t), "sw": on(w), "stw": on(t * w),
         },
         group_limit,
     )
@@ -63,7 +64,7 @@ def estimates(
     n = F.col("n").cast("double")
     mean = F.col("sv") / n
     spread = F.col("stt") - F.col("st") * F.col("st") / n
-    slope = (F.col("stv") - F.col("st") * F.col("sv") / n) / spread
+    slope = (F.col("stw") - F.col("st") * F.col("sw") / n) / spread
     line = mean + slope * (F.col("start_ts") - F.col("_t0") - F.col("st") / n)
     fit = F.when(F.col("n") < 3, F.col("_ewma")).when(F.abs(spread) < 1e-12, mean).otherwise(line)
     fallback = F.coalesce(F.col("all_mean"), F.lit(0.0))

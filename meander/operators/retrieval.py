@@ -7,10 +7,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from meander.operators.blocks import BLOCK_ROWS, block_count, block_pairs, matrix, packed
+from meander.operators.blocks import BLOCK_ROWS, block_count, matrix, packed
 
 SMALL_CELLS = 4_000_000  # numbers in a query set that may ship to every task (32 MB)
 QUERY_TILE, CHUNK_TILE = 1024, 4096  # sides of a distance matrix (32 MB)
+STRIPE_BLOCKS = 256  # chunk blocks that share one running result
 
 
 def vector_topk(
@@ -21,7 +22,8 @@ def vector_topk(
 
     A query set of up to ``small_cells`` numbers ships to every task and the chunks
     stream past it unshuffled.  A larger one meets the chunks block by block.  Both
-    keep the best ``k`` per query early, so the final ranking sees only those.
+    keep a running best ``k`` per query, so the final ranking sees few rows: ``k`` per
+    query and task, or per query and stripe of blocks.
     Distances count as equal within 1e-9, then the lower id wins.
     """
     q_type = queries.schema[query_id].dataType.simpleString()
@@ -95,14 +97,45 @@ def _against_blocks(queries, chunks, k, query_id, chunk_id, vec, schema, rows, b
     qb, cb = block_count(rows, block_rows), block_count(chunks.count(), block_rows)
     q = packed(queries.withColumnRenamed(query_id, "id"), [], "id", vec, qb, [])
     c = packed(chunks.withColumnRenamed(chunk_id, "id"), [], "id", vec, cb, [])
+    return running_blocks(q.withColumn("others", F.lit(cb)), c.withColumn("others", F.lit(qb)), [], k, schema)
+
+
+def running_blocks(q: DataFrame, c: DataFrame, by: list[str], k: int, schema: str) -> DataFrame:
+    """Best ``k`` per query of each block of ``q`` against the blocks of ``c`` with the same ``by``.
+
+    Both sides come from :func:`packed`, with the other side's number of blocks as ``others``.  Chunk
+    blocks are dealt to stripes of ``STRIPE_BLOCKS``; a query block meets a stripe block by block and
+    keeps one running result, so ``k`` rows per query and stripe leave the task, however many blocks
+    the stripe holds.
+    """
+    on = [*by, "_block", "_stripe"]
+    a = q.select(
+        *by, F.col("block").alias("_block"),
+        F.explode(F.sequence(F.lit(0), F.floor((F.col("others") - 1) / STRIPE_BLOCKS).cast("int"))).alias("_stripe"),
+        F.col("n").alias("a_n"), F.col("ids").alias("a_ids"), F.col("flat").alias("a_flat"),
+    )
+    b = c.select(
+        *by, F.explode(F.sequence(F.lit(0), F.col("others") - 1)).alias("_block"),
+        F.floor(F.col("block") / STRIPE_BLOCKS).cast("int").alias("_stripe"),
+        F.col("n").alias("b_n"), F.col("ids").alias("b_ids"), F.col("flat").alias("b_flat"),
+    )
 
     def run(batches):
+        group = ids = unit = kept = None
         for pdf in batches:
             for row in pdf.itertuples(index=False):
-                a, b = _unit(matrix(row.a_flat, row.a_n)), _unit(matrix(row.b_flat, row.b_n))
-                yield _table(row.a_ids, *_running(a, b, np.asarray(row.b_ids), k))
+                key = tuple(row[: len(on)])  # a join by names puts its keys first
+                if key != group:
+                    if kept is not None:
+                        yield _table(ids, *kept)
+                    group, ids, kept = key, row.a_ids, None
+                    unit = _unit(matrix(row.a_flat, row.a_n))
+                kept = _running(unit, _unit(matrix(row.b_flat, row.b_n)), np.asarray(row.b_ids), k, kept)
+        if kept is not None:
+            yield _table(ids, *kept)
 
-    return block_pairs(q, c, [], cb, upper=False).mapInPandas(run, schema)
+    # a sort-merge join lays the rows of one group together; were they apart, more rows would leave, the same ones in the end
+    return a.join(b.hint("merge"), on).mapInPandas(run, schema)
 
 
 def multi_query_topk(sub_queries: DataFrame, chunks: DataFrame, k: int = 3, **kw) -> DataFrame:

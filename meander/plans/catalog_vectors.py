@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from meander.functions.columns import rounded
-from meander.operators import mmd, retrieval, sliced
+from meander.functions.runtime import scratch_path
+from meander.operators import chunk_index, mmd, retrieval, sliced
 from meander.operators import pca as pc
 from meander.plans import inputs
 from meander.plans.catalog_divergence import VEC_SIDES_SQL
@@ -149,15 +150,15 @@ def _sliced_wasserstein(spark, sf_dir):
     return out.select("track", rounded(F.col("swd")).alias("swd"))
 
 
-@query(
-    "vector_topk",
-    """WITH d AS (
+TOPK_SQL = """WITH d AS (
   SELECT q.vec_id AS query_id, c.vec_id AS chunk_id,
          round(list_cosine_distance(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])), 9) AS distance
   FROM embeddings q JOIN embeddings c ON q.vec_id % 2 = 1 AND c.vec_id % 2 = 0),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id) AS INTEGER) AS rank FROM d)
-SELECT query_id, chunk_id, round(distance, 6) AS distance, rank FROM r WHERE rank <= 3""",
-)
+SELECT query_id, chunk_id, round(distance, 6) AS distance, rank FROM r WHERE rank <= 3"""
+
+
+@query("vector_topk", TOPK_SQL)
 def _vector_topk(spark, sf_dir):
     out = retrieval.vector_topk(*_queries_and_chunks(spark, sf_dir))
     return out.select("query_id", "chunk_id", rounded(F.col("distance")).alias("distance"), "rank")
@@ -169,6 +170,26 @@ def _queries_and_chunks(spark, sf_dir):
     return q, v.filter("NOT is_current").select(F.col("vec_id").alias("chunk_id"), "embedding")
 
 
+@query("vector_topk_all_cells", TOPK_SQL)
+def _vector_topk_all_cells(spark, sf_dir):
+    """A stored index searched in all of its cells finds what the exact search finds."""
+    queries, chunks = _queries_and_chunks(spark, sf_dir)
+    path = scratch_path(spark, "index")
+    chunk_index.build_index(chunks, path)
+    out = chunk_index.search_index(queries, path, probes=chunk_index.MAX_CELLS)
+    return out.select("query_id", "chunk_id", rounded(F.col("distance")).alias("distance"), "rank")
+
+
+@query("vector_topk_indexed")
+def _vector_topk_indexed(spark, sf_dir):
+    """As many cells per query as find 0.95 of the exact neighbours of a sample."""
+    queries, chunks = _queries_and_chunks(spark, sf_dir)
+    path = scratch_path(spark, "index")
+    chunk_index.build_index(chunks, path)
+    out = chunk_index.search_index(queries, path, probes=chunk_index.calibrate_probes(queries, path))
+    return out.select("query_id", "chunk_id", rounded(F.col("distance")).alias("distance"), "rank")
+
+
 @query(
     "multi_query_topk",
     """WITH d AS (

@@ -2,6 +2,7 @@
 
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -254,3 +255,24 @@ def test_long_stream_takes_the_earliest_of_equal_scores(spark):
         assert got[event] == list(own.change_id.to_numpy()[order])
         assert sure[event][0] == len(own)
         assert abs(sure[event][1] - score.max() / score.sum()) <= 1e-4
+
+
+@pytest.mark.parametrize("limit", [cf.GROUP_LIMIT, 0])
+def test_trend_of_a_long_stream_at_epoch_times(spark, limit):
+    """The two-pass regression before an early and a late event, values far from zero."""
+    n = 200_000
+    i = np.arange(n)
+    t, v = 1.7e9 + 0.25 * i, 1e6 + 0.25e-6 * i + np.sin(i.astype(float))
+    rows = spark.range(n).select(
+        F.lit("m").alias("metric_name"), (F.lit(1.7e9) + F.col("id") * 0.25).alias("ts"), F.col("id").alias("seq"),
+        (F.lit(1e6) + F.col("id") * 0.25e-6 + F.sin(F.col("id").cast("double"))).alias("value"),
+    )
+    cuts = {"early": 20, "middle": n // 2, "late": n}
+    starts = [("m", e, float(1.7e9 + 0.25 * c - 0.1)) for e, c in cuts.items()]
+    events = spark.createDataFrame(starts, "metric_name string, event_id string, start_ts double")
+    got = {r.event_id: r for r in cf.estimates(events, rows, ["metric_name"], group_limit=limit).collect()}
+    for e, c in cuts.items():
+        x, y = t[:c] - t[:c].mean(), v[:c] - v[:c].mean()
+        want = v[:c].mean() + (x @ y) / (x @ x) * (1.7e9 + 0.25 * c - 0.1 - t[:c].mean())
+        assert got[e].n_before == c
+        assert abs(got[e].trend - want) <= 1e-12 * abs(want)
