@@ -60,6 +60,20 @@ def _history_append(spark, sf_dir):
     return _flat_history(hs.history_scan(spark, path))
 
 
+@query("history_compact", "WITH " + HISTORY_SQL + FLAT_SQL + " WHERE timestamp >= 852076800.0")
+def _history_compact(spark, sf_dir):
+    """Old records are stored and cleared, newer ones appended in two batches that become one."""
+    path = scratch_path(spark, "history")
+    rows = inputs.history(spark, sf_dir).drop("seq", "system")
+    old, odd = F.col("timestamp") < 852076800.0, F.pmod(F.xxhash64("record_id"), F.lit(2)) == 1  # 1997-01-01
+    hs.history_append(rows.filter(old), path)
+    hs.history_clear(spark, path)
+    hs.history_append(rows.filter(~old & odd), path)
+    hs.history_append(rows.filter(~old & ~odd), path)
+    hs.history_compact(spark, path)
+    return _flat_history(hs.history_scan(spark, path))
+
+
 @query("records_ingest_json", "WITH " + HISTORY_SQL + FLAT_SQL)
 def _records_ingest_json(spark, sf_dir):
     """Files that each hold an array of a thousand records, ingested into a history."""
