@@ -15,10 +15,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from meander.operators.blocks import BLOCK_ROWS, packed
-from meander.operators.retrieval import SMALL_CELLS, _running, _table, _unit, running_blocks, vector_topk
+from meander.functions.runtime import cut_lineage
+from meander.operators.blocks import BLOCK_ROWS
+from meander.operators.retrieval import QUERY_TILE, SMALL_CELLS, _running, _table, _unit, vector_topk
 
 MAX_CELLS = 4096  # centroids ship to every task
+BLOCK_NUMBERS = 1 << 20  # of a block of queries (8 MB)
+STRIPE_BLOCKS = 8  # chunks of a stripe, in blocks
 OUTSIDE = -1  # the cell of vectors without a direction (null, empty, zero, not finite): never a result
 
 
@@ -75,7 +78,7 @@ def build_index(
             unit, mask = _directions(pdf["embedding"])
             cell = np.full(len(pdf), OUTSIDE, dtype=np.int32)
             if len(centers) and unit.shape[1] == centers.shape[1]:
-                cell[mask] = np.argmax(unit @ centers.T, axis=1)
+                cell[mask] = np.concatenate([[], *(np.argmax(t @ centers.T, axis=1) for t in _tiles(unit))])
             yield pdf.assign(cell=cell)
 
     id_type = rows.schema["chunk_id"].dataType.simpleString()
@@ -102,21 +105,24 @@ def _centers(spark: SparkSession, path: str) -> np.ndarray:
     return np.vstack(rows.to_numpy()) if len(rows) else np.zeros((0, 1))
 
 
+def _tiles(unit: np.ndarray):
+    return (unit[i : i + QUERY_TILE] for i in range(0, len(unit), QUERY_TILE))
+
+
 def _probed(queries: DataFrame, centers: np.ndarray, probes: int) -> DataFrame:
-    """``query_id, embedding, cell`` for the ``probes`` nearest cells of each query."""
+    """``query_id, embedding, cells``: the ``probes`` nearest cells of each query, nearest first; a vector stands once."""
 
     def run(batches):
         for pdf in batches:
             unit, mask = _directions(pdf["embedding"])
             if not len(centers) or unit.shape[1] != centers.shape[1]:
                 continue
-            near = np.argsort(-(unit @ centers.T), axis=1, kind="stable")[:, :probes]
             some = pdf[mask]
-            at = np.repeat(np.arange(len(some)), near.shape[1])
-            yield some.iloc[at].assign(cell=near.ravel().astype(np.int32))
+            near = [np.argsort(-(t @ centers.T), axis=1, kind="stable")[:, :probes].astype(np.int32) for t in _tiles(unit)]
+            yield some.assign(cells=[row for part in near for row in part])
 
     id_type = queries.schema["query_id"].dataType.simpleString()
-    return queries.mapInPandas(run, f"query_id {id_type}, embedding array<double>, cell int")
+    return queries.mapInPandas(run, f"query_id {id_type}, embedding array<double>, cells array<int>")
 
 
 def search_index(
@@ -127,35 +133,121 @@ def search_index(
 
     Only the folders of cells that some query asks for are read.  With ``probes`` at least the
     number of cells the result is that of the exact search.  Few queries ship to the tasks and the
-    cells stream past them; many meet their cells in blocks, large cells in several.
+    cells stream past them; many are dealt to blocks that meet stripes of cells, see :func:`_blocks_past_stripes`.
     """
     spark = queries.sparkSession
     q = queries.select(F.col(query_id).alias("query_id"), F.col(vec).cast("array<double>").alias("embedding"))
-    probed = _probed(q, _centers(spark, path), probes)
-    wanted = probed.groupBy("cell").agg(F.count(F.lit(1)).alias("asks"), F.max(F.size("embedding")).alias("width"))
-    asks = wanted.toPandas()  # at most MAX_CELLS rows
+    # stored once: read for the sizes and for the search
+    probed = cut_lineage(_probed(q, _centers(spark, path), probes))
+    asks = probed.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("asks"))
+    asks = asks.toPandas()  # at most MAX_CELLS rows
+    width = probed.agg(F.max(F.size("embedding"))).first()[0] or 0
     stored = _stored(spark, path)
     chunks = stored.filter(F.col("cell").isin([int(c) for c in asks["cell"]]))
     types = [q.schema["query_id"].dataType.simpleString(), stored.schema["chunk_id"].dataType.simpleString()]
     schema = f"query_id {types[0]}, chunk_id {types[1]}, distance double"
-    if int((asks["asks"] * asks["width"]).sum()) <= small_cells:
-        best = _cells_past_queries(probed, chunks, k, schema)
+    if int(asks["asks"].sum()) * width <= small_cells:
+        best = _cells_past_queries(probed.withColumn("cell", F.explode("cells")).drop("cells"), chunks, k, schema)
     else:
-        blocks = lambda n: F.ceil(F.col(n) / block_rows).cast("int")
-        sizes = spark.read.parquet(f"{path}/centers").select("cell", "n").join(wanted.select("cell", "asks"), "cell")
-        sizes = sizes.select("cell", blocks("n").alias("_c"), blocks("asks").alias("_q"))
-        left = _packed_by_cell(probed, "query_id", sizes, "_q", "_c")
-        right = _packed_by_cell(chunks, "chunk_id", sizes, "_c", "_q")
-        best = running_blocks(left, right, ["cell"], k, schema)
+        best = _blocks_past_stripes(probed, chunks, set(asks["cell"]), path, k, schema, block_rows, width)
     w = Window.partitionBy("query_id").orderBy("distance", "chunk_id")
     return best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def _packed_by_cell(rows: DataFrame, id_col: str, sizes: DataFrame, own: str, others: str) -> DataFrame:
-    """Blocks per cell, as many as ``sizes`` (one row per cell, at most ``MAX_CELLS``) says."""
-    keyed = rows.join(sizes.select("cell", own), "cell").withColumnRenamed(id_col, "id")
-    blocks = packed(keyed, ["cell"], "id", "embedding", F.col(own), [])
-    return blocks.join(sizes.select("cell", F.col(others).alias("others")), "cell").filter("others > 0")
+def _blocks_past_stripes(
+    probed: DataFrame, chunks: DataFrame, wanted: set, path: str, k: int, schema: str, block_rows: int, width: int
+) -> DataFrame:
+    """Blocks of queries meet stripes of cells; ``k`` rows per query and stripe leave a task.
+
+    A stripe is some ``STRIPE_BLOCKS * block_rows`` chunks of neighbouring cells, or a part of a larger cell.  Queries with near
+    first cells share a block of up to ``BLOCK_NUMBERS`` numbers, so that one block asks for few stripes unless
+    there are many probes.  A task holds one block and one stripe, however many cells a query asks for.
+    """
+    spark = probed.sparkSession
+    centers = _centers(spark, path)
+    line = _along(centers)  # cells in an order that keeps near ones together
+    held = {r["cell"]: r["n"] for r in spark.read.parquet(f"{path}/centers").select("cell", "n").collect()}
+    homes = {r["c"]: r["n"] for r in probed.groupBy(F.col("cells")[0].alias("c")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    stripes = _dealt([(c, held[c]) for c in line if c in wanted and held[c]], STRIPE_BLOCKS * block_rows)
+    blocks = _dealt([(c, homes[c]) for c in line if c in homes], block_rows * max(1, BLOCK_NUMBERS // (block_rows * max(width, 1))))
+    table = lambda dealt, name: spark.createDataFrame(
+        [(int(c), first, parts) for c, (first, parts) in dealt.items()], f"cell int, _{name} int, _{name}_parts int"
+    )
+    part = lambda key, name: (F.col(f"_{name}") + F.pmod(F.xxhash64(key), F.col(f"_{name}_parts"))).cast("int")
+    c = chunks.join(table(stripes, "stripe"), "cell").select(
+        "chunk_id", "embedding", "cell", part("chunk_id", "stripe").alias("stripe")
+    )
+    q = probed.withColumn("cell", F.col("cells")[0]).join(table(blocks, "block"), "cell")
+    q = q.select("query_id", "embedding", "cells", part("query_id", "block").alias("block"))
+
+    def spread(batches):
+        for pdf in batches:
+            rows = []
+            for at, cells in enumerate(pdf["cells"]):
+                own: dict = {}
+                for cell in cells:
+                    first, parts = stripes.get(int(cell), (0, 0))
+                    for stripe in range(first, first + parts):
+                        own.setdefault(stripe, []).append(int(cell))
+                rows += [(at, stripe, some) for stripe, some in own.items()]
+                if len(rows) >= 1000:
+                    yield _spread_rows(pdf, rows)
+                    rows = []
+            if rows:
+                yield _spread_rows(pdf, rows)
+
+    q = q.mapInPandas(spread, f"{schema.split(',')[0]}, embedding array<double>, cells array<int>, block int, stripe int")
+    need = q.select(F.col("block").alias("_block"), F.col("stripe").alias("_stripe")).distinct()
+    c = c.join(need, F.col("stripe") == F.col("_stripe")).select(
+        "chunk_id", "embedding", "cell", F.col("_block").alias("c_block"), F.col("_stripe").alias("c_stripe")
+    )
+
+    def meet(asked, held):
+        if not len(asked) or not len(held):
+            return pd.DataFrame(columns=["query_id", "chunk_id", "distance"])
+        unit, ids = _unit(np.vstack(asked["embedding"].to_numpy())), held["chunk_id"].to_numpy()
+        kept = np.full((len(unit), k), np.nan), np.full((len(unit), k), ids[0])
+        sizes = asked["cells"].map(len).to_numpy()
+        row, cell = np.repeat(np.arange(len(unit)), sizes), np.concatenate(asked["cells"].to_numpy())
+        own = held.groupby("cell").indices
+        if (sizes == sizes.max()).all() and sizes.max() == len(np.unique(cell)):
+            own = {None: np.arange(len(held))}  # every query asks for every cell here
+        for c, at in own.items():
+            rows = np.arange(len(unit)) if c is None else np.sort(row[cell == c])
+            if len(rows):
+                d, near = _running(
+                    unit[rows], _unit(np.vstack(held["embedding"].to_numpy()[at])), ids[at], k, (kept[0][rows], kept[1][rows])
+                )
+                kept[0][rows], kept[1][rows] = d, near
+        return _table(asked["query_id"].to_numpy(), *kept)
+
+    return q.groupBy("block", "stripe").cogroup(c.groupBy("c_block", "c_stripe")).applyInPandas(meet, schema)
+
+
+def _spread_rows(pdf: pd.DataFrame, rows: list) -> pd.DataFrame:
+    at, stripe, cells = zip(*rows, strict=True)
+    out = pdf.iloc[list(at)].assign(cells=list(cells), stripe=np.array(stripe, np.int32))
+    return out[["query_id", "embedding", "cells", "block", "stripe"]]
+
+
+def _along(centers: np.ndarray) -> list[int]:
+    """Cells by their place on the centroids' main axis."""
+    if len(centers) < 2:
+        return list(range(len(centers)))
+    moved = centers - centers.mean(0)
+    return [int(i) for i in np.argsort(moved @ np.linalg.eigh(moved.T @ moved)[1][:, -1], kind="stable")]
+
+
+def _dealt(sizes: list[tuple[int, int]], most: int) -> dict[int, tuple[int, int]]:
+    """First number and count of the parts of each cell: cells share a part of up to ``most`` rows, a larger cell has several."""
+    out, number, filled = {}, 0, 0
+    for cell, n in sizes:
+        if filled and filled + n > most:
+            number, filled = number + 1, 0
+        parts = -(-n // most)
+        out[cell] = (number, parts)
+        number, filled = (number, filled + n) if parts == 1 else (number + parts, 0)
+    return out
 
 
 def _cells_past_queries(probed: DataFrame, chunks: DataFrame, k: int, schema: str) -> DataFrame:

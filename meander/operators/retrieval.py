@@ -47,6 +47,15 @@ def _nearest(q: np.ndarray, c: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.
     """Distances and ids of the ``k`` nearest rows of ``c`` for each row of ``q`` (unit vectors)."""
     order = np.argsort(ids, kind="stable")
     d = np.round(1.0 - q @ c[order].T, 9)
+    if d.shape[1] > k:
+        # only rows up to the k-th distance are put in order
+        np.copyto(d, np.inf, where=np.isnan(d))
+        row, col = np.nonzero(d <= np.partition(d, k - 1, axis=1)[:, k - 1 : k])
+        placed = np.lexsort((col, d[row, col], row))
+        first = np.searchsorted(row, np.arange(len(q)))
+        best = col[placed[first[:, None] + np.arange(k)]]
+        near = np.take_along_axis(d, best, 1)
+        return np.where(np.isinf(near), np.nan, near), ids[order][best]
     best = np.argsort(d, axis=1, kind="stable")[:, :k]  # undefined distances sort last
     return np.take_along_axis(d, best, 1), ids[order][best]
 

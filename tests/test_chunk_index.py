@@ -88,3 +88,24 @@ def test_stripes_share_one_running_result(tables, monkeypatch):
         queries, chunks, 3, "query_id", "chunk_id", "embedding", "query_id long, chunk_id long, distance double", 60, 50
     )
     assert best.count() == 3 * 60
+
+
+def test_a_vector_stands_once_however_many_cells_it_asks_for(spark, tables):
+    queries, _, path = tables
+    probed = ci._probed(queries, ci._centers(spark, path), ci.MAX_CELLS)
+    assert probed.count() == len(ASKS)
+
+
+@pytest.mark.parametrize("probes", [2, ci.MAX_CELLS])
+def test_blocks_and_stripes_find_what_shipped_queries_find(tables, monkeypatch, probes):
+    monkeypatch.setattr(ci, "BLOCK_NUMBERS", 80)
+    monkeypatch.setattr(ci, "STRIPE_BLOCKS", 1)
+    want = ci.search_index(tables[0], tables[2], 3, probes)
+    got = ci.search_index(tables[0], tables[2], 3, probes, small_cells=0, block_rows=10)
+    assert found(got) == found(want)
+
+
+def test_nearest_puts_ties_and_undefined_distances_in_order():
+    c = np.vstack([np.tile([1.0, 0.0], (5, 1)), [[np.nan, np.nan]], [[0.0, 1.0]]])
+    d, ids = retrieval._nearest(np.array([[1.0, 0.0], [np.nan, np.nan]]), c, np.array([9, 4, 7, 1, 8, 0, 2]), 3)
+    assert ids[0].tolist() == [1, 4, 7] and d[0].tolist() == [0, 0, 0] and np.isnan(d[1]).all()
