@@ -6,6 +6,9 @@ Graphs come as long tables: ``nodes(by..., node)`` and
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -14,6 +17,8 @@ from pyspark.sql import functions as F
 from meander.functions.runtime import cut_lineage
 
 DENSE_NODES = 2000
+COVER_SHARE = 4  # a window is solved through a cover of up to ``dense_nodes / COVER_SHARE`` nodes
+PART_LINKS = 250_000  # links one task multiplies
 SPECTRAL_K = 5
 
 
@@ -89,12 +94,13 @@ def spectra(
 ) -> DataFrame:
     """The ``k`` largest eigenvalues of each window's normalized Laplacian, descending.
 
-    A window up to ``dense_nodes`` nodes is solved in one task.  Larger ones are
+    A window all whose links have an end among few nodes is solved through these, whatever its size, see
+    :func:`covered_spectra`.  Another window up to ``dense_nodes`` nodes is solved in one task.  Larger ones are
     iterated together with edge joins, see :func:`largest_eigenvalues`.
     """
     spark = nodes.sparkSession
     sizes = nodes.select(*by, "node").distinct().groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-    adj = neighbours(nodes, edges, by)
+    sizes, adj, covered = covered_spectra(sizes, neighbours(nodes, edges, by), by, k, dense_nodes // COVER_SHARE)
     fields = [f"{b} {nodes.schema[b].dataType.simpleString()}" for b in by]
     schema = ", ".join([*fields, "n long, top array<double>"])
 
@@ -114,6 +120,7 @@ def spectra(
 
     small = sizes.filter(F.col("n") <= dense_nodes)
     out = small.join(adj, by, "left").select(*by, "n", "u", "v").groupBy(*by).applyInPandas(dense, schema)
+    out = out.unionByName(covered)
     large = sizes.filter(F.col("n") > dense_nodes).collect()  # one row per large window
     if not large:
         return out
@@ -127,6 +134,85 @@ def spectra(
     )
 
 
+def covered_spectra(
+    sizes: DataFrame, adj: DataFrame, by: list[str], k: int, cover_nodes: int, part_links: int = PART_LINKS
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Sizes and links of the other windows, and the leading eigenvalues of those covered by up to ``cover_nodes`` nodes.
+
+    The end of a link with more links covers it (the later name if equal), so links between the remaining nodes do not
+    exist.  With ``C`` the normalized links inside the cover, ``B`` those to the rest and ``L L' = B B'``, the matrix
+    ``[[C, L], [L', 0]]`` has the eigenvalues of the whole but for zeros.  ``B B'`` is a sum over the rest: tasks add up parts
+    of it, one pass over the links, and a window's matrix has twice as many rows as its cover.
+    """
+    fields = [f"{b} {sizes.schema[b].dataType.simpleString()}" for b in by]
+    deg = adj.groupBy(*by, "u").agg(F.count(F.lit(1)).cast("double").alias("du"))
+    links = adj.join(deg, [*by, "u"]).join(deg.select(*by, F.col("u").alias("v"), F.col("du").alias("dv")), [*by, "v"])
+    # each link once, from the end that covers it
+    heavier = (F.col("du") > F.col("dv")) | ((F.col("du") == F.col("dv")) & (F.col("u") > F.col("v")))
+    links = cut_lineage(links.filter(heavier).select(*by, "u", "v", (F.lit(1.0) / F.sqrt(F.col("du") * F.col("dv"))).alias("w")))
+    cover = links.select(*by, F.col("u").alias("c")).distinct()
+    known = links.groupBy(*by).agg(F.count(F.lit(1)).alias("_links")).join(
+        cover.groupBy(*by).agg(F.count(F.lit(1)).alias("_cover")), by
+    )
+    known = cut_lineage(sizes.join(known.filter(F.col("_cover") <= cover_nodes), by, "left"))  # one row per window
+    few = known.filter("_cover IS NOT NULL")
+    inside = cover.select(*by, F.col("c").alias("v"), F.lit(True).alias("_inside"))
+    placed = links.join(few.select(*by, "_links"), by).join(inside, [*by, "v"], "left").select(
+        *by, F.coalesce("_inside", F.lit(False)).alias("inside"), "u", "v", "w",
+        F.pmod(F.xxhash64("v"), F.ceil(F.col("_links") / part_links)).alias("_part"),
+    )
+
+    def part(pdf):
+        """Links inside the cover as they are; of the others the products of those that share an end, added up."""
+        own, rest = pdf[pdf["inside"]], pdf[~pdf["inside"]]
+        names, at = np.unique(rest["u"].to_numpy(), return_inverse=True)
+        shared, to = np.unique(rest["v"].to_numpy(), return_inverse=True)
+        gram = np.zeros((len(names), len(names)))
+        order = np.argsort(to, kind="stable")
+        at, to, w = at[order], to[order], rest["w"].to_numpy()[order]
+        for i in range(0, len(shared), 1024):
+            lo, hi = np.searchsorted(to, [i, i + 1024])
+            b = np.zeros((len(names), min(1024, len(shared) - i)))
+            b[at[lo:hi], to[lo:hi] - i] = w[lo:hi]
+            gram += b @ b.T
+        i, j = np.nonzero(np.triu(gram))
+        out = pd.DataFrame({
+            "inside": np.repeat([True, False], [len(own), len(i)]), "u": [*own["u"], *names[i]], "v": [*own["v"], *names[j]],
+            "w": np.concatenate([own["w"].to_numpy(dtype=float), gram[i, j]]),
+        })
+        for number, b in enumerate(by):
+            out.insert(number, b, pdf[b].iloc[0])
+        return out
+
+    name = adj.schema["u"].dataType.simpleString()
+    sums = placed.groupBy(*by, "_part").applyInPandas(part, ", ".join([*fields, f"inside boolean, u {name}, v {name}, w double"]))
+    sums = sums.groupBy(*by, "inside", "u", "v").agg(F.sum("w").alias("w"))
+
+    def solved(pdf):
+        n, parts = int(pdf["n"].iloc[0]), []
+        names = pd.unique(pd.concat([pdf["u"], pdf["v"]]))
+        index = {x: i for i, x in enumerate(names)}
+        for inside in (True, False):
+            rows = pdf[pdf["inside"] == inside]
+            i, j = rows["u"].map(index).to_numpy(dtype=int), rows["v"].map(index).to_numpy(dtype=int)
+            m = np.zeros((len(names), len(names)))
+            m[i, j] = m[j, i] = rows["w"].to_numpy(dtype=float)
+            parts.append(m)
+        values, vectors = np.linalg.eigh(parts[1])
+        root = vectors * np.sqrt(np.where(values > 1e-14 * values[-1], values, 0.0))
+        values = np.linalg.eigvalsh(np.block([[parts[0], root], [root.T, np.zeros_like(root)]]))
+        low, high = values[values < -1e-9], values[values > 1e-9]
+        top = [*(1.0 - low), *[1.0] * (n - len(low) - len(high)), *(1.0 - high)][:k]
+        return pd.DataFrame({**{b: [pdf[b].iloc[0]] for b in by}, "n": [n], "top": [[float(x) for x in top]]})
+
+    out = few.select(*by, "n").join(sums, by).groupBy(*by).applyInPandas(solved, ", ".join([*fields, "n long, top array<double>"]))
+    others = known.filter("_cover IS NULL").select(*by, "n")
+    both = F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))
+    left = links.join(others.select(*by), by, "left_semi").select(*by, F.inline(both))
+    unnamed = adj.filter(reduce(or_, [F.col(b).isNull() for b in by]))  # no join above keeps them
+    return others, left.unionByName(unnamed), out
+
+
 def largest_eigenvalues(nodes: DataFrame, adj: DataFrame, k: int, tol: float = 1e-7) -> dict[int, list[float]]:
     """Block Lanczos for all large graphs ``g`` at once: edge joins multiply, small Gram matrices per graph steer.
 

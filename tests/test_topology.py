@@ -177,3 +177,16 @@ def test_rate(spark, limit):
     times = [0, 0, 100, 300, 301, 900]
     want = [sum(1 for j, s in enumerate(times) if j <= i and t - 300 <= s) / 300 for i, t in enumerate(times)]
     assert [r.rate for r in got] == pytest.approx(want)
+
+
+def test_windows_with_few_hubs_are_solved_through_them(spark, monkeypatch):
+    """However many nodes hang on the hubs, no step of the iteration is taken; links among hubs and lone nodes count too."""
+    rng = np.random.default_rng(8)
+    star = [(0, i) for i in range(1, 40)]
+    hubs = [(int(a), int(b)) for a, b in zip(rng.integers(0, 5, 150), rng.integers(0, 70, 150), strict=True)]
+    windows = {0: (45, star), 1: (80, hubs), 2: (72, [(a, b + 5) for a, b in hubs if b < 60]), 3: (3, [(0, 1)])}
+    monkeypatch.setattr(gr, "_multiply", lambda *a: pytest.fail("iterated"))
+    monkeypatch.setattr(gr.covered_spectra, "__defaults__", (25,))  # many parts
+    out = {r.win: r.top for r in gr.spectra(*graphs(spark, windows), ["win"], dense_nodes=32).collect()}
+    for w, (n, edges) in windows.items():
+        assert np.allclose(out[w], dense_top(n, edges), atol=1e-9), w
