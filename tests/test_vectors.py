@@ -181,3 +181,17 @@ def test_running_nearest_in_tiles(monkeypatch):
     got = retrieval._running(q, c[:30], ids[:30], 3)
     got = retrieval._running(q, c[30:], ids[30:], 3, got)
     assert (got[1] == want[1]).all() and np.allclose(got[0], want[0])
+
+
+def test_a_large_key_keeps_to_a_number_of_blocks(spark, monkeypatch):
+    """Blocks grow with their key, so that its rows meet a fixed number of them; the statistic stays."""
+    rng = np.random.default_rng(14)
+    rows = [("a", i, i % 3 == 1, rng.normal(size=3).tolist()) for i in range(300)] + [("a", 300, True, [9.0, 9.0, 9.0])] * 2
+    df = spark.createDataFrame(rows, "k string, vec_id long, is_current boolean, embedding array<double>")
+    plain = mmd.mmd_rbf(df, ["k"]).first().mmd, mmd.monitor_gamma(df, ["k"])
+    monkeypatch.setattr(mmd, "KEY_BLOCKS", 4)
+    monkeypatch.setattr(mmd, "TILE_ROWS", 7)
+    tagged = mmd._tagged(df, ["k"], "vec_id", "embedding", "is_current")
+    assert mmd._pairs(tagged, ["k"], 10)[2].count() == 10  # pairs of 4 blocks instead of 31
+    assert mmd.mmd_rbf(df, ["k"], block_rows=10).first().mmd == pytest.approx(plain[0], rel=1e-9)
+    assert mmd.monitor_gamma(df, ["k"], block_rows=10) == pytest.approx(plain[1], rel=1e-12)
