@@ -195,3 +195,17 @@ def test_a_large_key_keeps_to_a_number_of_blocks(spark, monkeypatch):
     assert mmd._pairs(tagged, ["k"], 10)[2].count() == 10  # pairs of 4 blocks instead of 31
     assert mmd.mmd_rbf(df, ["k"], block_rows=10).first().mmd == pytest.approx(plain[0], rel=1e-9)
     assert mmd.monitor_gamma(df, ["k"], block_rows=10) == pytest.approx(plain[1], rel=1e-12)
+
+
+def test_projections_travel_packed(spark):
+    """An array per key, direction and batch instead of a row per value; keys and sides that are null take no part."""
+    rng = np.random.default_rng(19)
+    rows = [(k, i, i % 3 == 1, rng.normal(size=4).tolist()) for i in range(120) for k in ("a", "b")]
+    rows += [(None, 1, True, [1.0] * 4), ("a", 7, None, [50.0] * 4), ("a", 1, True, rows[2][3])]
+    df = spark.createDataFrame(rows, "k string, vec_id long, is_current boolean, embedding array<double>").coalesce(2)
+    d = sliced.seeded_directions(4, 6)
+    packs = sliced.packed_projections(df, ["k"], d, "embedding", "is_current")
+    assert packs.count() <= 2 * 2 * 6
+    got = {r.k: r.swd for r in sliced.sliced_wasserstein(df, ["k"], d).collect()}
+    spread = {r.k: r.swd for r in sliced.sliced_wasserstein(df, ["k"], d, group_limit=0).collect()}
+    assert set(got) == {"a", "b"} and got == pytest.approx(spread, rel=1e-9)
