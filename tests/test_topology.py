@@ -190,3 +190,16 @@ def test_windows_with_few_hubs_are_solved_through_them(spark, monkeypatch):
     out = {r.win: r.top for r in gr.spectra(*graphs(spark, windows), ["win"], dense_nodes=32).collect()}
     for w, (n, edges) in windows.items():
         assert np.allclose(out[w], dense_top(n, edges), atol=1e-9), w
+
+
+def test_payloads_split_distinct_nodes(spark, monkeypatch):
+    """A payload that names a node once per link is split by its distinct nodes."""
+    from meander.operators import calibration
+
+    seen = []
+    plain = gr.spectra
+    monkeypatch.setattr(gr, "spectra", lambda n, e, by: seen.append((n.count(), n.distinct().count())) or plain(n, e, by))
+    nodes, edges = graphs(spark, {w: CYCLE for w in range(4)})
+    once = calibration.split_half_graph(nodes, edges, "win", iterations=3).first()
+    more = calibration.split_half_graph(nodes.union(nodes), edges, "win", iterations=3).first()
+    assert once == more and all(rows == distinct for rows, distinct in seen)
