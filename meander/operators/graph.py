@@ -19,6 +19,7 @@ from meander.functions.runtime import cut_lineage
 DENSE_NODES = 2000
 COVER_SHARE = 4  # a window is solved through a cover of up to ``dense_nodes / COVER_SHARE`` nodes
 PART_LINKS = 250_000  # links one task multiplies
+HUB_ROWS = 50_000  # of the nodes with the most links, sent to all tasks
 SPECTRAL_K = 5
 
 
@@ -33,10 +34,11 @@ def from_payloads(frames: DataFrame, by: list[str], graph: str = "graph_topology
     return nodes, edges
 
 
-def distinct_edges(edges: DataFrame, by: list[str]) -> DataFrame:
-    """Distinct directed edges without self loops or blank ends."""
+def distinct_edges(edges: DataFrame, by: list[str], edges_once: bool = False) -> DataFrame:
+    """Distinct directed edges without self loops or blank ends; ``edges_once``: the given rows do not repeat."""
     real = (F.col("source") != "") & (F.col("target") != "") & (F.col("source") != F.col("target"))
-    return edges.filter(real).select(*by, "source", "target").distinct()
+    real = edges.filter(real).select(*by, "source", "target")
+    return real if edges_once else real.distinct()
 
 
 def edge_union(*edge_tables: DataFrame, by: list[str]) -> DataFrame:
@@ -47,10 +49,10 @@ def edge_union(*edge_tables: DataFrame, by: list[str]) -> DataFrame:
     return distinct_edges(out, by)
 
 
-def pooled_graph(nodes: DataFrame, edges: DataFrame, by: list[str]) -> DataFrame:
+def pooled_graph(nodes: DataFrame, edges: DataFrame, by: list[str], edges_once: bool = False) -> DataFrame:
     """Distinct node and edge counts of each window, with the directed density."""
     v = nodes.select(*by, "node").distinct().groupBy(*by).agg(F.count(F.lit(1)).alias("nodes"))
-    e = distinct_edges(edges, by).groupBy(*by).agg(F.count(F.lit(1)).alias("edges"))
+    e = distinct_edges(edges, by, edges_once).groupBy(*by).agg(F.count(F.lit(1)).alias("edges"))
     both = v.join(e, by, "full").na.fill(0, ["nodes", "edges"])
     possible = F.col("nodes").cast("double") * (F.col("nodes") - 1)
     return both.withColumn(
@@ -58,18 +60,53 @@ def pooled_graph(nodes: DataFrame, edges: DataFrame, by: list[str]) -> DataFrame
     )
 
 
-def neighbours(nodes: DataFrame, edges: DataFrame, by: list[str]) -> DataFrame:
-    """Undirected adjacency ``by, u, v`` (both directions) among listed nodes."""
+def undirected_links(nodes: DataFrame, edges: DataFrame, by: list[str]) -> DataFrame:
+    """Each link among listed nodes once, as ``by, u, v``."""
     listed = nodes.select(*by, "node").distinct()
     real = (F.col("source") != "") & (F.col("target") != "") & (F.col("source") != F.col("target"))
     pairs = edges.filter(real).select(
         *by, F.least("source", "target").alias("u"), F.greatest("source", "target").alias("v")
     ).distinct()
-    pairs = pairs.join(listed.withColumnRenamed("node", "u"), [*by, "u"], "left_semi").join(
+    return pairs.join(listed.withColumnRenamed("node", "u"), [*by, "u"], "left_semi").join(
         listed.withColumnRenamed("node", "v"), [*by, "v"], "left_semi"
     )
+
+
+def both_ways(links: DataFrame, by: list[str]) -> DataFrame:
+    """Links ``by, u, v`` from either end."""
     both = F.array(F.struct(F.col("u"), F.col("v")), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))
-    return pairs.select(*by, F.inline(both))
+    return links.select(*by, F.inline(both))
+
+
+def neighbours(nodes: DataFrame, edges: DataFrame, by: list[str]) -> DataFrame:
+    """Undirected adjacency ``by, u, v`` (both directions) among listed nodes."""
+    return both_ways(undirected_links(nodes, edges, by), by)
+
+
+def links_and_degrees(
+    nodes: DataFrame, edges: DataFrame, by: list[str], edges_once: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """:func:`undirected_links`, and ``by, node, d`` of all listed nodes (stored).
+
+    Where no node has links both as source and as target, and all ends are listed, the distinct edges already are the
+    links: they are counted in one pass, and neither compared with the nodes nor stored again.
+    """
+    real = distinct_edges(edges, by, edges_once)
+    if not edges_once:
+        real = cut_lineage(real)
+    end = lambda name, o, i: F.struct(F.col(name).alias("node"), F.lit(o).alias("o"), F.lit(i).alias("i"), F.lit(False).alias("own"))
+    ends = real.select(*by, F.inline(F.array(end("source", 1, 0), end("target", 0, 1))))
+    listed = nodes.select(*by, "node", F.lit(0).alias("o"), F.lit(0).alias("i"), F.lit(True).alias("own"))
+    count = ends.unionByName(listed).groupBy(*by, "node").agg(F.sum("o").alias("o"), F.sum("i").alias("i"), F.max("own").alias("own"))
+    count = cut_lineage(count)
+    if count.filter(((F.col("o") > 0) & (F.col("i") > 0)) | ~F.col("own")).isEmpty():
+        return real.select(*by, F.col("source").alias("u"), F.col("target").alias("v")), count.select(
+            *by, "node", (F.col("o") + F.col("i")).alias("d")
+        )
+    links = cut_lineage(undirected_links(nodes, real, by))
+    marked = both_ways(links, by).select(*by, F.col("u").alias("node"), F.lit(1).alias("o"))
+    d = marked.unionByName(listed.select(*by, "node", "o")).groupBy(*by, "node").agg(F.sum("o").alias("d"))
+    return links, cut_lineage(d)
 
 
 def laplacian_invariants(nodes: DataFrame, edges: DataFrame, by: list[str]) -> DataFrame:
@@ -90,17 +127,19 @@ def laplacian_invariants(nodes: DataFrame, edges: DataFrame, by: list[str]) -> D
 
 
 def spectra(
-    nodes: DataFrame, edges: DataFrame, by: list[str], k: int = SPECTRAL_K, dense_nodes: int = DENSE_NODES
+    nodes: DataFrame, edges: DataFrame, by: list[str], k: int = SPECTRAL_K, dense_nodes: int = DENSE_NODES,
+    edges_once: bool = False,
 ) -> DataFrame:
     """The ``k`` largest eigenvalues of each window's normalized Laplacian, descending.
 
     A window all whose links have an end among few nodes is solved through these, whatever its size, see
     :func:`covered_spectra`.  Another window up to ``dense_nodes`` nodes is solved in one task.  Larger ones are
-    iterated together with edge joins, see :func:`largest_eigenvalues`.
+    iterated together with edge joins, see :func:`largest_eigenvalues`.  With ``edges_once`` no edge repeats
+    within a window: they are read several times as they stand; without, their distinct ones are stored first.
     """
     spark = nodes.sparkSession
-    sizes = nodes.select(*by, "node").distinct().groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-    sizes, adj, covered = covered_spectra(sizes, neighbours(nodes, edges, by), by, k, dense_nodes // COVER_SHARE)
+    links, degrees = links_and_degrees(nodes, edges, by, edges_once)
+    sizes, adj, covered = covered_spectra(links, degrees, by, k, dense_nodes // COVER_SHARE)
     fields = [f"{b} {nodes.schema[b].dataType.simpleString()}" for b in by]
     schema = ", ".join([*fields, "n long, top array<double>"])
 
@@ -119,6 +158,8 @@ def spectra(
         return pd.DataFrame({**{b: [pdf[b].iloc[0]] for b in by}, "n": [n], "top": [[float(x) for x in top]]})
 
     small = sizes.filter(F.col("n") <= dense_nodes)
+    if sizes.isEmpty():
+        return covered
     out = small.join(adj, by, "left").select(*by, "n", "u", "v").groupBy(*by).applyInPandas(dense, schema)
     out = out.unionByName(covered)
     large = sizes.filter(F.col("n") > dense_nodes).collect()  # one row per large window
@@ -134,42 +175,63 @@ def spectra(
     )
 
 
+def oriented_links(links: DataFrame, degrees: DataFrame, by: list[str]) -> DataFrame:
+    """``by, u, v, d``: each link from its end with more links (the later name if equal), which has ``d`` of them.
+
+    The few nodes with the most links are broadcast, and settle every link that has one of them.  Only links without
+    meet the degrees of all nodes.
+    """
+    total = degrees.agg(F.sum("d")).first()[0] or 0
+    hubs = degrees.filter(F.col("d") >= max(1, -(-total // HUB_ROWS)))  # at most HUB_ROWS of them
+    of = lambda df, end: df.select(*by, F.col("node").alias(end), F.col("d").alias(f"d{end}"))
+    near = links.join(F.broadcast(of(hubs, "u")), [*by, "u"], "left").join(F.broadcast(of(hubs, "v")), [*by, "v"], "left")
+    far = near.filter("du IS NULL AND dv IS NULL").select(*by, "u", "v")
+    near = near.filter("du IS NOT NULL OR dv IS NOT NULL").na.fill(0, ["du", "dv"])
+    if not far.isEmpty():
+        far = far.join(of(degrees, "u"), [*by, "u"]).join(of(degrees, "v"), [*by, "v"])
+        near = near.unionByName(cut_lineage(far))
+    heavier = (F.col("du") > F.col("dv")) | ((F.col("du") == F.col("dv")) & (F.col("u") > F.col("v")))
+    pick = lambda a, b: F.when(heavier, F.col(a)).otherwise(F.col(b))
+    return near.select(*by, pick("u", "v").alias("u"), pick("v", "u").alias("v"), pick("du", "dv").alias("d"))
+
+
 def covered_spectra(
-    sizes: DataFrame, adj: DataFrame, by: list[str], k: int, cover_nodes: int, part_links: int = PART_LINKS
+    links: DataFrame, degrees: DataFrame, by: list[str], k: int, cover_nodes: int, part_links: int = PART_LINKS
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Sizes and links of the other windows, and the leading eigenvalues of those covered by up to ``cover_nodes`` nodes.
 
     The end of a link with more links covers it (the later name if equal), so links between the remaining nodes do not
     exist.  With ``C`` the normalized links inside the cover, ``B`` those to the rest and ``L L' = B B'``, the matrix
     ``[[C, L], [L', 0]]`` has the eigenvalues of the whole but for zeros.  ``B B'`` is a sum over the rest: tasks add up parts
-    of it, one pass over the links, and a window's matrix has twice as many rows as its cover.
+    of it, one pass over the links, and a window's matrix has twice as many rows as its cover.  A node of the rest has all
+    its links in one part, so the links travel without degrees; those of the cover come in at the end.
     """
-    fields = [f"{b} {sizes.schema[b].dataType.simpleString()}" for b in by]
-    deg = adj.groupBy(*by, "u").agg(F.count(F.lit(1)).cast("double").alias("du"))
-    links = adj.join(deg, [*by, "u"]).join(deg.select(*by, F.col("u").alias("v"), F.col("du").alias("dv")), [*by, "v"])
-    # each link once, from the end that covers it
-    heavier = (F.col("du") > F.col("dv")) | ((F.col("du") == F.col("dv")) & (F.col("u") > F.col("v")))
-    links = cut_lineage(links.filter(heavier).select(*by, "u", "v", (F.lit(1.0) / F.sqrt(F.col("du") * F.col("dv"))).alias("w")))
-    cover = links.select(*by, F.col("u").alias("c")).distinct()
-    known = links.groupBy(*by).agg(F.count(F.lit(1)).alias("_links")).join(
-        cover.groupBy(*by).agg(F.count(F.lit(1)).alias("_cover")), by
-    )
-    known = cut_lineage(sizes.join(known.filter(F.col("_cover") <= cover_nodes), by, "left"))  # one row per window
-    few = known.filter("_cover IS NOT NULL")
-    inside = cover.select(*by, F.col("c").alias("v"), F.lit(True).alias("_inside"))
-    placed = links.join(few.select(*by, "_links"), by).join(inside, [*by, "v"], "left").select(
-        *by, F.coalesce("_inside", F.lit(False)).alias("inside"), "u", "v", "w",
-        F.pmod(F.xxhash64("v"), F.ceil(F.col("_links") / part_links)).alias("_part"),
+    fields = [f"{b} {degrees.schema[b].dataType.simpleString()}" for b in by]
+    links_from = oriented_links(links, degrees, by)
+    cover = links_from.groupBy(*by, "u").agg(F.max("d").alias("d"))
+    sizes = degrees.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), (F.sum("d") / 2).alias("_links"))
+    known = sizes.join(cover.groupBy(*by).agg(F.count(F.lit(1)).alias("_cover")), by, "left")
+    known = cut_lineage(known.withColumn("_cover", F.when(F.col("_cover") <= cover_nodes, F.col("_cover"))))  # one row per window
+    few, others = known.filter("_cover IS NOT NULL"), known.filter("_cover IS NULL").select(*by, "n")
+    light = F.broadcast if known.count() <= HUB_ROWS else lambda df: df
+    cover = cut_lineage(cover.join(light(few.select(*by, "n", "_links")), by))
+    spread = lambda name: F.pmod(F.xxhash64(name), F.ceil(F.col("_links") / part_links)).alias("_part")
+    # a node of the cover goes without ``u`` to the part of its own links
+    placed = links_from.join(light(few.select(*by, "_links")), by).select(*by, "u", "v", spread("v")).unionByName(
+        cover.select(*by, F.lit(None).cast(degrees.schema["node"].dataType).alias("u"), F.col("u").alias("v"), spread("u"))
     )
 
     def part(pdf):
         """Links inside the cover as they are; of the others the products of those that share an end, added up."""
-        own, rest = pdf[pdf["inside"]], pdf[~pdf["inside"]]
-        names, at = np.unique(rest["u"].to_numpy(), return_inverse=True)
-        shared, to = np.unique(rest["v"].to_numpy(), return_inverse=True)
+        inner = pdf["v"].isin(pdf.loc[pdf["u"].isna(), "v"]).to_numpy()
+        linked = pdf["u"].notna().to_numpy()
+        own, rest = pdf[linked & inner], pdf[linked & ~inner]
+        at, names = pd.factorize(rest["u"].to_numpy(), sort=True)
+        to, shared = pd.factorize(rest["v"].to_numpy())
         gram = np.zeros((len(names), len(names)))
         order = np.argsort(to, kind="stable")
-        at, to, w = at[order], to[order], rest["w"].to_numpy()[order]
+        at, to = at[order], to[order]
+        w = 1.0 / np.sqrt(np.bincount(to))[to] if len(to) else np.zeros(0)
         for i in range(0, len(shared), 1024):
             lo, hi = np.searchsorted(to, [i, i + 1024])
             b = np.zeros((len(names), min(1024, len(shared) - i)))
@@ -178,39 +240,37 @@ def covered_spectra(
         i, j = np.nonzero(np.triu(gram))
         out = pd.DataFrame({
             "inside": np.repeat([True, False], [len(own), len(i)]), "u": [*own["u"], *names[i]], "v": [*own["v"], *names[j]],
-            "w": np.concatenate([own["w"].to_numpy(dtype=float), gram[i, j]]),
+            "w": np.concatenate([np.ones(len(own)), gram[i, j]]),
         })
         for number, b in enumerate(by):
             out.insert(number, b, pdf[b].iloc[0])
         return out
 
-    name = adj.schema["u"].dataType.simpleString()
+    name = degrees.schema["node"].dataType.simpleString()
     sums = placed.groupBy(*by, "_part").applyInPandas(part, ", ".join([*fields, f"inside boolean, u {name}, v {name}, w double"]))
     sums = sums.groupBy(*by, "inside", "u", "v").agg(F.sum("w").alias("w"))
 
-    def solved(pdf):
-        n, parts = int(pdf["n"].iloc[0]), []
-        names = pd.unique(pd.concat([pdf["u"], pdf["v"]]))
-        index = {x: i for i, x in enumerate(names)}
+    def solved(nodes, pdf):
+        n, parts = int(nodes["n"].iloc[0]), []
+        index = {x: i for i, x in enumerate(nodes["u"])}
+        scale = 1.0 / np.sqrt(nodes["d"].to_numpy(dtype=float))
         for inside in (True, False):
             rows = pdf[pdf["inside"] == inside]
             i, j = rows["u"].map(index).to_numpy(dtype=int), rows["v"].map(index).to_numpy(dtype=int)
-            m = np.zeros((len(names), len(names)))
-            m[i, j] = m[j, i] = rows["w"].to_numpy(dtype=float)
+            m = np.zeros((len(nodes), len(nodes)))
+            m[i, j] = m[j, i] = rows["w"].to_numpy(dtype=float) * scale[i] * scale[j]
             parts.append(m)
         values, vectors = np.linalg.eigh(parts[1])
         root = vectors * np.sqrt(np.where(values > 1e-14 * values[-1], values, 0.0))
         values = np.linalg.eigvalsh(np.block([[parts[0], root], [root.T, np.zeros_like(root)]]))
         low, high = values[values < -1e-9], values[values > 1e-9]
         top = [*(1.0 - low), *[1.0] * (n - len(low) - len(high)), *(1.0 - high)][:k]
-        return pd.DataFrame({**{b: [pdf[b].iloc[0]] for b in by}, "n": [n], "top": [[float(x) for x in top]]})
+        return pd.DataFrame({**{b: [nodes[b].iloc[0]] for b in by}, "n": [n], "top": [[float(x) for x in top]]})
 
-    out = few.select(*by, "n").join(sums, by).groupBy(*by).applyInPandas(solved, ", ".join([*fields, "n long, top array<double>"]))
-    others = known.filter("_cover IS NULL").select(*by, "n")
-    both = F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))
-    left = links.join(others.select(*by), by, "left_semi").select(*by, F.inline(both))
-    unnamed = adj.filter(reduce(or_, [F.col(b).isNull() for b in by]))  # no join above keeps them
-    return others, left.unionByName(unnamed), out
+    out = cover.groupBy(*by).cogroup(sums.groupBy(*by)).applyInPandas(solved, ", ".join([*fields, "n long, top array<double>"]))
+    left = both_ways(links.join(light(others.select(*by)), by, "left_semi"), by)
+    unnamed = links.filter(reduce(or_, [F.col(b).isNull() for b in by]))  # no join above keeps them
+    return others, left.unionByName(both_ways(unnamed, by)), out
 
 
 def largest_eigenvalues(nodes: DataFrame, adj: DataFrame, k: int, tol: float = 1e-7) -> dict[int, list[float]]:
@@ -370,11 +430,16 @@ def graph_spectral_distance(spectrum: DataFrame, pairs: DataFrame, by: str) -> D
 
 def graph_drift(
     nodes: DataFrame, edges: DataFrame, pairs: DataFrame, by: str,
-    spectral_threshold: float = 0.5, density_threshold: float = 0.1, k: int = SPECTRAL_K,
+    spectral_threshold: float = 0.5, density_threshold: float = 0.1, k: int = SPECTRAL_K, edges_once: bool = False,
 ) -> DataFrame:
-    """Spectral distance, density and node-count deltas of window pairs, with the verdict."""
-    density = graph_density_delta(pooled_graph(nodes, edges, [by]), pairs, by)
-    spectral = graph_spectral_distance(spectra(nodes, edges, [by], k), pairs, by)
+    """Spectral distance, density and node-count deltas of window pairs, with the verdict.
+
+    ``edges_once``: no edge repeats within a window, so that they need not be made distinct.
+    """
+    if not edges_once:
+        edges = cut_lineage(distinct_edges(edges, [by]))
+    density = graph_density_delta(pooled_graph(nodes, edges, [by], True), pairs, by)
+    spectral = graph_spectral_distance(spectra(nodes, edges, [by], k, edges_once=True), pairs, by)
     verdict = (F.col("spectral_distance") > F.lit(float(spectral_threshold))) | (
         F.abs("density_delta") > F.lit(float(density_threshold))
     )

@@ -31,16 +31,18 @@ def retrieved_graph(spark, sf_dir):
     orders = inputs.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     customers = inputs.table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     month = F.year("o_orderdate") * 12 + F.month("o_orderdate")
+    bought = orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).select(
+        "o_orderkey", month.alias("win"), F.concat(F.lit("n"), "c_nationkey").alias("source")
+    )
     edges = (
-        items.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(customers, F.col("o_custkey") == F.col("c_custkey"))
-        .select(
-            month.alias("win"), F.concat(F.lit("n"), "c_nationkey").alias("source"), F.concat(F.lit("s"), "l_suppkey").alias("target")
-        )
+        items.join(bought, F.col("l_orderkey") == F.col("o_orderkey"))
+        .select("win", "source", F.concat(F.lit("s"), "l_suppkey").alias("target"))
+        .repartition("win", "target")  # a supplier's links of a month lie together: later counts per node shuffle less
         .distinct()
     )
     edges = cut_lineage(edges)  # one row per edge and month, read by every later step
-    nodes = edges.select("win", F.col("source").alias("node")).union(edges.select("win", "target"))
+    nodes = edges.select("win", F.col("source").alias("node")).union(edges.select("win", "target")).distinct()
+    nodes = cut_lineage(nodes)
     return nodes, edges
 
 
@@ -97,14 +99,14 @@ def _laplacian_invariants(spark, sf_dir):
 @query("graph_spectral_distance")
 def _graph_spectral_distance(spark, sf_dir):
     nodes, edges = retrieved_graph(spark, sf_dir)
-    out = gr.graph_spectral_distance(gr.spectra(nodes, edges, ["win"]), month_pairs(edges), "win")
+    out = gr.graph_spectral_distance(gr.spectra(nodes, edges, ["win"], edges_once=True), month_pairs(edges), "win")
     return out.withColumn("spectral_distance", rounded(F.col("spectral_distance")))
 
 
 @query("graph_drift")
 def _graph_drift(spark, sf_dir):
     nodes, edges = retrieved_graph(spark, sf_dir)
-    out = gr.graph_drift(nodes, edges, month_pairs(edges), "win")
+    out = gr.graph_drift(nodes, edges, month_pairs(edges), "win", edges_once=True)
     return out.withColumns(
         {"spectral_distance": rounded(F.col("spectral_distance")), "density_delta": rounded(F.col("density_delta"))}
     )

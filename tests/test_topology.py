@@ -203,3 +203,37 @@ def test_payloads_split_distinct_nodes(spark, monkeypatch):
     once = calibration.split_half_graph(nodes, edges, "win", iterations=3).first()
     more = calibration.split_half_graph(nodes.union(nodes), edges, "win", iterations=3).first()
     assert once == more and all(rows == distinct for rows, distinct in seen)
+
+
+def test_links_are_not_stored_or_compared_again(spark, monkeypatch):
+    """Edges from one kind of node to another, given once, go to the parts as they are; those of hubs meet no table of degrees."""
+    rng = np.random.default_rng(3)
+    edges = {(int(a), int(b)) for a, b in zip(rng.integers(0, 4, 200), rng.integers(4, 90, 200), strict=True)}
+    nodes, es = graphs(spark, {0: (90, sorted(edges)), 1: (3, [(0, 1)])})
+    monkeypatch.setattr(gr, "undirected_links", lambda *a: pytest.fail("compared"))
+    links, degrees = gr.links_and_degrees(nodes, es, ["win"], edges_once=True)
+    assert links.count() == len(edges) + 1 and degrees.count() == 93
+    want = {n: sum(n in e for e in edges) for n in range(90)}
+    assert sorted(want.values()) == sorted(r.d for r in degrees.filter("win = 0").collect())
+    plans = []
+    plain = gr.cut_lineage
+    monkeypatch.setattr(gr, "cut_lineage", lambda df: plans.append(df.columns) or plain(df))
+    out = gr.oriented_links(links.filter("win = 0"), degrees.filter("win = 0"), ["win"])
+    assert plans == [] and out.count() == len(edges)
+    top = gr.spectra(nodes, es, ["win"], dense_nodes=32, edges_once=True).filter("win = 0").first().top
+    assert np.allclose(top, dense_top(90, sorted(edges)), atol=1e-9)
+
+
+def test_repeated_edges_without_hubs(spark, monkeypatch):
+    """Without ``edges_once`` repeated, turned and unlisted edges count as before; with few hubs sent the rest meets all degrees."""
+    rng = np.random.default_rng(4)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(0, 30, (60, 2)) if a != b]
+    nodes, es = graphs(spark, {0: (30, pairs), 1: (30, [(a, b) for a, b in pairs if a < 20])})
+    want = {r.win: r.top for r in gr.spectra(nodes, es, ["win"]).collect()}
+    twice = es.union(es).union(es.select("win", F.col("target").alias("source"), F.col("source").alias("target")))
+    twice = twice.union(es.select("win", "source", F.lit("nowhere").alias("target")))
+    monkeypatch.setattr(gr, "HUB_ROWS", 2)
+    for dense in (2000, 100):
+        got = {r.win: r.top for r in gr.spectra(nodes, twice, ["win"], dense_nodes=dense).collect()}
+        for w in want:
+            assert np.allclose(got[w], want[w], atol=1e-9) and np.allclose(want[w], dense_top(30, pairs if w == 0 else [p for p in pairs if p[0] < 20]), atol=1e-9)
