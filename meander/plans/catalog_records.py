@@ -339,7 +339,7 @@ def _monthly(spark, sf_dir):
 
 @query("evaluate_frames")
 def _evaluate_frames(spark, sf_dir):
-    out = ev.evaluate_frames(*_monthly(spark, sf_dir))
+    out = ev.evaluate_frames(*_monthly(spark, sf_dir), edges_once=True)
     return _round_all(
         out, ["js_divergence", "mmd_score", "spectral_distance", "density_delta", "transition_entropy_delta", "avg_reflection_iterations_delta"]
     )
@@ -353,7 +353,7 @@ def _evaluation_job(spark, sf_dir):
     frames = evals.select(
         _month(F.xxhash64("trace_id")).alias("win"), "trace_id", "rag_type", "timestamp", "telemetry_frame"
     )
-    alerts = ev.evaluation_job(frames, *_monthly(spark, sf_dir), path)
+    alerts = ev.evaluation_job(frames, *_monthly(spark, sf_dir), path, edges_once=True)
     stored = evaluations.read_evaluations(spark, path).select(
         "js_divergence", "is_drifted", _month(F.xxhash64("trace_id")).alias("current")
     )

@@ -164,12 +164,13 @@ def calibrated_limits(
 def evaluate_frames(
     vectors: DataFrame, nodes: DataFrame, edges: DataFrame, traces: DataFrame, hops: DataFrame, pairs: DataFrame,
     by: str = "win", thresholds: dict[str, float] | None = None, replicates: int = 100, id_col: str = "vec_id",
-    limits: DataFrame | None = None, method: str = "pairs",
+    limits: DataFrame | None = None, method: str = "pairs", edges_once: bool = False,
 ) -> DataFrame:
     """Vector, graph and swarm drift of every ``(baseline, current)`` window pair.
 
     ``vectors``: ``by, id, embedding`` per window.  ``limits`` are calibrated values per baseline window (see
     ``calibrated_limits``), ``thresholds`` values for all windows; missing ones keep their static defaults.
+    ``edges_once``: no edge repeats within a window.
     """
     key = F.concat_ws(">", F.col("baseline").cast("string"), F.col("current").cast("string")).alias("pair")
     tagged = pairs.select(key, "baseline", "current")
@@ -178,7 +179,7 @@ def evaluate_frames(
     )
     stacked = side("baseline", False).unionByName(side("current", True))
     vec = vector_drift(stacked, ["pair"], replicates=replicates, id_col=id_col, method=method)
-    graph = graph_drift(nodes, edges, pairs, by)
+    graph = graph_drift(nodes, edges, pairs, by, edges_once=edges_once)
     swarm = swarm_drift(traces, hops, pairs, by)
     out = tagged.join(vec, "pair", "left").join(graph, ["baseline", "current"], "left").join(swarm, ["baseline", "current"], "left")
     zero = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c)
@@ -207,6 +208,7 @@ def evaluate_frames(
 def evaluation_job(
     frames: DataFrame, vectors: DataFrame, nodes: DataFrame, edges: DataFrame, traces: DataFrame, hops: DataFrame,
     pairs: DataFrame, path: str, by: str = "win", replicates: int = 100, id_col: str = "vec_id", method: str = "pairs",
+    edges_once: bool = False,
 ) -> DataFrame:
     """Calibrate on each baseline window, evaluate its pair, store a row per current frame, return the alerts.
 
@@ -215,7 +217,7 @@ def evaluation_job(
     """
     limits = cut_lineage(calibrated_limits(vectors, traces, hops, by, id_col=id_col))
     results = cut_lineage(
-        evaluate_frames(vectors, nodes, edges, traces, hops, pairs, by, None, replicates, id_col, limits, method)
+        evaluate_frames(vectors, nodes, edges, traces, hops, pairs, by, None, replicates, id_col, limits, method, edges_once)
     )
     evaluation_write(frames, results.withColumnRenamed("current", by), [by], path)
     scores = [c for c in results.columns if c not in ("baseline", "current")]
