@@ -57,8 +57,7 @@ def matrix(flat, n: int) -> np.ndarray:
 def squared_distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Squared distances by one matrix product; near-zero ones are redone exactly."""
     xx, yy = (x * x).sum(1)[:, None], (y * y).sum(1)[None, :]
-    d = x @ y.T
-    d *= -2.0
+    d = (-2.0 * x) @ y.T
     d += xx
     d += yy
     np.maximum(d, 0.0, out=d)

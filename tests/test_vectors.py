@@ -209,3 +209,32 @@ def test_projections_travel_packed(spark):
     got = {r.k: r.swd for r in sliced.sliced_wasserstein(df, ["k"], d).collect()}
     spread = {r.k: r.swd for r in sliced.sliced_wasserstein(df, ["k"], d, group_limit=0).collect()}
     assert set(got) == {"a", "b"} and got == pytest.approx(spread, rel=1e-9)
+
+
+@pytest.mark.parametrize("bracket", [4.0, 0.0, -1e6])
+@pytest.mark.parametrize("within", [False, True])
+def test_medians_by_one_pass_over_all_pairs(spark, monkeypatch, within, bracket):
+    """A bracket from few pairs, one pass over all; a bracket without the median falls back to digits.  Ties count."""
+    rng = np.random.default_rng(12)
+    rows = [(k, i, bool(i % 3), [float(x) for x in (rng.integers(0, 3, 2) if k else rng.normal(size=2))]) for k in (0, 1) for i in range(150)]
+    rows += [(2, i, True, [float(i), 0.0]) for i in range(40)]
+    df = spark.createDataFrame(rows, "k int, id long, side boolean, embedding array<double>")
+    monkeypatch.setattr(mmd, "BRACKET", bracket)
+    monkeypatch.setattr(mmd, "TILE_ROWS", 8)
+    monkeypatch.setattr(mmd, "NEAR_ROWS", 16)
+    passes = []
+    plain = mmd._met
+    monkeypatch.setattr(mmd, "_met", lambda left, table, by, diagonal=False: passes.append(diagonal) or plain(left, table, by, diagonal))
+    got = {r.k: r.median for r in mmd.median_table(df, ["k"], within, block_rows=20).collect()}
+    want = {}
+    for k in (0, 1, 2):
+        x, s = np.array([r[3] for r in rows if r[0] == k]), np.array([r[2] for r in rows if r[0] == k])
+        d = ((x[:, None] - x[None]) ** 2).sum(2)
+        values = d[~s][:, s].ravel()
+        if within:
+            values = np.concatenate([values, *[d[s == side][:, s == side][d[s == side][:, s == side] > 0] for side in (False, True)]])
+        if len(values):
+            want[k] = np.median(values)
+    assert got == pytest.approx(want, rel=1e-12) and set(got) == set(want)
+    if bracket == 4.0 and within:
+        assert passes.count(False) == 2  # that of the pairs nobody reads, and one over all pairs
