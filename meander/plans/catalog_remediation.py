@@ -209,7 +209,7 @@ res AS (
 def _runs_of(r, df):
     """Replace change ids by the run ids of those changes, in order."""
     exploded = df.select("scenario_id", F.posexplode("change_ids").alias("i", "change_id"))
-    names = exploded.join(r.changes.select("change_id", "run_id"), "change_id").groupBy("scenario_id").agg(
+    names = exploded.join(r.brief_changes.select("change_id", "run_id"), "change_id").groupBy("scenario_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "run_id"))), lambda x: x["run_id"]), ",").alias("runs")
     )
     return df.join(names, "scenario_id")

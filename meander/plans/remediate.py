@@ -18,7 +18,7 @@ from meander.operators.series import mean_shift_events, metric_series
 class Remediation:
     """The tables of one remediation run; each is built when first asked for.
 
-    Series, events, best factors and results are stored once, as several later tables
+    Series, events, changes (without details), best factors and results are stored once, as several later tables
     build on them.
     """
 
@@ -40,16 +40,19 @@ class Remediation:
     def changes(self) -> DataFrame:
         return ch.change_events(self.history, self.by)
 
+    @cached_property
+    def brief_changes(self) -> DataFrame:
+        """The changes without what they hold in detail, for the steps that have no use for it."""
+        return cut_lineage(self.changes.select(*self.by, "change_id", "run_id", "change_type", "ts", "seq"))
+
     @cached_property
     def factors(self) -> DataFrame:
         """Every change scored for every event of its stream (the full report, not stored)."""
-        return ch.attribution_scores(ch.event_change_features(self.events, self.changes, self.by), self.by)
+        return ch.attribution_scores(ch.event_change_features(self.events, self.brief_changes, self.by), self.by)
 
     @cached_property
     def _summary(self) -> tuple[DataFrame, DataFrame]:
-        # read twice; what a change holds in detail is of no use here
-        narrow = cut_lineage(self.changes.select(*self.by, "change_id", "run_id", "change_type", "ts", "seq"))
-        return attribution.attribution_summary(self.events, narrow, self.by, self.top_k + 1)
+        return attribution.attribution_summary(self.events, self.brief_changes, self.by, self.top_k + 1)
 
     @cached_property
     def best_factors(self) -> DataFrame:

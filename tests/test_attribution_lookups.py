@@ -93,3 +93,18 @@ def test_bisection_equals_counting():
         assert side.n > (every[0] - every[-1] + 1) * side.n.bit_length()  # looked up
         assert side.total() == every.sum() and (np.diff(every) <= 0).all()
         assert list(side.count(np.unique(every))) == [int((every >= u).sum()) for u in np.unique(every)]
+
+
+def test_changes_are_found_once(spark):
+    """Scores, summary and names read stored changes: finding them again parses every record."""
+    from meander.plans.remediate import remediate
+
+    history = spark.createDataFrame(
+        [("s", float(i), i, f"r{i}", f"v{i // 2}", {"pipeline_name": "p", "tier": str(i)}) for i in range(6)],
+        "system string, timestamp double, seq long, run_id string, system_version string, metadata map<string,string>",
+    )
+    run = remediate(history, BY)
+    run.__dict__["events"] = spark.createDataFrame([("s", "e", "m", 2.0, 3.0, 0.5)], EVENT)
+    assert "from_json" in run.changes._jdf.queryExecution().toString()
+    assert "from_json" not in run.factors._jdf.queryExecution().toString()
+    assert run.factors.count() == run.changes.count() == 5
