@@ -6,6 +6,8 @@ size over its source's mean.  The convex dual has one lambda per source; distrib
 bracket, solve it on counts per source and size.  Rates then become whole copies: running totals of expected
 copies are rounded along the sizes of a source, and what is left of the target goes to single documents of fitting
 size.  All state is a table with a row per source or per source and size; the driver sees single numbers only.
+Windows add up a source's sizes, so that a step is no join and a few small jobs solve it all; a source with more than
+``group_limit`` different sizes (2,000,000 take 2 * 10^12 words) is added up by tasks of its parts and joined.
 
 Null texts have size 0; a null source is a source of its own, last in order; repeated rows are documents of their
 own; an empty table gives an empty mix.  Extra columns are ignored (``repeated`` keeps them).
@@ -18,7 +20,7 @@ import warnings
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from meander.functions.ordering import numbered, running_sums
+from meander.functions.ordering import GROUP_LIMIT, known, numbered, running_sums
 from meander.llm.common import WORD, materialised
 
 GROUP_ROWS = 10_000
@@ -70,15 +72,29 @@ def _rate(cap: float) -> Column:
     return F.when(F.col("full"), F.lit(cap)).otherwise(tilt)
 
 
+def _with_totals(rows: DataFrame, group_limit: int | None, totals: dict[str, Column]) -> DataFrame:
+    """``rows`` plus totals over their source: a window over its sizes, or a join where these are too many for a task.
+
+    The window reads the sizes in their order, so a rerun adds doubles in the same order.
+    """
+    if group_limit is None:
+        w = Window.partitionBy("src").orderBy("size")
+        w = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        return rows.withColumns({name: total.over(w) for name, total in totals.items()})
+    sums = rows.groupBy(F.col("src").alias("s")).agg(*[total.alias(name) for name, total in totals.items()])
+    return rows.join(sums, F.col("src") == F.col("s")).drop("s")
+
+
 def balance(sizes: DataFrame, targets: DataFrame, cap: float = 2.0, tolerance: float = 1e-7,
-            rounds: int = 25) -> DataFrame:
-    """``targets`` plus the dual solution ``lam`` per source.
+            rounds: int = 25, group_limit: int | None = GROUP_LIMIT) -> DataFrame:
+    """``sizes`` plus the columns of ``targets`` and the dual solution ``lam`` of each row's source.
 
     ``sizes``: ``src, size, n`` counts.  Every round takes three Newton steps; a step that leaves the bracket of the
-    root is replaced by its middle.
+    root is replaced by its middle.  The state stands beside each size of its source, so that a round is one small job.
     """
     big = 1e6
-    state = targets.withColumns({
+    group_limit = known(sizes, ["src"], group_limit)
+    state = sizes.join(targets, "src").withColumns({
         "mean": F.greatest(F.col("source_size") / F.col("n_docs"), F.lit(1e-9)),
         "full": F.col("target") >= F.col("most") * (1 - 1e-12),
         "lam": F.lit(0.0), "low": F.lit(-big), "high": F.lit(big), "gap": F.lit(1.0),
@@ -86,13 +102,12 @@ def balance(sizes: DataFrame, targets: DataFrame, cap: float = 2.0, tolerance: f
     columns = state.columns
     for _ in range(rounds):
         for _ in range(3):
-            joined = sizes.join(state, "src").withColumn("x", F.col("size") / F.col("mean"))
-            w = joined.withColumn("w", _rate(cap)).withColumn("words", F.col("n") * F.col("size") * F.col("w"))
-            sums = w.groupBy("src").agg(
-                F.sum("words").alias("got"),
-                F.sum(F.when(F.col("w") < cap, F.col("words") * F.col("x")).otherwise(0.0)).alias("slope"),
-            )
-            step = state.join(sums, "src").withColumn("over", F.col("got") - F.col("target"))
+            w = state.withColumn("x", F.col("size") / F.col("mean")).withColumn("w", _rate(cap))
+            w = w.withColumn("words", F.col("n") * F.col("size") * F.col("w"))
+            step = _with_totals(w, group_limit, {
+                "got": F.sum("words"),
+                "slope": F.sum(F.when(F.col("w") < cap, F.col("words") * F.col("x")).otherwise(0.0)),
+            }).withColumn("over", F.col("got") - F.col("target"))
             step = step.withColumns({
                 "low": F.when(F.col("over") < 0, F.col("lam")).otherwise(F.col("low")),
                 "high": F.when(F.col("over") > 0, F.col("lam")).otherwise(F.col("high")),
@@ -114,50 +129,51 @@ def balance(sizes: DataFrame, targets: DataFrame, cap: float = 2.0, tolerance: f
     return state
 
 
-def whole_copies(sizes: DataFrame, dual: DataFrame, cap: float = 2.0, passes: int = 6) -> DataFrame:
-    """``src, size, n, copies, rate``: whole copies per source and size whose words come near each target."""
-    rates = sizes.join(dual, "src").withColumn("x", F.col("size") / F.col("mean")).withColumn("rate", _rate(cap))
+def whole_copies(dual: DataFrame, cap: float = 2.0, passes: int = 6,
+                 group_limit: int | None = GROUP_LIMIT) -> DataFrame:
+    """``src, size, n, copies, rate, source_size, target``: whole copies per source and size, near each target."""
+    group_limit = known(dual, ["src"], group_limit)
+    rates = dual.withColumn("x", F.col("size") / F.col("mean")).withColumn("rate", _rate(cap))
     rates = rates.withColumn("expected", F.round(F.col("n") * F.col("rate"), 9)).withColumn("_down", -F.col("size"))
     run = running_sums(
-        rates.select("src", "size", "n", "rate", "expected", "target", "_down"), ["src"], ["_down"],
-        {"sum": F.col("expected")},
+        rates.select("src", "size", "n", "rate", "expected", "source_size", "target", "_down"), ["src"], ["_down"],
+        {"sum": F.col("expected")}, group_limit,
     )
     upto, before = F.floor(F.col("sum") + 0.5), F.floor(F.col("sum") - F.col("expected") + 0.5)
     most = (F.col("n") * cap).cast("long")
-    groups = materialised(
-        run.select("src", "size", "n", "rate", "target",
-                   F.greatest(F.lit(0), F.least(most, upto - before)).cast("long").alias("copies")), "mix-copies"
+    groups = run.select("src", "size", "n", "rate", "source_size", "target",
+                        F.greatest(F.lit(0), F.least(most, upto - before)).cast("long").alias("copies"))
+    groups = _with_totals(groups, group_limit, {"words": F.sum(F.col("copies") * F.col("size"))})
+    left = F.col("target") - F.col("words")
+    gap = F.abs(left)
+    room = F.when(left > 0, most - F.col("copies")).otherwise(F.col("copies"))
+    # the size whose copies, as many as fit or one too large, come nearest
+    times = F.greatest(F.lit(1), F.least("room", F.floor(gap / F.nullif(F.col("size"), F.lit(0)))))
+    fitting = F.when(
+        (F.col("size") > 0) & (F.col("room") > 0) & (F.col("size") < 2 * gap),
+        F.struct(F.abs(gap - F.col("times") * F.col("size")).alias("rest"), (-F.col("size")).alias("down"), "times"),
     )
-    for _ in range(passes):
-        left = groups.groupBy("src").agg((F.max("target") - F.sum(F.col("copies") * F.col("size"))).alias("left"))
-        room = F.when(F.col("left") > 0, most - F.col("copies")).otherwise(F.col("copies"))
-        gap = F.abs(F.col("left"))
-        fitting = groups.join(left, "src").withColumn("room", room).where(
-            (F.col("size") > 0) & (F.col("room") > 0) & (F.col("size") < 2 * gap)
-        )
-        # the size whose copies, as many as fit or one too large, come nearest
-        times = F.greatest(F.lit(1), F.least(F.col("room"), F.floor(gap / F.col("size"))))
-        fitting = fitting.withColumn("times", times).withColumn("rest", F.abs(gap - F.col("times") * F.col("size")))
-        best = fitting.groupBy("src").agg(
-            F.min(F.struct("rest", -F.col("size"), "size", "times", "left")).alias("b")
-        ).select(
-            F.col("src").alias("s"), F.col("b.size").alias("z"),
-            (F.col("b.times") * F.signum(F.col("b.left"))).cast("long").alias("more"),
-        )
-        joined = groups.join(best, (F.col("src") == F.col("s")) & (F.col("size") == F.col("z")), "left")
-        groups = materialised(
-            joined.withColumn("copies", F.col("copies") + F.coalesce("more", F.lit(0))).select(*groups.columns),
-            "mix-copies",
-        )
-    return groups
+    more = F.coalesce(F.col("best.times") * F.signum(left), F.lit(0)).cast("long")
+    for i in range(passes):
+        if group_limit is not None or i % 3 == 0:  # each window holds a source's sizes, so at most three in a row
+            groups = materialised(groups, "mix-copies")
+        rows = groups.withColumn("room", room).withColumn("times", times).withColumn("fitting", fitting)
+        found = _with_totals(rows, group_limit, {"best": F.min("fitting")}).withColumn("more", more)
+        chosen = F.coalesce(F.col("size") == -F.col("best.down"), F.lit(False))
+        groups = found.withColumns({
+            "copies": F.col("copies") + F.when(chosen, F.col("more")).otherwise(0),
+            "words": F.col("words") - F.coalesce(F.col("best.down"), F.lit(0)) * F.col("more"),
+        }).select(*groups.columns)
+    return materialised(groups.drop("words"), "mix-copies")
 
 
 def spread(sized: DataFrame, groups: DataFrame) -> DataFrame:
-    """``sized`` plus ``copies`` and ``rate``: a group's copies go evenly to its documents, in the order of a hash.
+    """``sized`` plus ``copies, rate, source_size, target``: a group's copies go evenly to its documents, in the order of
+    a hash.
 
     A group beyond ``GROUP_ROWS`` is cut into subgroups by the hash; each gets its share of the copies.
     """
-    g = groups.select(F.col("src").alias("s"), F.col("size").alias("z"), "n", "copies", "rate")
+    g = groups.select(F.col("src").alias("s"), F.col("size").alias("z"), "n", "copies", "rate", "source_size", "target")
     subs = F.ceil(F.col("n") / GROUP_ROWS)
     rows = sized.join(g, (F.col("src") == F.col("s")) & (F.col("size") == F.col("z"))).drop("s", "z")
     rows = rows.withColumn("sub", F.pmod(F.xxhash64("doc_id", "mark"), subs))
@@ -184,7 +200,8 @@ def spread(sized: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, *, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: int = 2,
-        doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
+        doc_id: str = "doc_id", source: str = "source", text: str = "text",
+        group_limit: int | None = GROUP_LIMIT) -> DataFrame:
     """Per document: ``doc_id, mark, size, source_size, target, copies, taken, rate`` (``mark`` is a hash of the text)."""
     sized = materialised(
         docs.select(
@@ -197,10 +214,9 @@ def mix(docs: DataFrame, *, weights: tuple[float, ...] = (3, 1, 2), share: float
         F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("n_docs")
     )
     targets = shared_targets(sources, weights, share, float(cap))
-    dual = balance(sizes, targets, float(cap))
-    rows = spread(sized, whole_copies(sizes, dual, float(cap)))
-    per_source = targets.select(F.col("src").alias("s"), "source_size", "target")
-    return rows.join(per_source, F.col("src") == F.col("s")).select(
+    group_limit = known(sizes, ["src"], group_limit)
+    dual = balance(sizes, targets, float(cap), group_limit=group_limit)
+    return spread(sized, whole_copies(dual, float(cap), group_limit=group_limit)).select(
         "doc_id", "mark", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"),
         "rate",
     )
