@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import json
 import zlib
-from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +24,6 @@ from pyspark.sql import functions as F
 
 from meander.llm.common import materialised, sliced
 
-CACHE_WORDS = 600_000
-
 
 def byte_alphabet() -> dict[str, int]:
     """The printable stand-ins of the 256 bytes in a byte-level vocabulary: printable Latin-1 stands for itself."""
@@ -43,8 +40,8 @@ class Tokens:
     """Ids of a byte-level vocabulary file, as little-endian 32-bit numbers.
 
     Merges by rank give the ids that the file's own library gives (a test holds them against each other), several
-    times as fast.  Words between single spaces are looked up in a bounded cache first: the splitter never joins
-    text over a space but for the one in front of a word.
+    times as fast.  Nothing is kept from one text to the next: looking words up in a cache takes longer than merging
+    whole texts, and a process would hold the words of all the texts it has seen.
     """
 
     def __init__(self, path: str):
@@ -55,30 +52,13 @@ class Tokens:
         ranks = {bytes(stand[c] for c in word): n for word, n in model["model"]["vocab"].items() if word not in special}
         self.special = special
         self.encoding = tiktoken.Encoding("vocabulary", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens=special)
-        self.words: dict[str, bytes] = {}
-
-    def whole(self, text: str) -> bytes:
-        if any(s in text for s in self.special):
-            return array("I", self.encoding.encode(text, allowed_special="all")).tobytes()
-        return array("I", self.encoding.encode_ordinary(text)).tobytes()
 
     def ids(self, text: str) -> bytes:
-        words, known = text.split(" "), self.words
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        out = []
-        first = words[0]
-        if not first or first[-1].isspace():
-            return self.whole(text)
-        out.append(self.whole(first))
-        for word in words[1:]:
-            ids = known.get(word)
-            if ids is None:
-                if not word or word[-1].isspace():  # white space runs over the space: the splitter sees it whole
-                    return self.whole(text)
-                ids = known[word] = self.whole(" " + word)
-            out.append(ids)
-        return b"".join(out)
+        if any(s in text for s in self.special):
+            found = self.encoding.encode_to_numpy(text, allowed_special="all")
+        else:
+            found = self.encoding.encode_to_numpy(text, disallowed_special=())
+        return found.astype("<u4", copy=False).tobytes()
 
 
 _TOKENS: dict[str, Tokens] = {}
@@ -107,7 +87,11 @@ def cuts(length: int, capacity: int, tolerance: float) -> list[int]:
 
 def pieces(docs: DataFrame, vocabulary: str, capacity: int, tolerance: float, end_id: int, doc_id: str,
            text: str) -> DataFrame:
-    """Tokenised and cut documents with the bin and slot that their task gave them; ``bin`` -1 is left over."""
+    """Tokenised and cut documents with the bin and slot that their task gave them.
+
+    A piece left over has minus the number of pieces that its task leaves over in its class as ``bin``, and its
+    place among them (by id, start, checksum and length) as ``offset``.
+    """
 
     def run(batches):
         worker = TaskContext.get().partitionId()
@@ -134,6 +118,10 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int, tolerance: float, en
                         open_bins[row[5]] = []
             if out:
                 yield _batch(out)
+        for rows in open_bins.values():
+            rows.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[1], r[3], r[2]))
+            for at, r in enumerate(rows):
+                r[7], r[8] = -len(rows), at
         if left := [r for rows in open_bins.values() for r in rows]:
             yield _batch(left)
 
@@ -176,17 +164,15 @@ def pack(docs: DataFrame, *, vocabulary: str, capacity: int = 1024, tolerance: f
     )
     # left over: fewer than k pieces for each class k and task
     left = cut.where("bin < 0")
-    order = ["worker", "doc_id", "start", "ids_crc32", "length"]
-    here = left.withColumn("rank", F.row_number().over(Window.partitionBy("class", "worker").orderBy(*order[1:])))
-    counts = left.groupBy("class", "worker").agg(F.count(F.lit(1)).alias("n"))
     by_class = Window.partitionBy("class")
     before = by_class.orderBy("worker").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select(
+    n = -F.col("bin")
+    counts = left.where("offset = 0").select(
         F.col("class").alias("c"), F.col("worker").alias("w"),
-        F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier"), F.sum("n").over(by_class).alias("total"),
+        F.coalesce(F.sum(n).over(before), F.lit(0)).alias("earlier"), F.sum(n).over(by_class).alias("total"),
     )
-    numbered = here.join(counts, (F.col("class") == F.col("c")) & (F.col("worker") == F.col("w"))).withColumn(
-        "at", F.col("earlier") + F.col("rank") - 1
+    numbered = left.join(counts, (F.col("class") == F.col("c")) & (F.col("worker") == F.col("w"))).withColumn(
+        "at", F.col("earlier") + F.col("offset")
     )
     numbered = numbered.withColumn("shared", F.floor(F.col("at") / F.col("class"))).withColumn(
         "filled", F.col("shared") < F.floor(F.col("total") / F.col("class"))

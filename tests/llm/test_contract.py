@@ -128,6 +128,39 @@ def test_tokens_agree_on_odd_texts():
         assert np.frombuffer(own.ids(text), "<u4").tolist() == exact.encode(text, add_special_tokens=False).ids, text
 
 
+def test_tokens_keep_no_words():
+    import tracemalloc
+
+    import public_tokenizers
+
+    own = packing.Tokens(public_tokenizers.path("byte_bpe_50k.json"))
+    own.ids("a b")
+    tracemalloc.start()
+    for i in range(100):
+        own.ids(" ".join(f"w{i}x{j}" for j in range(500)))
+    kept = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert kept < 1_000_000  # 50,000 different words
+
+
+def test_packing_numbers_left_over_pieces_in_their_task(spark):
+    import public_tokenizers
+
+    rows = [(i % 7 if i % 5 else None, "a " * (i % 90)) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    cut = packing.pieces(df, path, 256, 0.04, 0, "doc_id", "text").toPandas()
+    left = cut[cut.bin < 0]
+    assert len(left)
+    for (k, _), g in left.groupby(["class", "worker"]):
+        assert len(g) < k and set(g.bin) == {-len(g)} and sorted(g.offset) == list(range(len(g)))
+        g = g.sort_values("offset")
+        key = list(zip(g.doc_id.notna(), g.doc_id.fillna(0), g.start, g.ids_crc32, g.length, strict=True))
+        assert key == sorted(key)
+    plan = packing.pack(df, vocabulary=path, capacity=256)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") <= 5  # 7 before the tasks numbered their pieces
+
+
 def test_license_queries(spark, docs):
     out = run(spark, "op6_license_rules").set_index("doc_id")
     names = {"GNU General Public License, version 3.": "GPL-3.0-only", "CC BY-NC 4.0.": "CC-BY-NC-4.0",
