@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,6 +27,27 @@ def materialised(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def few_rows(spark: SparkSession, rows: int = 256) -> Iterator[None]:
+    """Actions inside it scan and hand to Python at most ``rows`` rows at a time; the session's settings come back after.
+
+    By default 4,096 and 10,000 rows of whole texts are held at once by each task.
+    """
+    names = ("spark.sql.parquet.columnarReaderBatchSize", "spark.sql.execution.arrow.maxRecordsPerBatch")
+    own = {name: spark.conf.get(name, None) for name in names}
+    try:
+        for name in names:
+            held = int(spark.conf.get(name))
+            spark.conf.set(name, min(rows, held) if held > 0 else rows)
+        yield
+    finally:
+        for name, value in own.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
+
+
 def id_hash(doc_id: str | Column) -> Column:
     """crc32 of the id as text; a null id counts as the empty text."""
     col = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from meander.llm.common import materialised, sliced
+from meander.llm.common import few_rows, materialised, sliced
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -157,7 +157,8 @@ def pack(docs: DataFrame, *, vocabulary: str, capacity: int = 1024, tolerance: f
 
     ``tolerance`` is the padding that a piece may cause, as a share of its length, before it is cut again.
     """
-    cut = materialised(pieces(docs, vocabulary, capacity, tolerance, end_id, doc_id, text), "packing")
+    with few_rows(docs.sparkSession):
+        cut = materialised(pieces(docs, vocabulary, capacity, tolerance, end_id, doc_id, text), "packing")
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
     full = cut.where("bin >= 0").select(
         *columns, (F.col("worker").cast("long") * (1 << 36) + F.col("bin")).alias("sequence_id"), "offset", "class"

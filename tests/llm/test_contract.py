@@ -143,6 +143,19 @@ def test_tokens_keep_no_words():
     assert kept < 1_000_000  # 50,000 different words
 
 
+def test_packing_takes_few_rows_at_a_time(spark, monkeypatch):
+    import public_tokenizers
+
+    names = ("spark.sql.parquet.columnarReaderBatchSize", "spark.sql.execution.arrow.maxRecordsPerBatch")
+    before, seen = [spark.conf.get(n) for n in names], []
+    monkeypatch.setattr(packing, "materialised", lambda df, name, f=packing.materialised: (
+        seen.append([int(spark.conf.get(n)) for n in names]), f(df, name))[1])
+    df = spark.range(2000).selectExpr("id AS doc_id", "repeat('a ', 10) AS text").coalesce(1)
+    out = packing.pack(df, vocabulary=public_tokenizers.path("byte_bpe_50k.json"))
+    assert max(seen[0]) <= 256 and [spark.conf.get(n) for n in names] == before
+    assert out.agg({"length": "sum"}).first()[0] == out.dropDuplicates(["doc_id"]).agg({"doc_tokens": "sum"}).first()[0]
+
+
 def test_packing_numbers_left_over_pieces_in_their_task(spark):
     import public_tokenizers
 
