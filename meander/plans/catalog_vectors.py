@@ -101,7 +101,7 @@ waves AS (
     FROM vecs v JOIN gm ON gm.track = v.track, dirs) v)"""
 
 
-# up to 1,024 rows a track all pairs lie in one block, so that the width of the linear method is the exact one
+# the width is the median of all pairs, as in the SQL; only the statistic is linear
 @query(
     "mmd_rbf_features",
     "WITH " + GAMMA_SQL + WAVES_SQL + """, gaps AS (

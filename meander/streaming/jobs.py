@@ -79,8 +79,8 @@ def stream_drift(
 ) -> StreamingQuery:
     """Score the buffered vectors of each ready track against its baseline table.
 
-    ``baseline``: ``track, seq, embedding``.  With ``method="features"`` a batch reads the baseline once instead of
-    comparing it with itself.
+    ``baseline``: ``track, seq, embedding``.  With ``method="features"`` a batch compares the baseline with the buffer for
+    the kernel's width, but not with itself.
     """
     from meander.operators.latent import latent_drift, tag_union
 

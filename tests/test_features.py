@@ -69,6 +69,20 @@ def test_width_of_random_pairs_is_near_the_exact_one(spark):
     assert mmd.median_gammas(df, ["k"], block_rows=4096, diagonal=True).first().gamma == exact
 
 
+def test_width_comes_from_all_pairs(spark):
+    """A key of many blocks is measured with the exact width: no block stands for the whole."""
+    df, base, cur = sides(spark, 1200, 0.2)
+    exact = mmd.monitor_gammas(df, ["k"], block_rows=4096)
+    bb, cc = d2(base, base), d2(cur, cur)
+    med = np.median(np.concatenate([bb[bb > 0], cc[cc > 0], d2(base, cur).ravel()]))
+    assert exact.first().gamma == pytest.approx(np.log(601) / med, rel=1e-9)
+    want = mmd.mmd_permutation_test(df, ["k"], 20, gammas=exact, method="features").first()
+    got = mmd.mmd_permutation_test(df, ["k"], 20, block_rows=50, method="features").first()
+    assert got.mmd == pytest.approx(want.mmd, rel=1e-12) and got.p_value == want.p_value
+    score = mmd.mmd_rbf(df, ["k"], {("a",): 1 / (2 * np.median(d2(base, cur)))}, method="features").first().mmd
+    assert mmd.mmd_rbf(df, ["k"], block_rows=50, method="features").first().mmd == pytest.approx(score, rel=1e-9)
+
+
 def test_many_keys_and_one_sided_ones(spark):
     rng = np.random.default_rng(8)
     data = {f"k{j}": rng.normal(size=(6, 3)) for j in range(300)}
