@@ -21,6 +21,7 @@ COVER_SHARE = 4  # a window is solved through a cover of up to ``dense_nodes / C
 PART_LINKS = 250_000  # links one task multiplies
 HUB_ROWS = 50_000  # of the nodes with the most links, sent to all tasks
 SPECTRAL_K = 5
+WORD = 60  # graphs of a number of bits
 
 
 def from_payloads(frames: DataFrame, by: list[str], graph: str = "graph_topology") -> tuple[DataFrame, DataFrame]:
@@ -273,6 +274,127 @@ def covered_spectra(
     return others, left.unionByName(both_ways(unnamed, by)), out
 
 
+def graph_bits(members: DataFrame, payload_id: str, graphs: int) -> DataFrame:
+    """``payload_id, m0, ...`` of ``payload_id, graph`` rows: the graphs a payload belongs to (from 0) as bits of a few numbers."""
+    bit = F.expr(f"shiftleft(1L, CAST(graph % {WORD} AS INT))")
+    return members.groupBy(payload_id).agg(*[
+        F.bit_or(F.when(F.floor(F.col("graph") / WORD) == w, bit).otherwise(F.lit(0).cast("long"))).alias(f"m{w}")
+        for w in range(-(-graphs // WORD))
+    ])
+
+
+def pooled_spectra(
+    nodes: DataFrame, edges: DataFrame, members: DataFrame, payload_id: str, graphs: int, k: int = SPECTRAL_K,
+    dense_nodes: int = DENSE_NODES, part_links: int = PART_LINKS,
+) -> DataFrame:
+    """``graph, n, top``: leading eigenvalues of graphs that are unions of the payloads which ``members`` names.
+
+    A node or link is one row with the graphs it is in as bits (:func:`graph_bits`), however many graphs and payloads share
+    it.  If at most ``dense_nodes / COVER_SHARE`` nodes have an end of every link of all graphs, each graph is solved through
+    those that it links, as in :func:`covered_spectra`: one pass over the links adds up the parts of all graphs.  Others are
+    given to :func:`spectra` graph by graph.
+    """
+    spark, words = nodes.sparkSession, [f"m{w}" for w in range(-(-graphs // WORD))]
+    bits = graph_bits(members, payload_id, graphs)
+    both = [F.bit_or(w).alias(w) for w in words]
+    listed = nodes.join(bits, payload_id).groupBy("node").agg(*both)
+    real = (F.col("source") != "") & (F.col("target") != "") & (F.col("source") != F.col("target"))
+    pairs = edges.filter(real).select(payload_id, F.least("source", "target").alias("u"), F.greatest("source", "target").alias("v"))
+    links = cut_lineage(pairs.join(bits, payload_id).groupBy("u", "v").agg(*both))
+
+    def ends(links):
+        """``node``, the number of its links, and the graphs of these (``l0``, ...) and of the node."""
+        none = [F.lit(0).cast("long").alias(w) for w in words]
+        linked = [F.col(w).alias("l" + w[1:]) for w in words]
+        rows = links.select(F.inline(F.array(F.struct(F.col("u").alias("node")), F.struct(F.col("v").alias("node")))), F.lit(1).alias("d"), *linked, *none)
+        own = listed.select("node", F.lit(0).alias("d"), *[F.lit(0).cast("long").alias("l" + w[1:]) for w in words], *words)
+        return cut_lineage(rows.unionByName(own).groupBy("node").agg(
+            F.sum("d").alias("d"), *[F.bit_or(c).alias(c) for c in ("l" + w[1:] for w in words)], *both
+        ))
+
+    count = ends(links)
+    unlisted = reduce(or_, [F.col("l" + w[1:]).bitwiseAND(F.bitwise_not(F.col(w))) != 0 for w in words])
+    if not count.filter(unlisted).isEmpty():  # a link is one where both its ends are listed
+        for end in ("u", "v"):
+            own = count.select(F.col("node").alias(end), *[F.col(w).alias("l" + w[1:]) for w in words])
+            links = links.join(own, end).select("u", "v", *[F.col(w).bitwiseAND(F.col("l" + w[1:])).alias(w) for w in words])
+        links = cut_lineage(links.filter(reduce(or_, [F.col(w) != 0 for w in words])))
+        count = ends(links)
+    has = lambda g: F.shiftright(F.col(words[g // WORD]), g % WORD).bitwiseAND(F.lit(1))
+    total = count.agg(F.sum("d"), *[F.sum(has(g)) for g in range(graphs)]).first()
+    sizes = {g: n for g, n in enumerate(total[1:]) if n}
+
+    hubs = count.filter("d > 0").orderBy(F.desc("d"), F.desc("node")).limit(dense_nodes // COVER_SHARE).select("node").collect()
+    ranks = spark.createDataFrame([(r.node, i) for i, r in enumerate(hubs)], f"node {count.schema['node'].dataType.simpleString()}, i int")
+    of = lambda end, name: F.broadcast(ranks.select(F.col("node").alias(end), F.col("i").alias(name)))
+    near = links.join(of("u", "ru"), "u", "left").join(of("v", "rv"), "v", "left")
+    if not near.filter("ru IS NULL AND rv IS NULL").isEmpty():
+        each = F.explode(F.filter(F.array(*[F.when(has(g) == 1, F.lit(g)) for g in range(graphs)]), lambda g: g.isNotNull())).alias("graph")
+        found = spectra(
+            cut_lineage(count.select(each, "node")), links.select(each, F.col("u").alias("source"), F.col("v").alias("target")), ["graph"], k
+        )
+        return found.select("graph", "n", "top")
+
+    first = F.col("rv").isNull() | (F.col("ru") < F.col("rv"))  # the end with more links
+    pick = lambda a, b: F.when(first, F.col(a)).otherwise(F.col(b))
+    placed = near.select(pick("ru", "rv").alias("i"), F.coalesce(pick("rv", "ru"), F.lit(-1)).alias("j"), pick("v", "u").alias("v"), *words)
+    cover = sorted(r.i for r in placed.select("i").distinct().collect())
+    index = np.full(len(hubs) + 1, -1)
+    index[cover] = np.arange(len(cover))
+    size = len(cover)
+    parts = max(1, -(-(total[0] or 0) // 2 // part_links))
+
+    def part(pdf):
+        """Per graph of a part: links inside the cover, products of the others, and how many each node of the cover has."""
+        at, to = index[pdf["i"].to_numpy()], index[pdf["j"].to_numpy()]
+        inner = to >= 0
+        to = np.where(inner, to, pd.factorize(pdf["v"])[0])
+        order = np.argsort(to, kind="stable")
+        at, to, inner = at[order], to[order], inner[order]
+        marks, step, out = [pdf[w].to_numpy()[order] for w in words], max(1024, (1 << 20) // size), []
+        for g in range(graphs):
+            on = (marks[g // WORD] >> (g % WORD)) & 1 == 1
+            if not on.any():
+                continue
+            inside, gram = np.zeros((size, size)), np.zeros((size, size))
+            a, b = at[on & inner], to[on & inner]
+            inside[a, b] = inside[b, a] = 1.0
+            a, b = at[on & ~inner], to[on & ~inner]
+            d = inside.sum(1) + np.bincount(a, minlength=size)
+            b = np.cumsum(np.append(False, b[1:] != b[:-1])) if len(b) else b
+            w = 1.0 / np.sqrt(np.bincount(b))[b] if len(b) else np.zeros(0)
+            for lo in range(0, int(b[-1]) + 1 if len(b) else 0, step):
+                i, j = np.searchsorted(b, [lo, lo + step])
+                m = np.zeros((size, int(b[j - 1]) - lo + 1))
+                m[a[i:j], b[i:j] - lo] = w[i:j]
+                gram += m @ m.T
+            out.append((g, int(pdf["_part"].iloc[0]), inside.tobytes(), gram.tobytes(), d.tobytes()))
+        return pd.DataFrame(out, columns=["graph", "part", "inside", "gram", "d"])
+
+    part_of = F.pmod(F.xxhash64("v"), F.lit(parts)).alias("_part")
+    sums = placed.select("*", part_of).groupBy("_part").applyInPandas(part, "graph int, part long, inside binary, gram binary, d binary")
+
+    def solved(own, pdf):
+        g, n = int(own["graph"].iloc[0]), int(own["n"].iloc[0])
+        rows = pdf.sort_values("part")
+        add = lambda name: sum((np.frombuffer(x) for x in rows[name]), np.zeros(1))
+        d = add("d")
+        top = [0.0] if n == 1 else [1.0] * min(n, k)  # without links
+        if len(rows):
+            some = np.flatnonzero(d > 0)
+            scale = 1.0 / np.sqrt(d[some])
+            inside, gram = (add(c).reshape(size, size)[np.ix_(some, some)] * scale[:, None] * scale for c in ("inside", "gram"))
+            values, vectors = np.linalg.eigh(gram)
+            root = vectors * np.sqrt(np.where(values > 1e-14 * max(values[-1], 0.0), values, 0.0))
+            values = np.linalg.eigvalsh(np.block([[inside, root], [root.T, np.zeros_like(root)]]))
+            low, high = values[values < -1e-9], values[values > 1e-9]
+            top = [*(1.0 - low), *[1.0] * (n - len(low) - len(high)), *(1.0 - high)][:k]
+        return pd.DataFrame({"graph": [g], "n": [n], "top": [[float(x) for x in top]]})
+
+    whole = spark.createDataFrame(list(sizes.items()), "graph int, n long")
+    return whole.groupBy("graph").cogroup(sums.groupBy("graph")).applyInPandas(solved, "graph int, n long, top array<double>")
+
+
 def largest_eigenvalues(nodes: DataFrame, adj: DataFrame, k: int, tol: float = 1e-7) -> dict[int, list[float]]:
     """Block Lanczos for all large graphs ``g`` at once: edge joins multiply, small Gram matrices per graph steer.
 

@@ -237,3 +237,41 @@ def test_repeated_edges_without_hubs(spark, monkeypatch):
         got = {r.win: r.top for r in gr.spectra(nodes, twice, ["win"], dense_nodes=dense).collect()}
         for w in want:
             assert np.allclose(got[w], want[w], atol=1e-9) and np.allclose(want[w], dense_top(30, pairs if w == 0 else [p for p in pairs if p[0] < 20]), atol=1e-9)
+
+
+@pytest.mark.parametrize("most, bits", [(2000, 3), (2000, 60), (12, 60)])
+def test_pooled_graphs_are_solved_from_one_row_per_link(spark, monkeypatch, most, bits):
+    """Graphs of several payloads have the spectra of their unions: hubs, links among them, turned, unlisted and repeated ones."""
+    rng = np.random.default_rng(5)
+    draw = lambda n: [(int(a), int(b)) for a, b in zip(rng.integers(0, 4, n), rng.integers(0, 40, n), strict=True)]
+    payloads = {p: (50, draw(25)) for p in range(6)} | {6: (1, []), 7: (3, [(0, 1), (1, 0), (1, 2)])}
+    nodes, edges = graphs(spark, payloads)
+    nodes = nodes.filter("win <> 5 OR node NOT IN ('n1', 'n7', '1', '7')").unionByName(nodes.filter("win = 2"))
+    of = {g: [int(p) for p in range(6) if rng.integers(0, 2)] for g in range(6)} | {6: [6], 7: [7], 8: [6, 7]}
+    members = spark.createDataFrame([(p, g) for g, ps in of.items() for p in ps], "win int, graph int")
+    joined = lambda df: df.join(members, "win").drop("win").distinct()
+    want = {r.graph: (r.n, r.top) for r in gr.spectra(joined(nodes), joined(edges), ["graph"]).collect()}
+    monkeypatch.setattr(gr, "WORD", bits)
+    calls, plain = [], gr.spectra
+    monkeypatch.setattr(gr, "spectra", lambda *a: calls.append(a) or plain(*a))
+    got = {r.graph: (r.n, r.top) for r in gr.pooled_spectra(nodes, edges, members, "win", 9, dense_nodes=most, part_links=20).collect()}
+    assert set(got) == set(want) and len(calls) == (most < 100)
+    for g, (n, top) in want.items():
+        assert got[g][0] == n and np.allclose(got[g][1], top, atol=1e-9), g
+
+
+def test_half_splits_of_graphs_are_not_one_graph_after_the_other(spark, monkeypatch):
+    """No half is made of rows of its own: the links of all are counted once."""
+    from meander.operators import calibration
+
+    rng = np.random.default_rng(9)
+    windows = {w: (40, [(int(a), int(b)) for a, b in rng.integers(0, 40, (50, 2)) if a != b]) for w in range(6)}
+    nodes, edges = graphs(spark, windows)
+    splits = calibration.half_splits(nodes.select(F.lit(1).alias("_one"), "win").distinct(), ["_one"], "win", 4).collect()
+    gaps = []
+    for rep in range(1, 5):
+        tops = [dense_top(40, [e for s in splits if s.rep == rep and s.is_current == side for e in windows[s.win][1]]) for side in (False, True)]
+        gaps.append(np.sqrt(((np.array(tops[0]) - tops[1]) ** 2).sum()))
+    monkeypatch.setattr(gr, "spectra", lambda *a, **k: pytest.fail("graph after graph"))
+    row = calibration.split_half_graph(nodes, edges, "win", iterations=4).first()
+    assert row.replicates == 4 and row.threshold == pytest.approx(np.mean(gaps) + 2 * np.std(gaps), abs=1e-9)
