@@ -34,10 +34,15 @@ SHINGLE = 4
 SEED = 42
 SPLIT = 1 << 16  # members of one value that are searched together; more are dealt anew
 SHORT = 12  # groups of at most so many members are compared by shifts
+TOGETHER = 1 << 20  # bytes of texts whose shingles are hashed together; a longer text goes in pieces
 
 _PLACE = np.arange(8, dtype=np.int64) * 256
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 _UNIT = np.uint64(1) << np.arange(64, dtype=np.uint64)
+_SPREAD = _BITS.astype(np.uint8).view("<u8").ravel()  # of a byte, a byte per bit
+_P1, _P2, _P3, _P4, _P5 = (np.uint64(p) for p in (
+    0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+_FIRST = np.array([[int(_P1) + int(_P2) & 2**64 - 1], [int(_P2)], [0], [2**64 - int(_P1)]], np.uint64)
 
 
 def fingerprint(text: str | None) -> int:
@@ -66,12 +71,113 @@ def fingerprint(text: str | None) -> int:
     return int(_UNIT[2 * ones > total].sum(dtype=np.uint64))
 
 
+def _turn(x: np.ndarray, by: int) -> np.ndarray:
+    return (x << np.uint64(by)) | (x >> np.uint64(64 - by))
+
+
+def _mixed(lane: np.ndarray) -> np.ndarray:
+    return _turn(lane * _P2, 31) * _P1
+
+
+def digests(raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """XXH64 of stretches of ``raw`` (bytes, 8 of them behind the last stretch), those of like sizes together."""
+    eight = np.ascontiguousarray(np.ndarray((len(raw) - 7,), "<u8", raw, 0, (1,)))  # the number at every byte
+    four = np.uint64((1 << 32) - 1)
+    key = ((size & 31) * 2 + (size >= 32)).astype(np.uint8)
+    order = np.argsort(key, kind="stable")
+    ends = np.cumsum(np.bincount(key, minlength=64))
+    out = np.empty(len(start), np.uint64)
+    for k in np.flatnonzero(np.diff(ends, prepend=0)).tolist():
+        own = order[ends[k - 1] if k else 0 : ends[k]]
+        at, n = start[own], size[own]
+        if k % 2:
+            lanes = np.tile(np.full((4, 1), np.uint64(SEED)) + _FIRST, len(own))
+            stripes = n >> 5
+            for t in range(int(stripes.max())):
+                more = np.flatnonzero(stripes > t)
+                for i in range(4):
+                    lanes[i, more] = _turn(lanes[i, more] + eight[at[more] + (32 * t + 8 * i)] * _P2, 31) * _P1
+            h = _turn(lanes[0], 1) + _turn(lanes[1], 7) + _turn(lanes[2], 12) + _turn(lanes[3], 18)
+            for i in range(4):
+                h = (h ^ _mixed(lanes[i])) * _P1 + _P4
+            at = at + 32 * stripes
+        else:
+            h = np.full(len(own), np.uint64(SEED) + _P5)
+        h = h + n.astype(np.uint64)
+        rest = k // 2
+        for _ in range(rest // 8):
+            h = _turn(h ^ _mixed(eight[at]), 27) * _P1 + _P4
+            at = at + 8
+        if rest & 4:
+            h = _turn(h ^ ((eight[at] & four) * _P1), 23) * _P2 + _P3
+            at = at + 4
+        for _ in range(rest & 3):
+            h = _turn(h ^ (raw[at].astype(np.uint64) * _P5), 11) * _P1
+            at = at + 1
+        h = (h ^ (h >> np.uint64(33))) * _P2
+        h = (h ^ (h >> np.uint64(29))) * _P3
+        out[own] = h ^ (h >> np.uint64(32))
+    return out
+
+
+def _together(texts: list[bytes]) -> np.ndarray:
+    """Fingerprints of texts of at least ``SHINGLE`` words, in lower case with one space between words."""
+    raw = np.frombuffer(b"\n".join(texts) + b"\n" + bytes(8), np.uint8)
+    stop = np.flatnonzero((raw[:-8] == 32) | (raw[:-8] == 10))  # where words end; no other white space is left
+    begin = np.append(0, stop[:-1] + 1)
+    last = np.flatnonzero(raw[stop] == 10)  # words that end a text
+    words = np.diff(last, prepend=-1)
+    # a word begins a shingle but for the last ones of each text
+    first = np.ones(len(stop), bool)
+    for i in range(SHINGLE - 1):
+        first[last - i] = False
+    first = np.flatnonzero(first)
+    values = digests(raw, begin[first], stop[first + SHINGLE - 1] - begin[first])
+    total = words - (SHINGLE - 1)
+    edge = np.cumsum(total) - total
+    # bits are added up as bytes of a number, of at most 255 shingles each, and these by text
+    cut = [np.arange(a, a + n, 255) for a, n in zip(edge.tolist(), total.tolist(), strict=True)]
+    some = np.add.reduceat(_SPREAD[values.astype("<u8").view(np.uint8).reshape(-1, 8)], np.concatenate(cut), axis=0)
+    parts = np.array([len(c) for c in cut])
+    ones = np.add.reduceat(some.view(np.uint8).reshape(-1, 64).astype(np.int64), np.cumsum(parts) - parts, axis=0)
+    return np.where(2 * ones > total[:, None], _UNIT, np.uint64(0)).sum(axis=1, dtype=np.uint64)
+
+
+def prints_of(texts: list[str | None]) -> np.ndarray:
+    """The fingerprints of texts: the same as :func:`fingerprint` of each, with the shingles of many hashed together."""
+    out = np.zeros(len(texts), np.uint64)
+    at, held, size = [], [], 0
+
+    def closed():
+        if at:
+            out[at] = _together(held)
+        return [], [], 0
+
+    for i, text in enumerate(texts):
+        if not text:
+            continue
+        if len(text) > TOGETHER:
+            out[i] = fingerprint(text)
+            continue
+        words = text.encode().lower().split()
+        if len(words) < SHINGLE:
+            out[i] = xxhash.xxh64_intdigest(b" ".join(words), SEED) if words else 0
+            continue
+        at.append(i)
+        held.append(b" ".join(words))
+        size += len(held[-1])
+        if size > TOGETHER:
+            at, held, size = closed()
+    closed()
+    return out
+
+
 def fingerprints(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, print`` per row; ``print`` is the fingerprint as a signed long."""
 
     def run(batches):
         for batch in sliced(batches):
-            found = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
+            found = prints_of(batch.column(1).to_pylist()).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], names=["doc_id", "print"])
 
     return docs.select(F.col(doc_id).cast("long"), F.col(text).cast("string")).mapInArrow(run, "doc_id long, print long")

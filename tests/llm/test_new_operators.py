@@ -277,3 +277,21 @@ def test_sql_of_search_and_clusters_runs():
     for t in ("documents", "benchmark", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf0.001/{t}.parquet'")
     assert con.execute(lexical.sql()).fetchall() and con.execute(centroids.sql(rounds=1)).fetchall()
+
+
+def test_shingles_hashed_together():
+    """Hashes and fingerprints of many texts at once are those of the library, text by text."""
+    rng = np.random.default_rng(21)
+    raw = rng.integers(0, 256, 4000, dtype=np.uint8).tobytes()
+    start, size = rng.integers(0, 3700, 3000), rng.integers(0, 290, 3000)
+    start[:200], size[:200] = 5, np.arange(200)
+    got = simhash.digests(np.frombuffer(raw + bytes(8), np.uint8), start, size)
+    assert got.tolist() == [xxhash.xxh64_intdigest(raw[a : a + n], 42) for a, n in zip(start.tolist(), size.tolist(), strict=True)]
+    signs = ["a", "Bc", "Üñ", "\x1c", "\x00", "0" * 70, " ", "x" * 9, "퟿" * 12]
+    gaps = [" ", "  ", "\n", "\t\r\n", "\x0b\x0c"]
+    texts = [None, "", " \n", "one two three", "a b c d"]
+    for n in [*range(1, 40), 300, 1500]:
+        texts.append("".join(signs[rng.integers(len(signs))] + gaps[rng.integers(len(gaps))] for _ in range(n)))
+    texts += ["Q " * (1 << 19) + "end", texts[-1], "same same same same " * 400]
+    assert simhash.prints_of(texts).tolist() == [simhash.fingerprint(t) for t in texts]
+    assert simhash.prints_of([]).tolist() == simhash.prints_of([None])[:0].tolist()
